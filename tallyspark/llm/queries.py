@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm.mixing import mix
+from tallyspark.llm.pii import pii_digest
 from tallyspark.session import read_table
 
 
@@ -14,8 +15,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing}
+    return {"op1_mixing": op1_mixing, "op9_pii": op9_pii}
 
 
 def oracle_sql() -> dict[str, str]:
