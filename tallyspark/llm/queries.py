@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm.mixing import mix
 from tallyspark.llm.pii import pii_digest
+from tallyspark.llm.simhash import near_duplicates
 from tallyspark.session import read_table
 
 
@@ -19,8 +20,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op9_pii": op9_pii}
+    return {"op1_mixing": op1_mixing, "op9_pii": op9_pii, "op4_simhash": op4_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
