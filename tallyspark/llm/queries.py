@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyspark.llm.mixing import mix
 from tallyspark.llm.pii import pii_digest
 from tallyspark.llm.simhash import near_duplicates
+from tallyspark.llm.warc import warc_round_trip
 from tallyspark.session import read_table
 
 
@@ -24,8 +25,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op9_pii": op9_pii, "op4_simhash": op4_simhash}
+    return {"op1_mixing": op1_mixing, "op9_pii": op9_pii, "op4_simhash": op4_simhash, "op3_warc": op3_warc}
 
 
 def oracle_sql() -> dict[str, str]:
