@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyspark.llm.mixing import mix
 from tallyspark.llm.pii import pii_digest
 from tallyspark.llm.simhash import near_duplicates
+from tallyspark.llm.suffixes import remove_copies
 from tallyspark.llm.warc import warc_round_trip
 from tallyspark.session import read_table
 
@@ -29,8 +30,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_copies(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op9_pii": op9_pii, "op4_simhash": op4_simhash, "op3_warc": op3_warc}
+    return {"op1_mixing": op1_mixing, "op9_pii": op9_pii, "op4_simhash": op4_simhash, "op3_warc": op3_warc, "op8_suffixes": op8_suffixes}
 
 
 def oracle_sql() -> dict[str, str]:
