@@ -11,6 +11,7 @@ from tallyspark.llm.pii import pii_digest
 from tallyspark.llm.simhash import near_duplicates
 from tallyspark.llm.suffixes import remove_copies
 from tallyspark.llm.warc import warc_round_trip
+from tallyspark.llm.windows import remove_repeats
 from tallyspark.session import read_table
 
 
@@ -34,8 +35,12 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_copies(read_table(spark, sf_dir, "documents"))
 
 
+def op10_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op9_pii": op9_pii, "op4_simhash": op4_simhash, "op3_warc": op3_warc, "op8_suffixes": op8_suffixes}
+    return {"op1_mixing": op1_mixing, "op9_pii": op9_pii, "op4_simhash": op4_simhash, "op3_warc": op3_warc, "op8_suffixes": op8_suffixes, "op10_windows": op10_windows}
 
 
 def oracle_sql() -> dict[str, str]:
