@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm.mixing import mix
 from tallyspark.llm.pii import pii_digest
+from tallyspark.llm.quality import judge_quality
 from tallyspark.llm.simhash import near_duplicates
 from tallyspark.llm.suffixes import remove_copies
 from tallyspark.llm.warc import warc_round_trip
@@ -39,8 +40,12 @@ def op10_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op9_pii": op9_pii, "op4_simhash": op4_simhash, "op3_warc": op3_warc, "op8_suffixes": op8_suffixes, "op10_windows": op10_windows}
+    return {"op1_mixing": op1_mixing, "op9_pii": op9_pii, "op4_simhash": op4_simhash, "op3_warc": op3_warc, "op8_suffixes": op8_suffixes, "op10_windows": op10_windows, "op7_quality": op7_quality}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,7 +24,8 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tallyspark.llm.superkmers import Bucket, Runs, apply_marks, cut, deal, judge_buckets, mix, plan, rows_of
+from tallyspark.llm.hashing import mix
+from tallyspark.llm.superkmers import Bucket, Runs, apply_marks, cut, deal, judge_buckets, plan, rows_of
 
 WINDOW = 50
 PIECE = 12

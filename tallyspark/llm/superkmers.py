@@ -23,6 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.hashing import mix
 from tallyspark.session import shuffle_partitions
 
 #: zstd level of packed strings.
@@ -35,20 +36,9 @@ CHUNK = 1 << 18
 SPREAD = 4
 #: Order of a document without id: after all others.
 NO_ID = 2**63 - 1
-_MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _PLACE = np.uint64((1 << 24) - 1)
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit hashes, in place."""
-    h ^= h >> np.uint64(33)
-    h *= _MIX1
-    h ^= h >> np.uint64(33)
-    h *= _MIX2
-    h ^= h >> np.uint64(33)
-    return h
-
-
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     """out[i] = min(h[i : i + width]), for each i where that fits."""
     n = len(h) - width + 1

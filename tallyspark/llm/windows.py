@@ -18,35 +18,15 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
+from tallyspark.llm.hashing import mix, word_hashes
 from tallyspark.llm.suffixes import merge
-from tallyspark.llm.superkmers import Bucket, Runs, apply_marks, cut, deal, judge_buckets, mix, plan, rows_of
+from tallyspark.llm.superkmers import Bucket, Runs, apply_marks, cut, deal, judge_buckets, plan, rows_of
 
 WINDOW = 35
 PIECE = 6
 #: Words of a long document that are cut together, and of a bucket that are sorted together.
 PART_WORDS = 1 << 20
 SORT_WORDS = 1 << 18
-_ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def word_hashes(text: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hash of each word text[first:last] from running sums of bytes times powers of an odd number."""
-    out = np.empty(len(first), np.uint64)
-    step = 1 << 15
-    for lo in range(0, len(first), step):
-        a, b = first[lo : lo + step], last[lo : lo + step]
-        part = text[a[0] : b[-1]].astype(np.uint64) + np.uint64(1)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part * _powers(_ODD, len(part)))))
-        back = _powers(_INVERSE, len(part) + 1)
-        out[lo : lo + step] = (total[b - a[0]] - total[a - a[0]]) * back[a - a[0]]
-    return mix(out)
 
 
 def prepare(text: bytes) -> list[tuple[int, bytes]]:

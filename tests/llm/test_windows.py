@@ -2,7 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+
 from tallyspark.llm import windows
+from tallyspark.llm.hashing import word_hashes
 from tallyspark.llm.windows import remove_repeats
 
 
@@ -49,7 +52,5 @@ def test_word_hashes():
     raw = b"one two three one two twoo one"
     words = raw.split()
     first = [i for i in range(len(raw)) if (i == 0 or raw[i - 1] == 32)]
-    import numpy as np
-
-    h = windows.word_hashes(np.frombuffer(raw, np.uint8), np.array(first), np.array(first) + np.array([len(w) for w in words]))
+    h = word_hashes(np.frombuffer(raw, np.uint8), np.array(first), np.array(first) + np.array([len(w) for w in words]))
     assert len(set(h.tolist())) == 4 and h[0] == h[3] == h[6] and h[1] == h[4]
