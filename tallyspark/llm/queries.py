@@ -12,6 +12,7 @@ from tallyspark.llm.pii import pii_digest
 from tallyspark.llm.quality import judge_quality
 from tallyspark.llm.simhash import near_duplicates
 from tallyspark.llm.suffixes import remove_copies
+from tallyspark.llm.toxicity import score_documents
 from tallyspark.llm.warc import warc_round_trip
 from tallyspark.llm.windows import remove_repeats
 from tallyspark.session import read_table
@@ -49,8 +50,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op9_pii": op9_pii, "op4_simhash": op4_simhash, "op3_warc": op3_warc, "op8_suffixes": op8_suffixes, "op10_windows": op10_windows, "op7_quality": op7_quality, "op6_decontamination": op6_decontamination}
+    return {"op1_mixing": op1_mixing, "op9_pii": op9_pii, "op4_simhash": op4_simhash, "op3_warc": op3_warc, "op8_suffixes": op8_suffixes, "op10_windows": op10_windows, "op7_quality": op7_quality, "op6_decontamination": op6_decontamination, "op2_toxicity": op2_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
