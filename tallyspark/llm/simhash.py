@@ -59,15 +59,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def with_fingerprint(df: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """Add fp, the fingerprint of the text as a signed long."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+    @F.arrow_udf("long")
+    def fp(text: pa.Array) -> pa.Array:
+        return pa.array(np.fromiter((fingerprint(t.as_py(), shingle) for t in text), np.uint64, len(text)).view(np.int64))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return df.withColumn("fp", fp(F.col(text_col).cast("string")))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return with_fingerprint(rows, "text", shingle).select("doc_id", "fp")
 
 
 def _forest(fps: np.ndarray, bits: int, link: list[tuple[int, int]]) -> None:
@@ -146,21 +151,31 @@ def links(fps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def components(fps: DataFrame) -> DataFrame:
+    """(fp, component) for each distinct fingerprint (column fp); one without a link is a component of its own."""
+    groups = materialize(fps.select("fp").distinct(), "distinct_fingerprints")
+    parts = connected_components(links(groups))
+    return materialize(groups.join(parts, groups["fp"] == parts["node"], "left").select("fp", F.coalesce("component", "fp").alias("component")), "named")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links."""
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    groups = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fingerprints")
-    parts = connected_components(links(groups.select("fp")))
-    # fingerprints without a link are components of their own
-    named = groups.join(parts, groups["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = materialize(named, "named")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = components(rows)
+    # the smallest id is taken per fingerprint first, so a hot component meets few rows
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(named, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
     labels = named.join(least, "component").select("fp", "component_id")
     return rows.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that have a near-duplicate of smaller id; of repeated rows one stays."""
-    ids = materialize(near_duplicates(docs, id_col, text_col), "components")
-    kept = ids.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__keep"]), "left_semi").dropDuplicates([id_col])
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One document of each component: that of smallest id, one without id only where none has one."""
+    order = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
+    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    keyed = docs.withColumns({"__order": order, "__key": key})
+    rows = materialize(with_fingerprint(keyed, text_col, shingle).select(F.col("__order").alias("order"), F.col("__key").alias("key"), "fp"), "fingerprints")
+    first = F.min(F.struct("order", "key")).alias("first")
+    named = components(rows)
+    winners = rows.groupBy("fp").agg(first).join(named, "fp").groupBy("component").agg(F.min("first").alias("first"))
+    winners = winners.select(F.col("first.order").alias("__order"), F.col("first.key").alias("__key"))
+    return keyed.join(winners, ["__order", "__key"], "left_semi").dropDuplicates(["__order", "__key"]).select(*docs.columns)

@@ -82,6 +82,8 @@ def test_hot_key():
 
 def test_keep_one_and_empty(spark):
     rows = spark.createDataFrame([(5, "a b c d", 1), (2, "a b c d", 2), (2, "a b c d", 2), (9, "other words in here", 3)], "doc_id long, text string, fp int")
+    rows = rows.union(spark.createDataFrame([(None, "a b c d", 4), (None, "lonely text with no id", 5), (None, "another text that has none", 6)], rows.schema))
     kept = keep_one(rows)
-    assert kept.columns == rows.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 9]
+    assert kept.columns == rows.columns and sorted((r["doc_id"], r["text"][:3]) for r in kept.collect() if r["doc_id"]) == [(2, "a b"), (9, "oth")]
+    assert sorted(r["fp"] for r in kept.collect() if r["doc_id"] is None) == [5, 6]
     assert near_duplicates(rows.limit(0)).count() == 0
