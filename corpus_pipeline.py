@@ -4,15 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyspark.llm.decontamination import drop_leaks
 from tallyspark.llm.mixing import mix
+from tallyspark.llm.pii import mask_pii
+from tallyspark.llm.simhash import keep_one
+from tallyspark.llm.toxicity import drop_toxic
 from tallyspark.session import materialize, read_table
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that score as toxic."""
+    return drop_toxic(docs, read_table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that hold a benchmark passage."""
+    return drop_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    return mask_pii(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies and words that the mix takes of each document."""
     return mix(docs)
 
 
-STAGES = [("mixing", mixing)]
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("mixing", mixing)]
 #: No SQL: training, fingerprints and random rounding are not expressible; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
