@@ -13,6 +13,7 @@ from tallyspark.llm.quality import judge_quality
 from tallyspark.llm.simhash import near_duplicates
 from tallyspark.llm.suffixes import remove_copies
 from tallyspark.llm.toxicity import score_documents
+from tallyspark.llm.url_filters import listed_pages, listed_pages_sql
 from tallyspark.llm.warc import warc_round_trip
 from tallyspark.llm.windows import remove_repeats
 from tallyspark.session import read_table
@@ -54,9 +55,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listed_pages(spark, read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op9_pii": op9_pii, "op4_simhash": op4_simhash, "op3_warc": op3_warc, "op8_suffixes": op8_suffixes, "op10_windows": op10_windows, "op7_quality": op7_quality, "op6_decontamination": op6_decontamination, "op2_toxicity": op2_toxicity}
+    return {"op1_mixing": op1_mixing, "op9_pii": op9_pii, "op4_simhash": op4_simhash, "op3_warc": op3_warc, "op8_suffixes": op8_suffixes, "op10_windows": op10_windows, "op7_quality": op7_quality, "op6_decontamination": op6_decontamination, "op2_toxicity": op2_toxicity, "op5_url_filters": op5_url_filters}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can state the result; the others are tested against plain versions in tests/llm."""
+    return {"op5_url_filters": listed_pages_sql()}
