@@ -184,7 +184,7 @@ def vendor_key(c: Column) -> Column:
 
 def consonant_run(c: Column) -> Column:
     """Longest run of letters without a vowel; Y counts as a consonant."""
-    runs = F.regexp_extract_all(F.upper(blank(c)), F.lit("[B-DF-HJ-NP-TV-Z]+"), F.lit(0))
+    runs = F.regexp_extract_all(blank(c), F.lit("[B-DF-HJ-NP-TV-Zb-df-hj-np-tv-z]+"), F.lit(0))
     return F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
 
 
