@@ -45,7 +45,7 @@ BATCH, RATE, SEED = 256, 0.01, 7
 #: Steps in a round of training, however small the sample.
 LEAST_STEPS = 80
 #: Windows scored at once, and bytes of text tokenised at once.
-WINDOWS_AT_ONCE, BYTES_AT_ONCE = 1 << 13, 1 << 19
+WINDOWS_AT_ONCE, BYTES_AT_ONCE = 1 << 12, 1 << 19
 PREFIXES, INNER = (3, 4, 5, 6, 7, 8), tuple(range(8))
 N_FEATURES = 2 + len(PREFIXES) + len(INNER)
 
@@ -63,6 +63,27 @@ class Words:
 
 
 def words_of(texts: list[bytes]) -> Words:
+    """Words of any number of texts, read a bounded stretch at a time."""
+    parts, at = [], 0
+    while at < len(texts) or not parts:
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= BYTES_AT_ONCE):
+            size += len(texts[end])
+            end += 1
+        parts.append(_words(texts[at:end]))
+        at = max(end, 1)
+    if len(parts) == 1:
+        return parts[0][1]
+    keys = np.concatenate([k for k, _ in parts])
+    _, at, place = np.unique(keys, return_index=True, return_inverse=True)
+    base = np.cumsum([0, *(len(k) for k, _ in parts)])
+    ids = np.concatenate([place[b : b + len(k)][w.ids].astype(np.int32) for b, (k, w) in zip(base, parts, strict=False) if len(k)] or [np.empty(0, np.int32)])
+    features = np.concatenate([w.features[: len(k)] for k, w in parts])[at]
+    return Words(features if len(features) else parts[0][1].features, ids, np.concatenate([w.counts for _, w in parts]))
+
+
+def _words(texts: list[bytes]) -> tuple[np.ndarray, Words]:
+    """Hash of each distinct word, and the words of texts that are read together."""
     text = b" ".join([*texts, b""])
     raw = np.frombuffer(text, np.uint8)
     letter = np.concatenate(([False], _LETTER[raw], [False]))
@@ -79,9 +100,9 @@ def words_of(texts: list[bytes]) -> Words:
             return (h % np.uint64(PLACES)).astype(np.int64)
 
         whole = (total[last] - total[first]) * back[first]
-        _, at, ids = np.unique(whole, return_index=True, return_inverse=True)
+        keys, at, ids = np.unique(whole, return_index=True, return_inverse=True)
         a, b = first[at], last[at]
-        out = np.full((max(len(at), 1), N_FEATURES), -1, np.int64)  # without any word, a row for padding to point at
+        out = np.full((max(len(at), 1), N_FEATURES), -1, np.int32)  # without any word, a row for padding to point at
         out[: len(at), 0] = part(a, b, 0)
         for k, n in enumerate(PREFIXES):
             long = np.flatnonzero(b - a >= n)
@@ -91,7 +112,7 @@ def words_of(texts: list[bytes]) -> Words:
             out[long, 1 + len(PREFIXES) + k] = part(a[long] + d, a[long] + d + 4, 20)
         long = np.flatnonzero(b - a >= 4)
         out[long, -1] = part(b[long] - 4, b[long], 21)
-    return Words(out, ids, counts)
+    return keys, Words(out, ids, counts)
 
 
 def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,11 +170,14 @@ class Model:
         pooled = np.einsum("bt,bth->bh", alpha, states)
         return pooled @ self.w["wo"] + self.w["bo"], a, alpha, pooled
 
-    def logits(self, x: np.ndarray, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        gates = [x @ self.w[f"w{s}"] + self.w[f"b{s}"] for s in (0, 1)]
+    def logits(self, features: np.ndarray, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
         out = [np.empty(0, np.float32)]
         for lo in range(0, len(ids), WINDOWS_AT_ONCE):
-            i, m = ids[lo : lo + WINDOWS_AT_ONCE], mask[lo : lo + WINDOWS_AT_ONCE]
+            m = mask[lo : lo + WINDOWS_AT_ONCE]
+            here, i = np.unique(ids[lo : lo + WINDOWS_AT_ONCE], return_inverse=True)
+            x = self.inputs(features[here])[0]
+            gates = [x @ self.w[f"w{s}"] + self.w[f"b{s}"] for s in (0, 1)]
+            i = i.reshape(m.shape)
             out.append(self.pool(np.concatenate([self.states(gates[s], i, m, s) for s in (0, 1)], axis=2), m)[0])
         return np.concatenate(out)
 
@@ -162,8 +186,8 @@ def window_ids(words: Words, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
     """Distinct word at each place of each window, and whether there is one."""
     at = first[:, None] + np.arange(WINDOW)
     mask = np.arange(WINDOW) < n[:, None]
-    ids = words.ids[np.where(mask, at, 0)] if len(words.ids) else np.zeros(at.shape, np.int64)
-    return np.where(mask, ids, 0), mask.astype(np.float32)
+    ids = words.ids[np.where(mask, at, 0)] if len(words.ids) else np.zeros(at.shape, np.int32)
+    return np.where(mask, ids, 0).astype(np.int32), mask.astype(np.float32)
 
 
 def gradients(model: Model, features: np.ndarray, ids: np.ndarray, mask: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -266,7 +290,7 @@ def train(texts: list[bytes], label: np.ndarray, rounds: int = 5) -> Model:
     for k in range(rounds):
         use = np.arange(len(owner))
         if k >= 2:
-            scores = model.logits(model.inputs(words.features)[0], ids, mask)
+            scores = model.logits(words.features, ids, mask)
             by = np.lexsort((-scores, owner))
             rank = np.empty(len(by), np.int64)
             rank[by] = np.arange(len(by)) - np.searchsorted(owner[by], owner[by])
@@ -313,7 +337,7 @@ def raw_summary(model: Model, texts: list[bytes]) -> np.ndarray:
         else:
             words = words_of(texts[at:end])
             text, first, n = windows_of(words.counts)
-            out.append(_summary(model.logits(model.inputs(words.features)[0], *window_ids(words, first, n)), text, end - at))
+            out.append(_summary(model.logits(words.features, *window_ids(words, first, n)), text, end - at))
         at = end
     return np.concatenate(out)
 
@@ -328,7 +352,7 @@ def _long(model: Model, text: bytes) -> np.ndarray:
             hi += 1
         words = words_of([text[lo:hi]])
         _, first, n = windows_of(words.counts)
-        best = np.sort(np.concatenate((best, model.logits(model.inputs(words.features)[0], *window_ids(words, first, n)))))[-3:]
+        best = np.sort(np.concatenate((best, model.logits(words.features, *window_ids(words, first, n)))))[-3:]
         if hi == len(text):
             break
         back = hi - 4096  # a stretch starts anew behind a space well before the last one's end
