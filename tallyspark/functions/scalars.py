@@ -228,7 +228,7 @@ def money_display(c: Column) -> Column:
 def first_json(c: Column, schema: str) -> Column:
     """The first JSON object of a model's answer, fences removed."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), "(?i)^```(json)?", ""), "```$", ""))
-    return F.coalesce(F.from_json(bare, schema), F.from_json(F.regexp_extract(bare, "(?s)\\{.*\\}", 0), schema))
+    return F.from_json(F.regexp_extract(bare, "(?s)\\{.*\\}", 0), schema)
 
 
 def lookalike_digits(c: Column) -> Column:
