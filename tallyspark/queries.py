@@ -537,7 +537,7 @@ def item_classes(spark, d):
 
 @query("master_by_tin", "SELECT id, vendor_name AS canonical_name FROM invoices WHERE vendor_id IS NOT NULL")
 def master_by_tin(spark, d):
-    master = read_table(spark, d, "supplier").select(F.lpad((F.col("s_suppkey") + 1).cast("string"), 9, "1").alias("tin"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("rank"))
+    master = read_table(spark, d, "supplier").select(F.lpad((F.col("s_suppkey") + 1).cast("string"), 9, "0").alias("tin"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("rank"))
     return reconcile.by_tin(model.invoices(spark, d).filter("vendor_id is not null"), master).select("id", "canonical_name")
 
 

@@ -78,7 +78,7 @@ def invoices(spark: SparkSession, sf_dir: str, items: bool = False) -> DataFrame
     """Invoices with vendor and sums; with items, the array of line items as well."""
     s = read_table(spark, sf_dir, "supplier")
     a = amounts(spark, sf_dir).join(s, F.col("vendor_id") == F.col("s_suppkey"), "left")
-    a = a.select("invoice_id", "vendor_id", F.col("s_name").alias("vendor_name"), F.lpad((F.col("vendor_id") + 1).cast("string"), 9, "1").alias("vendor_tax_id"), "subtotal", "tax_amount", "discount")
+    a = a.select("invoice_id", "vendor_id", F.col("s_name").alias("vendor_name"), F.lpad((F.col("vendor_id") + 1).cast("string"), 9, "0").alias("vendor_tax_id"), "subtotal", "tax_amount", "discount")
     i = F.col("id")
     current = F.when(i % 3 == 0, (F.col("subtotal").cast("decimal(18,2)") + F.col("tax_amount").cast("decimal(18,2)") - F.col("discount").cast("decimal(18,2)")).cast("double"))
     out = heads(spark, sf_dir).join(a, F.col("id") == F.col("invoice_id"), "left").drop("invoice_id")
@@ -145,7 +145,7 @@ amounts AS (
     FROM lineitem GROUP BY 1
 ),
 summed AS (
-    SELECT invoice_id, vendor_id, s_name, lpad(CAST(vendor_id + 1 AS varchar), 9, '1') AS vendor_tax_id,
+    SELECT invoice_id, vendor_id, s_name, lpad(CAST(vendor_id + 1 AS varchar), 9, '0') AS vendor_tax_id,
         CAST(s AS decimal(18,2)) AS s, CAST(t AS decimal(18,2)) AS t, CAST(d AS decimal(18,2)) AS d
     FROM amounts LEFT JOIN supplier ON vendor_id = s_suppkey
 ),
