@@ -45,9 +45,12 @@ def labelled(text: Column, label: str, exclude: str | None = None) -> Column:
 
 
 def _settle(df: DataFrame, field: str, value: Column, when: Column, note: str) -> DataFrame:
-    when = F.coalesce(when, F.lit(False))
+    """Set a field where a condition holds, and note it. The decision is a column of its own first: inside a
+    lambda function, a name that the same projection redefines would stand for the new value."""
+    decided = df.withColumns({"__when": F.coalesce(when, F.lit(False)), "__value": value})
     notes = F.coalesce("notes", F.array().cast("array<string>")) if "notes" in df.columns else F.array().cast("array<string>")
-    return df.withColumns({"notes": F.when(when, F.array_append(notes, F.lit(f"{field}: {note}"))).otherwise(notes), field: F.when(when, value).otherwise(F.col(field))})
+    noted = F.when(F.col("__when"), F.array_append(notes, F.lit(f"{field}: {note}"))).otherwise(notes)
+    return decided.withColumns({"notes": noted, field: F.when(F.col("__when"), F.col("__value")).otherwise(F.col(field))}).drop("__when", "__value")
 
 
 def tax(df: DataFrame) -> DataFrame:
