@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.components import connected_components
+from tallyspark.llm.hashing import mix
 from tallyspark.session import materialize, shuffle_partitions
 
 MAX_BITS = 3
@@ -179,3 +180,141 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     winners = rows.groupBy("fp").agg(first).join(named, "fp").groupBy("component").agg(F.min("first").alias("first"))
     winners = winners.select(F.col("first.order").alias("__order"), F.col("first.key").alias("__key"))
     return keyed.join(winners, ["__order", "__key"], "left_semi").dropDuplicates(["__order", "__key"]).select(*docs.columns)
+
+
+# ---- near copies: several fingerprints of the words, confirmed on five-word shingles ----------
+#: Fingerprints of a document's distinct words, by different seeds; near copies agree within three bits in one of them.
+SEEDS = 3
+#: Minima of a document's five-word shingles, a byte each, and the share of equal ones from which two documents are near copies:
+#: below 0.8 by about 1.6 standard deviations of the estimate, so that hardly a pair of similarity 0.8 is missed.
+LANES, SIMILAR, WIDE = 256, 0.76, 5
+_LANE = (np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+NEAR = "struct<fps:array<bigint>,sketch:binary>"
+
+
+def near_features(text: str | None) -> tuple[list[int], bytes]:
+    """Fingerprints of the distinct words by each seed, and the sketch of the five-word shingles."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(UPPER).split()
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+    fps = []
+    for r in range(SEEDS):
+        g = mix(h + np.uint64(r * 0x9E3779B97F4A7C15 % (1 << 64)))
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(g), PART):
+            counts += np.unpackbits(g[at : at + PART].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        fps.append(int(np.packbits(counts * 2 > len(g), bitorder="little").view("<i8")[0]))
+    size = min(WIDE, len(words))
+    low = np.full(LANES, 2**32 - 1, np.uint32)
+    if size:
+        total = len(words) - size + 1
+        w = h[ids]
+        shingle = mix(sum((w[d : d + total] * np.uint64(2 * d + 3) for d in range(size)), np.zeros(total, np.uint64)))
+        short = np.unique((shingle >> np.uint64(32)).astype(np.uint32))
+        for at in range(0, len(short), 2048):
+            x = short[at : at + 2048, None] * _LANE
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0x85EBCA77)
+            low = np.minimum(low, x.min(axis=0))
+    return fps, (low >> np.uint32(24) ^ low >> np.uint32(12)).astype(np.uint8).tobytes()
+
+
+def with_near_features(df: DataFrame, text_col: str = "text") -> DataFrame:
+    @F.arrow_udf(NEAR)
+    def near(text: pa.Array) -> pa.Array:
+        rows = [near_features(t.as_py()) for t in text]
+        return pa.StructArray.from_arrays([pa.array([f for f, _ in rows], pa.list_(pa.int64())), pa.array([s for _, s in rows], pa.binary())], ["fps", "sketch"])
+
+    return df.withColumn("near", near(F.col(text_col).cast("string")))
+
+
+def _node_links(fps: np.ndarray, nodes: np.ndarray, side: int) -> list[tuple[int, int]]:
+    """Candidate edges between the nodes under one key: a forest, and each with its neighbour in order."""
+    by = np.lexsort((nodes, fps))
+    fps, nodes = fps[by], nodes[by]
+    first = np.flatnonzero(np.concatenate(([True], fps[1:] != fps[:-1])))
+    head = dict(zip(fps[first].tolist(), nodes[first].tolist(), strict=True))
+    out = [(head[a], head[b]) for a, b in link_group(fps[first], side)] if len(first) > 1 else []
+    close = np.flatnonzero(np.bitwise_count(fps[1:] ^ fps[:-1]) <= MAX_BITS)
+    return out + list(zip(nodes[close].tolist(), nodes[close + 1].tolist(), strict=True))
+
+
+def node_links(nodes: DataFrame) -> DataFrame:
+    """Candidate edges (a, b) between nodes, from rows (node, fps): equal keys of any fingerprint's one-wildcard variants."""
+    parts = shuffle_partitions(nodes.sparkSession)
+    each = nodes.select("node", F.posexplode("fps").alias("seed", "fp"))
+    low, high = F.col("fp").bitwiseAND(F.lit((1 << SEGMENT) - 1)), F.shiftrightunsigned("fp", SEGMENT)
+    keys = [
+        F.shiftleft((F.col("seed") * 2 * SEGMENT + side * SEGMENT + bit).cast("long"), SEGMENT).bitwiseOR(seg.bitwiseAND(F.lit(((1 << SEGMENT) - 1) ^ (1 << bit))))
+        for side, seg in ((0, low), (1, high))
+        for bit in range(SEGMENT)
+    ]
+    dealt = each.select(F.explode(F.array(*keys)).alias("key"), "fp", "node").repartition(parts, "key").sortWithinPartitions("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now = None
+        seen: set[tuple[int, int]] = set()
+
+        def close() -> list[tuple[int, int]]:
+            if not held:
+                return []
+            fps, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            return _node_links(fps, nodes, (int(now) >> SEGMENT) % (2 * SEGMENT) >= SEGMENT) if len(fps) > 1 else []
+
+        def out(link: list[tuple[int, int]]) -> pa.RecordBatch:
+            e = np.array(link, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(e.min(axis=1)), pa.array(e.max(axis=1))], ["a", "b"])
+
+        for batch in batches:
+            key, fp, node = (batch.column(c).to_numpy() for c in range(3))
+            fp = fp.view(np.uint64)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)])) if len(key) else np.zeros(1, np.int64)
+            # lone rows inside the batch link to nothing; the first and last group may go on in another batch
+            sizes = np.diff(cuts)
+            take = np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1))
+            link: list[tuple[int, int]] = []
+            for a, b in zip(cuts[take].tolist(), cuts[take + 1].tolist(), strict=True):
+                if key[a] != now:
+                    link += close()
+                    now = key[a]
+                held.append((fp[a:b].copy(), node[a:b].copy()))
+            link = [e for e in link if e not in seen]
+            if len(seen) < 1 << 18:  # the same pair meets under many keys; what slips through goes in distinct()
+                seen.update(link)
+            if link:
+                yield out(link)
+        if link := close():
+            yield out(link)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Share of equal minima of two sketches."""
+    x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(-1, LANES) for s in (a, b))
+    return pa.array((x == y).mean(axis=1) if len(x) else np.empty(0))
+
+
+def keep_one_of_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near copies: five-word shingles alike to about 0.8 or more.
+
+    Candidates come from the deletion-variant index over several fingerprints of the words, and each
+    candidate edge is confirmed on the sketches. The document of smallest id stays, one without id
+    only where none has one; of repeated rows one stays.
+    """
+    order = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
+    keyed = docs.withColumns({"__order": order, "__key": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    rows = with_near_features(keyed.select("__order", "__key", F.col(text_col).alias("text"))).drop("text")
+    rows = materialize(rows.withColumn("node", F.xxhash64("near.fps", "near.sketch")), "near_features")
+    nodes = materialize(rows.groupBy("node").agg(F.first("near").alias("near"), F.min(F.struct("__order", "__key")).alias("first")), "near_nodes")
+    edges = materialize(node_links(nodes.select("node", "near.fps")), "near_candidates")
+    sketch = nodes.select("node", "near.sketch")
+    both = edges.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+    share = F.arrow_udf(alike, "double")
+    parts = connected_components(both.filter(share("sa", "sb") >= SIMILAR).select("a", "b"))
+    grouped = nodes.select("node", "first").join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
+    winners = grouped.select("first.__order", "first.__key")
+    return keyed.join(winners, ["__order", "__key"], "left_semi").dropDuplicates(["__order", "__key"]).select(*docs.columns)

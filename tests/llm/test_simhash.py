@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from tallyspark.llm.components import connected_components
-from tallyspark.llm.simhash import BRUTE, keep_one, link_group, links, near_duplicates
+from tallyspark.llm.simhash import BRUTE, keep_one, keep_one_of_copies, link_group, links, near_duplicates
 
 
 def brute_fp(text):
@@ -87,3 +87,36 @@ def test_keep_one_and_empty(spark):
     assert kept.columns == rows.columns and sorted((r["doc_id"], r["text"][:3]) for r in kept.collect() if r["doc_id"]) == [(2, "a b"), (9, "oth")]
     assert sorted(r["fp"] for r in kept.collect() if r["doc_id"] is None) == [5, 6]
     assert near_duplicates(rows.limit(0)).count() == 0
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_near_copies(spark):
+    """Documents alike to 0.85 or more lose all but one; those below 0.6 stay."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(4000)]
+    texts = {}
+    for i in range(60):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 400))]
+        texts[i] = " ".join(base)
+        if i % 2:
+            copy = list(base)
+            for _ in range(max(1, len(copy) // 80)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts[1000 + i] = " ".join(copy)
+        if i % 3 == 0:
+            texts[2000 + i] = texts[i].upper()
+        if i % 5 == 0:
+            texts[3000 + i] = " ".join(base[: len(base) // 2]) + " " + " ".join(rng.choice(words) for _ in range(len(base) // 2))
+    rows = [(i, t, "x") for i, t in texts.items()] + [(7, texts[7], "x"), (None, "no id here at all", "x"), (None, None, "x"), (None, "", "x")]
+    out = keep_one_of_copies(spark.createDataFrame(rows, "doc_id long, text string, fps string"))
+    kept = sorted(r["doc_id"] for r in out.collect() if r["doc_id"] is not None)
+    near = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    gone = [i for i in texts if i >= 1000 and near(texts[i], texts[i % 1000]) >= 0.85]
+    stay = [i for i in texts if i < 1000 or near(texts[i], texts[i % 1000]) < 0.6]
+    assert len(gone) > 40 and not set(gone) & set(kept) and set(stay) <= set(kept)
+    assert len(kept) == len(set(kept)) and out.filter("doc_id is null").count() == 2 and out.columns == ["doc_id", "text", "fps"]
+    assert keep_one_of_copies(out.limit(0)).count() == 0
