@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyspark.llm.decontamination import drop_leaks
 from tallyspark.llm.mixing import mix
 from tallyspark.llm.pii import mask_pii
-from tallyspark.llm.simhash import keep_one
+from tallyspark.llm.simhash import keep_one_of_copies
 from tallyspark.llm.toxicity import drop_toxic
 from tallyspark.session import materialize, read_table
 
@@ -18,8 +18,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return keep_one(docs)
+    """One document of each group of near copies: five-word shingles alike to 0.8 or more."""
+    return keep_one_of_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
