@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as s
-from tallyspark.operators import identity, quality, reconcile, reports, text
+from tallyspark.operators import documents, identity, quality, reconcile, reports, text
 from tallyspark.plans import language, search
 from tallyspark.session import read_table
 from tallyspark.sources import exports, model
@@ -545,3 +545,41 @@ def master_by_tin(spark, d):
 def text_evidence(spark, d):
     rows = _receipts(spark, d)
     return rows.select("id", quality.text_support(F.lit("official receipt"), F.col("text")).alias("vendor"), quality.number_support(F.col("total_amount"), F.col("text")).alias("total"))
+
+
+_gap = "abs(CAST(subtotal AS decimal(18,4)) + CAST(tax_amount AS decimal(18,4)) - CAST(discount AS decimal(18,4)) - CAST(coalesce(current_charges_total, total_amount) AS decimal(18,4)))"
+
+
+@query("second_pass_reasons", f"SELECT id, list_filter([CASE WHEN invoice_number IS NULL THEN 'missing invoice_number' END, CASE WHEN vendor_name = 'UNKNOWN VENDOR' THEN 'missing vendor_name' END, CASE WHEN {_gap} > greatest(0.05, abs(coalesce(current_charges_total, total_amount)) * 0.002) THEN 'financial amounts do not reconcile' END], lambda x: x IS NOT NULL) AS reasons FROM invoices")
+def second_pass_reasons(spark, d):
+    rows = model.invoices(spark, d)
+    return rows.select("id", documents.second_pass(rows).alias("reasons"))
+
+
+@query("text_hints", "SELECT id, total_amount, subtotal, tax_amount FROM invoices WHERE subtotal IS NOT NULL")
+def text_hints(spark, d):
+    found = documents.hints(F.col("text"))
+    return _receipts(spark, d).select("id", *[F.element_at(found, c).cast("double").alias(c) for c in ("total_amount", "subtotal", "tax_amount")])
+
+
+@query("balance_items", "SELECT id, len(line_items) + CASE WHEN abs(previous_balance) > 0.005 THEN 1 ELSE 0 END AS n FROM invoices JOIN nested ON id = invoice_id")
+def balance_items(spark, d):
+    rows = model.invoices(spark, d).join(model.line_items(spark, d), F.col("id") == F.col("invoice_id"))
+    return documents.balance_item(documents.balance_item(rows)).select("id", F.size("line_items").cast("long").alias("n"))
+
+
+@query("evidence_map", "SELECT id, 'supported' AS subtotal_status, 'missing' AS number_status FROM invoices WHERE subtotal IS NOT NULL AND invoice_number IS NULL")
+def evidence_map(spark, d):
+    rows = _receipts(spark, d).filter("invoice_number is null")
+    e = quality.field_evidence(rows, ("subtotal", "invoice_number"), F.col("text"))
+    return rows.select("id", F.element_at(e, "subtotal")["status"].alias("subtotal_status"), F.element_at(e, "invoice_number")["status"].alias("number_status"))
+
+
+@query("storage_defaults", "SELECT id, CASE WHEN invoice_number IS NULL THEN 'UNVERIFIED-' || substr(sha256(CAST(id AS varchar)), 1, 10) ELSE invoice_number END AS invoice_number, coalesce(tax_amount, 0) AS tax_amount FROM invoices")
+def storage_defaults(spark, d):
+    return quality.storage_defaults(model.invoices(spark, d)).select("id", "invoice_number", "tax_amount")
+
+
+@query("file_name_parts", "SELECT DISTINCT regexp_replace(trim(original_filename), '[^A-Za-z0-9._-]+', '_', 'g') AS name FROM heads")
+def file_name_parts(spark, d):
+    return model.heads(spark, d).select(s.safe_component(F.col("original_filename")).alias("name")).distinct()
