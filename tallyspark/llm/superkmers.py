@@ -7,7 +7,7 @@ choose the bucket and tell minimisers apart, and the buckets compare the strings
 
 The plan has two exchanges of packed rows. ``deal`` cuts documents and sends each batch's strings
 to buckets, after merging strings that the batch holds more than once; a bucket's judge returns
-the runs of windows that are to go; ``apply_marks`` sends those back to the documents by row key.
+the runs of windows that are to go; ``apply_marks`` sends those back to the documents.
 Hot strings are merged before they travel, so a bucket gets at most one copy from each batch.
 """
 
@@ -23,17 +23,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.hashing import mix
+from tallyspark.llm.hashing import hash_longs, mix
 from tallyspark.session import shuffle_partitions
 
-#: zstd level of packed strings.
-LEVEL = 3
+#: zstd level of packed strings and texts: shuffled bytes are the budget here, not seconds.
+LEVEL = 6
 #: Bytes of text that a task cuts before it sends strings off.
 BATCH_BYTES = 16 << 20
 #: Units cut at once, so that the working arrays stay in cache.
 CHUNK = 1 << 18
 #: Buckets and targets for each shuffle partition; memory is bounded by one of them.
-SPREAD = 4
+SPREAD = 2
 #: Order of a document without id: after all others.
 NO_ID = 2**63 - 1
 _PLACE = np.uint64((1 << 24) - 1)
@@ -109,7 +109,10 @@ def _ids(ids: np.ndarray) -> bytes:
         return _planes(np.diff(np.concatenate((np.zeros(1, np.int64), ids))), 8)
 
 
-FIELDS = (("tag", 3), ("start", 4), ("windows", 4), ("piece", 4), ("size", 4))
+#: extra: bytes of a string beyond one for each window.
+FIELDS = (("tag", 3), ("start", 4), ("windows", 4), ("piece", 4), ("extra", 4))
+#: Bytes of a row key, which tells rows of one doc_id apart.
+KEY = 5
 
 
 def pack(order: np.ndarray, key: np.ndarray, fields: dict[str, np.ndarray], strings: bytes = b"") -> bytes:
@@ -117,7 +120,7 @@ def pack(order: np.ndarray, key: np.ndarray, fields: dict[str, np.ndarray], stri
     change = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (order[1:] != order[:-1])))) if len(key) else np.empty(0, np.int64)
     head = struct.pack("<qq", len(change), len(key))
     each = np.diff(np.concatenate((change, [len(key)])))
-    body = [_ids(order[change]), key[change].astype("<i8").tobytes(), _planes(each, 4), *[_planes(fields[f], w) if f in fields else _planes(np.zeros(len(key)), w) for f, w in FIELDS], strings]
+    body = [_ids(order[change]), _planes(key[change], KEY), _planes(each, 4), *[_planes(fields[f], w) if f in fields else _planes(np.zeros(len(key)), w) for f, w in FIELDS], strings]
     return zstandard.ZstdCompressor(level=LEVEL).compress(head + b"".join(body))
 
 
@@ -133,7 +136,7 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray],
 
     with np.errstate(over="ignore"):
         order = np.cumsum(_unplanes(take(8 * n), n, 8))
-    key = np.frombuffer(take(8 * n), "<i8")
+    key = _unplanes(take(KEY * n), n, KEY)
     each = _unplanes(take(4 * n), n, 4)
     fields = {f: _unplanes(take(w * m), m, w) for f, w in FIELDS}
     return np.repeat(order, each), np.repeat(key, each), fields, bytes(data[at:])
@@ -155,7 +158,7 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, its order, a row key that tells repeated ids apart, and the text."""
     doc_id = F.col(id_col).cast("long")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NO_ID)).alias("order"), F.xxhash64(doc_id, text).alias("key"), text.alias("text"))
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NO_ID)).alias("order"), F.xxhash64(text).bitwiseAND(F.lit((1 << 8 * KEY) - 1)).alias("key"), text.alias("text"))
 
 
 def deal(rows: DataFrame, prepare: Callable[[bytes], list[tuple[int, bytes]]], load: Callable[[list[bytes]], tuple], buckets: int, repeats: bool) -> DataFrame:
@@ -196,11 +199,11 @@ def deal(rows: DataFrame, prepare: Callable[[bytes], list[tuple[int, bytes]]], l
                 go.append(i)
                 strings.append(s)
             g = np.array(go)
-            fields = {"tag": tag[g], "start": start[g], "windows": runs.windows[g], "piece": runs.piece[g], "size": hi[g] - lo[g]}
+            fields = {"tag": tag[g], "start": start[g], "windows": runs.windows[g], "piece": runs.piece[g], "extra": hi[g] - lo[g] - runs.windows[g]}
             yield int(bucket[group[0]]), 0, pack(order[runs.doc[g]], key[runs.doc[g]], fields, b"".join(strings))
         if own:
             g = np.unique(np.array(own))
-            yield int(key[0] % buckets), 1, pack(order[runs.doc[g]], key[runs.doc[g]], {"start": start[g], "windows": runs.windows[g]})
+            yield int(bucket[0]), 1, pack(order[runs.doc[g]], key[runs.doc[g]], {"start": start[g], "windows": runs.windows[g]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[int, int, int, bytes]] = []
@@ -252,10 +255,10 @@ def _load(blobs: list[bytes]) -> Bucket:
     strings: list[bytes] = []
     at = 0
     for _, _, g, text in loaded:
-        n = len(g["size"])
-        ends = np.cumsum(g["size"])
+        size = g["windows"] + g["extra"]
+        n, ends = len(size), np.cumsum(size)
         keep = np.flatnonzero(held[at : at + n])
-        strings += [text[a:b] for a, b in zip((ends - g["size"])[keep].tolist(), ends[keep].tolist(), strict=True)]
+        strings += [text[a:b] for a, b in zip((ends - size)[keep].tolist(), ends[keep].tolist(), strict=True)]
         at += n
     k = np.flatnonzero(held)
     k = k[(by := np.argsort(order[k], kind="stable"))]
@@ -267,15 +270,15 @@ def judge_buckets(dealt: DataFrame, judge: Judge, parts: int, targets: int) -> D
     dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        marks: list[tuple[np.ndarray, ...]] = []
         held = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            key, start, windows = (np.concatenate(x) for x in zip(*marks, strict=True))
-            target = np.mod(key, targets)
-            by = np.lexsort((start, key, target))
+            order, key, start, windows = (np.concatenate(x) for x in zip(*marks, strict=True))
+            target = np.mod(hash_longs(order), targets)
+            by = np.lexsort((start, key, order, target))
             for g in np.split(by, np.flatnonzero(np.diff(target[by])) + 1):
-                blob = pack(key[g] * 0, key[g], {"start": start[g], "windows": windows[g]})
+                blob = pack(order[g], key[g], {"start": start[g], "windows": windows[g]})
                 yield pa.RecordBatch.from_arrays([pa.array([int(target[g[0]])], pa.int32()), pa.array([blob], pa.binary())], ["target", "blob"])
 
         def close(blobs: list[bytes]) -> None:
@@ -284,7 +287,7 @@ def judge_buckets(dealt: DataFrame, judge: Judge, parts: int, targets: int) -> D
             if len(b.order):
                 run_, first, n = judge(b)
                 if len(run_):
-                    marks.append((b.key[run_], b.start[run_] + first, n))
+                    marks.append((b.order[run_], b.key[run_], b.start[run_] + first, n))
                     held += len(run_)
 
         now, blobs = None, []
@@ -292,8 +295,8 @@ def judge_buckets(dealt: DataFrame, judge: Judge, parts: int, targets: int) -> D
             for i in range(batch.num_rows):
                 bucket, kind, blob = (batch.column(c)[i].as_py() for c in range(3))
                 if kind == 1:
-                    _, key, f, _ = unpack(blob)
-                    marks.append((key, f["start"], f["windows"]))
+                    order, key, f, _ = unpack(blob)
+                    marks.append((order, key, f["start"], f["windows"]))
                     held += len(key)
                     continue
                 if bucket != now and blobs:
@@ -322,36 +325,37 @@ def apply_marks(rows: DataFrame, marks: DataFrame, finish: Callable[[bytes, np.n
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=LEVEL)
         for b in batches:
-            text = pa.array([z.compress(t.as_py()) for t in b.column(2).cast(pa.binary())], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), text], ["doc_id", "key", "blob"])
+            text = pa.array([z.compress(t.as_py()) for t in b.column(3).cast(pa.binary())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], text], ["doc_id", "order", "key", "blob"])
 
-    texts = rows.select("doc_id", "key", "text").mapInArrow(squeeze, "doc_id long, key long, blob binary")
-    texts = texts.select(F.pmod("key", F.lit(targets)).cast("int").alias("target"), F.lit(1).alias("kind"), "doc_id", "key", "blob")
-    notes = marks.select("target", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("key"), "blob")
+    texts = rows.select("doc_id", "order", "key", "text").mapInArrow(squeeze, "doc_id long, order long, key long, blob binary")
+    texts = texts.select(F.pmod(F.xxhash64("order"), F.lit(targets)).cast("int").alias("target"), F.lit(1).alias("kind"), "doc_id", "order", "key", "blob")
+    notes = marks.select("target", F.lit(0).alias("kind"), *[F.lit(None).cast("long").alias(c) for c in ("doc_id", "order", "key")], "blob")
     both = notes.unionByName(texts).repartition(parts, "target").sortWithinPartitions("target", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = None
-        loaded: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        place: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        loaded: list[tuple[np.ndarray, ...]] = []
+        place: tuple[np.ndarray, ...] | None = None
         z = zstandard.ZstdDecompressor()
         empty = np.empty(0, np.int64)
         for batch in batches:
             out: list[tuple] = []
             for i in range(batch.num_rows):
-                t, kind, doc_id, key, blob = (batch.column(c)[i].as_py() for c in range(5))
+                t, kind, doc_id, order, key, blob = (batch.column(c)[i].as_py() for c in range(6))
                 if t != now:
                     now, loaded, place = t, [], None
                 if kind == 0:
-                    _, k, f, _ = unpack(blob)
-                    loaded.append((k, f["start"], f["windows"]))
+                    o, k, f, _ = unpack(blob)
+                    loaded.append((o, k, f["start"], f["windows"]))
                     continue
                 if place is None:
-                    k, s, w = (np.concatenate(x) for x in zip(*loaded, strict=True)) if loaded else (empty, empty, empty)
-                    by = np.lexsort((s, k))
-                    place = (k[by], s[by], w[by])
-                a, b = np.searchsorted(place[0], key, "left"), np.searchsorted(place[0], key, "right")
-                out.append((doc_id, *finish(z.decompress(blob) if blob else b"", place[1][a:b], place[2][a:b])))
+                    o, k, s, w = (np.concatenate(x) for x in zip(*loaded, strict=True)) if loaded else (empty,) * 4
+                    by = np.lexsort((s, k, o))
+                    place = (o[by], k[by], s[by], w[by])
+                a, b = np.searchsorted(place[0], order, "left"), np.searchsorted(place[0], order, "right")
+                a, b = a + np.searchsorted(place[1][a:b], key, "left"), a + np.searchsorted(place[1][a:b], key, "right")
+                out.append((doc_id, *finish(z.decompress(blob) if blob else b"", place[2][a:b], place[3][a:b])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) if i else pa.array(c, pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names)
 
