@@ -182,139 +182,187 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     return keyed.join(winners, ["__order", "__key"], "left_semi").dropDuplicates(["__order", "__key"]).select(*docs.columns)
 
 
-# ---- near copies: several fingerprints of the words, confirmed on five-word shingles ----------
-#: Fingerprints of a document's distinct words, by different seeds; near copies agree within three bits in one of them.
-SEEDS = 3
-#: Minima of a document's five-word shingles, a byte each, and the share of equal ones from which two documents are near copies:
-#: below 0.8 by about 1.6 standard deviations of the estimate, so that hardly a pair of similarity 0.8 is missed.
-LANES, SIMILAR, WIDE = 256, 0.76, 5
+# ---- near copies: five-word shingles, candidates by bands of minima, confirmed on the shingles themselves ----------
+#: Near copies share this much of their distinct five-word shingles.
+SIMILAR, WIDE = 0.8, 5
+#: Minima of the shingles, a byte each, in bands; documents meet that agree in all minima of a band. Of pairs alike to 0.8 all but 3 in a million do.
+BANDS, ROWS = 42, 6
+LANES = BANDS * ROWS
+#: Share of equal minima below which a pair that met is not looked at: four standard deviations of the estimate below 0.8.
+LIKELY = 0.7
+#: Nodes compared with each other in one task; more nodes under a key are dealt as pairs of blocks.
+BLOCK = 512
 _LANE = (np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-NEAR = "struct<fps:array<bigint>,sketch:binary>"
+NEAR = "struct<node:bigint,sketch:binary>"
 
 
-def near_features(text: str | None) -> tuple[list[int], bytes]:
-    """Fingerprints of the distinct words by each seed, and the sketch of the five-word shingles."""
+def shingle_set(text: str | None) -> np.ndarray:
+    """Hashes of the distinct five-word shingles in order; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(UPPER).split()
+    size = min(WIDE, len(words))
+    if not size:
+        return np.empty(0, np.uint64)
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
-    fps = []
-    for r in range(SEEDS):
-        g = mix(h + np.uint64(r * 0x9E3779B97F4A7C15 % (1 << 64)))
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(g), PART):
-            counts += np.unpackbits(g[at : at + PART].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        fps.append(int(np.packbits(counts * 2 > len(g), bitorder="little").view("<i8")[0]))
-    size = min(WIDE, len(words))
+    w = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))[ids]
+    total = len(words) - size + 1
+    return np.unique(mix(sum((w[d : d + total] * np.uint64(2 * d + 3) for d in range(size)), np.zeros(total, np.uint64))))
+
+
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """A byte of each of the minima; the whole minimum is mixed first, for those of long texts have only low bits."""
     low = np.full(LANES, 2**32 - 1, np.uint32)
-    if size:
-        total = len(words) - size + 1
-        w = h[ids]
-        shingle = mix(sum((w[d : d + total] * np.uint64(2 * d + 3) for d in range(size)), np.zeros(total, np.uint64)))
-        short = np.unique((shingle >> np.uint64(32)).astype(np.uint32))
-        for at in range(0, len(short), 2048):
-            x = short[at : at + 2048, None] * _LANE
-            x ^= x >> np.uint32(15)
-            x *= np.uint32(0x85EBCA77)
-            low = np.minimum(low, x.min(axis=0))
-    return fps, (low >> np.uint32(24) ^ low >> np.uint32(12)).astype(np.uint8).tobytes()
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 2048):
+        x = short[at : at + 2048, None] * _LANE
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x85EBCA77)
+        low = np.minimum(low, x.min(axis=0))
+    return (mix(low.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def with_near_features(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add near: node, a hash of the whole shingle set, and the sketch."""
+
     @F.arrow_udf(NEAR)
     def near(text: pa.Array) -> pa.Array:
-        rows = [near_features(t.as_py()) for t in text]
-        return pa.StructArray.from_arrays([pa.array([f for f, _ in rows], pa.list_(pa.int64())), pa.array([s for _, s in rows], pa.binary())], ["fps", "sketch"])
+        nodes, sketches = np.zeros(len(text), np.uint64), []
+        for i, t in enumerate(text):
+            s = shingle_set(t.as_py())
+            nodes[i] = xxhash.xxh64_intdigest(s.tobytes())
+            sketches.append(sketch_of(s))
+        return pa.StructArray.from_arrays([pa.array(nodes.view(np.int64)), pa.array(sketches, pa.binary())], ["node", "sketch"])
 
     return df.withColumn("near", near(F.col(text_col).cast("string")))
 
 
-def _node_links(fps: np.ndarray, nodes: np.ndarray, side: int) -> list[tuple[int, int]]:
-    """Candidate edges between the nodes under one key: a forest, and each with its neighbour in order."""
-    by = np.lexsort((nodes, fps))
-    fps, nodes = fps[by], nodes[by]
-    first = np.flatnonzero(np.concatenate(([True], fps[1:] != fps[:-1])))
-    head = dict(zip(fps[first].tolist(), nodes[first].tolist(), strict=True))
-    out = [(head[a], head[b]) for a, b in link_group(fps[first], side)] if len(first) > 1 else []
-    close = np.flatnonzero(np.bitwise_count(fps[1:] ^ fps[:-1]) <= MAX_BITS)
-    return out + list(zip(nodes[close].tolist(), nodes[close + 1].tolist(), strict=True))
+def _matrix(sketches: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, LANES)
 
 
 def node_links(nodes: DataFrame) -> DataFrame:
-    """Candidate edges (a, b) between nodes, from rows (node, fps): equal keys of any fingerprint's one-wildcard variants."""
+    """(key, head, node), from rows (node, sketch): each node under a band's key beside the smallest node there."""
     parts = shuffle_partitions(nodes.sparkSession)
-    each = nodes.select("node", F.posexplode("fps").alias("seed", "fp"))
-    low, high = F.col("fp").bitwiseAND(F.lit((1 << SEGMENT) - 1)), F.shiftrightunsigned("fp", SEGMENT)
-    keys = [
-        F.shiftleft((F.col("seed") * 2 * SEGMENT + side * SEGMENT + bit).cast("long"), SEGMENT).bitwiseOR(seg.bitwiseAND(F.lit(((1 << SEGMENT) - 1) ^ (1 << bit))))
-        for side, seg in ((0, low), (1, high))
-        for bit in range(SEGMENT)
-    ]
-    dealt = each.select(F.explode(F.array(*keys)).alias("key"), "fp", "node").repartition(parts, "key").sortWithinPartitions("key")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = np.zeros((batch.num_rows, BANDS, 8), np.uint8)
+            wide[:, :, :ROWS] = _matrix(batch.column(1)).reshape(-1, BANDS, ROWS)
+            key = wide.view("<i8")[:, :, 0] | np.arange(BANDS, dtype=np.int64) << 48
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        now = None
-        seen: set[tuple[int, int]] = set()
+        now, head = None, None
+        for batch in batches:
+            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(key):
+                continue
+            first = np.concatenate(([key[0] != now], key[1:] != key[:-1]))
+            start = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
+            heads = node[np.maximum(start, 0)]
+            if head is not None:  # the group goes on from the batch before
+                heads = np.where(start < 0, head, heads)
+            now, head = key[-1], heads[-1]
+            if not first.all():
+                yield pa.RecordBatch.from_arrays([pa.array(key[~first]), pa.array(heads[~first]), pa.array(node[~first])], ["key", "head", "node"])
 
-        def close() -> list[tuple[int, int]]:
-            if not held:
-                return []
-            fps, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            return _node_links(fps, nodes, (int(now) >> SEGMENT) % (2 * SEGMENT) >= SEGMENT) if len(fps) > 1 else []
+    dealt = nodes.select("node", "sketch").mapInArrow(deal, "key long, node long").repartition(parts, "key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, "key long, head long, node long")
 
-        def out(link: list[tuple[int, int]]) -> pa.RecordBatch:
-            e = np.array(link, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(e.min(axis=1)), pa.array(e.max(axis=1))], ["a", "b"])
 
+def crossings(links: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that met under a key, are likely alike and lie in different components (node, component).
+
+    All pairs under a key are compared, block by block; a pair comes out under the first band in which it agrees.
+    """
+    members = links.select("key", "node").union(links.groupBy("key").agg(F.min("head").alias("node")))
+    members = members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    rows = members.join(several.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    rows = rows.join(nodes.select("node", "sketch"), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "component", "node", "sketch")
+    dealt = rows.repartition(shuffle_partitions(links.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def compare(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        band, same = t["key"][0].as_py() >> 48, t["lo"][0] == t["hi"][0]
+        own, component, node = (t[c].to_numpy() for c in ("own", "component", "node"))
+        sketch = _matrix(t["sketch"])
+        a, b = [], []
+        for i in range(len(node) - 1):
+            j = np.flatnonzero((component[i + 1 :] != component[i]) & (same | (own[i + 1 :] != own[i]))) + i + 1
+            equal = sketch[j] == sketch[i]
+            likely = equal.mean(axis=1) >= LIKELY
+            j = j[likely][equal[likely].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            a.append(np.full(len(j), node[i]))
+            b.append(node[j])
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
         for batch in batches:
-            key, fp, node = (batch.column(c).to_numpy() for c in range(3))
-            fp = fp.view(np.uint64)
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)])) if len(key) else np.zeros(1, np.int64)
-            # lone rows inside the batch link to nothing; the first and last group may go on in another batch
-            sizes = np.diff(cuts)
-            take = np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1))
-            link: list[tuple[int, int]] = []
-            for a, b in zip(cuts[take].tolist(), cuts[take + 1].tolist(), strict=True):
-                if key[a] != now:
-                    link += close()
-                    now = key[a]
-                held.append((fp[a:b].copy(), node[a:b].copy()))
-            link = [e for e in link if e not in seen]
-            if len(seen) < 1 << 18:  # the same pair meets under many keys; what slips through goes in distinct()
-                seen.update(link)
-            if link:
-                yield out(link)
-        if link := close():
-            yield out(link)
+            by = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            cuts = np.flatnonzero((by[:, 1:] != by[:, :-1]).any(axis=0)) + 1
+            for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if to == at:
+                    continue
+                if held and tuple(by[:, at]) != now:
+                    yield compare(held)
+                    held = []
+                now = tuple(by[:, at])
+                held.append(batch.slice(at, to - at))
+        if held:
+            yield compare(held)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Share of equal minima of two sketches."""
-    x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(-1, LANES) for s in (a, b))
-    return pa.array((x == y).mean(axis=1) if len(x) else np.empty(0))
+    """Share of common shingles of two sets, each the bytes of its hashes in order."""
+    out = np.zeros(len(a))
+    for i, (s, t) in enumerate(zip(a, b, strict=True)):
+        x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (s, t))
+        if len(x) and len(y):
+            x, y = (x, y) if len(x) <= len(y) else (y, x)
+            common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            out[i] = common / (len(x) + len(y) - common)
+    return pa.array(out)
+
+
+def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """The edges (a, b) whose shingle sets (node, shingles) are alike to SIMILAR."""
+    share = F.arrow_udf(alike, "double")
+    both = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    return both.filter(share("sa", "sb") >= SIMILAR).select("a", "b")
 
 
 def keep_one_of_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near copies: five-word shingles alike to about 0.8 or more.
+    """One document of each group of near copies: five-word shingles alike to 0.8 or more.
 
-    Candidates come from the deletion-variant index over several fingerprints of the words, and each
-    candidate edge is confirmed on the sketches. The document of smallest id stays, one without id
-    only where none has one; of repeated rows one stays.
+    Documents of the same shingles are one node. Nodes that agree in a band of minima are candidates,
+    and each edge is confirmed on the shingle sets. First every node is held against the smallest one
+    under its key; where a key's nodes are not all linked by that, all pairs of different components
+    are compared. The document of smallest id stays, one without id only where none has one; of
+    repeated rows one stays.
     """
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
     keyed = docs.withColumns({"__order": order, "__key": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    rows = with_near_features(keyed.select("__order", "__key", F.col(text_col).alias("text"))).drop("text")
-    rows = materialize(rows.withColumn("node", F.xxhash64("near.fps", "near.sketch")), "near_features")
-    nodes = materialize(rows.groupBy("node").agg(F.first("near").alias("near"), F.min(F.struct("__order", "__key")).alias("first")), "near_nodes")
-    edges = materialize(node_links(nodes.select("node", "near.fps")), "near_candidates")
-    sketch = nodes.select("node", "near.sketch")
-    both = edges.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-    share = F.arrow_udf(alike, "double")
-    parts = connected_components(both.filter(share("sa", "sb") >= SIMILAR).select("a", "b"))
+    rows = with_near_features(keyed.select("__order", "__key", F.col(text_col).alias("text"))).select("__order", "__key", "near.node", "near.sketch")
+    rows = materialize(rows, "near_features")
+    nodes = materialize(rows.groupBy("node").agg(F.first("sketch").alias("sketch"), F.min(F.struct("__order", "__key")).alias("first")), "near_nodes")
+    links = materialize(node_links(nodes), "near_links")
+    met = links.select("node").union(links.select("head")).distinct()
+    want = nodes.join(met, "node").select("node", "first.__order", "first.__key")
+    shingles = F.arrow_udf(lambda text: pa.array([shingle_set(t.as_py()).tobytes() for t in text], pa.binary()), "binary")
+    texts = keyed.select("__order", "__key", F.col(text_col).cast("string").alias("text")).join(want, ["__order", "__key"]).dropDuplicates(["node"])
+    sets = materialize(texts.select("node", shingles("text").alias("shingles")), "near_sets")
+    stars = links.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    parts = materialize(connected_components(confirmed(stars, sets)), "near_stars")
+    more = materialize(confirmed(crossings(links, parts, nodes), sets), "near_crossings")
+    parts = connected_components(more.union(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     grouped = nodes.select("node", "first").join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
     winners = grouped.select("first.__order", "first.__key")
     return keyed.join(winners, ["__order", "__key"], "left_semi").dropDuplicates(["__order", "__key"]).select(*docs.columns)

@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 from tallyspark.llm.components import connected_components
+from tallyspark.llm import simhash
 from tallyspark.llm.simhash import BRUTE, keep_one, keep_one_of_copies, link_group, links, near_duplicates
 
 
@@ -120,3 +121,31 @@ def test_near_copies(spark):
     assert len(gone) > 40 and not set(gone) & set(kept) and set(stay) <= set(kept)
     assert len(kept) == len(set(kept)) and out.filter("doc_id is null").count() == 2 and out.columns == ["doc_id", "text", "fps"]
     assert keep_one_of_copies(out.limit(0)).count() == 0
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_edited_copies_of_one_text(spark, monkeypatch):
+    """In a large group of edited copies exactly the connected ones go, by all pairs; also when a key is dealt in blocks."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(9000)]
+    base = [rng.choice(words) for _ in range(300)]
+    copies = []
+    for _ in range(200):
+        c = list(base)
+        for _ in range(rng.randint(4, 9)):
+            c[rng.randrange(300)] = rng.choice(words)
+        copies.append(" ".join(c))
+    sets = [shingles(c) for c in copies]
+    root = list(range(len(copies)))
+    for i in range(len(copies)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(sets[i], sets[j]) >= 0.8:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert 100 < len(set(root)) < len(copies) - 20
+    rows = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string")
+    assert {r["doc_id"] for r in keep_one_of_copies(rows).collect()} == set(root)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    assert {r["doc_id"] for r in keep_one_of_copies(rows).collect()} == set(root)
