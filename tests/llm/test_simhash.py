@@ -127,6 +127,23 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
+def test_near_copies_at_the_threshold(spark):
+    """Pairs alike to 0.80 to 0.85 are found, short texts too."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(9000)]
+    rows = []
+    for n in (12, 20, 60, 200, 1000):
+        found = 0
+        while found < 40:
+            a = [rng.choice(words) for _ in range(n)]
+            b = a + [rng.choice(words) for _ in range(rng.randint(1, max(1, n // 5)))] if n < 50 else [rng.choice(words) if rng.random() < 0.02 else w for w in a]
+            if 0.8 <= jaccard(shingles(" ".join(a)), shingles(" ".join(b))) < (0.9 if n < 20 else 0.85):
+                rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+                found += 1
+    kept = {r["doc_id"] for r in keep_one_of_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(0, len(rows), 2))
+
+
 def test_edited_copies_of_one_text(spark, monkeypatch):
     """In a large group of edited copies exactly the connected ones go, by all pairs; also when a key is dealt in blocks."""
     rng = random.Random(8)
