@@ -5,7 +5,7 @@ import xxhash
 
 from tallyspark.llm.components import connected_components
 from tallyspark.llm import simhash
-from tallyspark.llm.simhash import BRUTE, keep_one, keep_one_of_copies, link_group, links, near_duplicates
+from tallyspark.llm.simhash import BRUTE, alike, keep_one, keep_one_of_copies, link_group, links, near_duplicates, shingle_set, sketch_of
 
 
 def brute_fp(text):
@@ -166,3 +166,15 @@ def test_edited_copies_of_one_text(spark, monkeypatch):
     assert {r["doc_id"] for r in keep_one_of_copies(rows).collect()} == set(root)
     monkeypatch.setattr(simhash, "BLOCK", 16)
     assert {r["doc_id"] for r in keep_one_of_copies(rows).collect()} == set(root)
+
+
+def test_long_texts():
+    """Sketches of long texts agree no more than their shingles do; what decides are the shingles."""
+    rng = np.random.default_rng(9)
+    a, b = (np.unique(rng.integers(0, 2**64, 400_000, np.uint64)) for _ in range(2))
+    x, y = (np.frombuffer(sketch_of(s), np.uint8) for s in (a, b))
+    assert (x == y).mean() < 0.05
+    half = np.union1d(a[:200_000], b[:200_000])
+    (share,) = alike(simhash.pa.array([a.tobytes()]), simhash.pa.array([half.tobytes()])).to_pylist()
+    assert abs(share - 200_000 / 600_000) < 0.01
+    assert shingle_set("").size == 0 and shingle_set("A b\tc").size == 1 and shingle_set("a b c d e f").size == 2
