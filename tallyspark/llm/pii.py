@@ -79,7 +79,7 @@ KINDS = (
     Kind("card", "[0-9](?<![0-9]{2})(?<![0-9][\\x20-][0-9])(?:[\\x20-]?[0-9]){15,18}+(?![\\x20-]?[0-9])", "", lambda m: luhn(_digits(m)), 0.8, "card|visa|karte|carte|tarjeta|credit"),
     Kind("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", "+", _phone, 0.6, "tel|phone|call|fax|mobil"),
     Kind("iban", "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]{4}){2,7}+(?:\\x20?[A-Z0-9]{1,3}+)?+(?![A-Za-z0-9])", "", mod97, 0.9, "iban|konto|account|compte|cuenta"),
-    Kind("secret", "(?<=(?:token|secret|password|passwd|api_key|apikey)\\x20{0,2}[=:]\\x20{0,2}[\"'])[^\"'\\x20\\x09-\\x0D]{16,256}+(?=[\"'])", "", _mixed, 0.7, "token|secret|password|key"),
+    Kind("secret", "(?<=(?:token|secret|password|passwd|api_key|apikey)\\x20{0,2}[=:]\\x20{0,2}[\"'])[^\"'\\x20\\x09-\\x0D]{16,}+(?=[\"'])", "", _mixed, 0.7, "token|secret|password|key"),
 )
 BASE = tuple(k.name for k in KINDS[:4])
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"

@@ -55,3 +55,13 @@ def test_mask(spark):
     assert out == {1: "to <EMAIL> or <IP>!", 2: None, 3: "clean"}
     assert mask_pii(rows).columns == rows.columns
     assert mask_pii(rows.limit(0)).count() == 0
+
+
+def test_long_secrets(spark):
+    """A quoted token of any length is one span and is masked whole."""
+    tokens = {n: ("aB3-" * n)[:n] for n in (15, 16, 256, 257, 300, 100_000)}
+    rows = spark.createDataFrame([(n, f"token = '{t}' end") for n, t in tokens.items()], "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii_digest(rows).collect()}
+    assert spans == {n: f"secret:9:{9 + n}" if n >= 16 else "" for n in tokens}
+    masked = {r["doc_id"]: r["text"] for r in mask_pii(rows).collect()}
+    assert masked == {n: "token = '<SECRET>' end" if n >= 16 else f"token = '{t}' end" for n, t in tokens.items()}
