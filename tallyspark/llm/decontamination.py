@@ -10,8 +10,10 @@ ends free and computes only the diagonals of the region.
 The benchmark is dealt in blocks of at most ``BLOCK_CHARS`` characters, one broadcast each; the
 corpus is never shuffled. Texts are searched in overlapping stretches, so memory is bounded.
 
-Defined results: null and empty texts hold no passage; passages below ``SHORTEST`` characters are
-not searched, they identify nothing; passages too short for any edit must occur as they are; equal
+Passages below q characters have no q-gram: every stretch of their length is looked up by its key.
+
+Defined results: null and empty texts hold no passage, and empty passages are in none; passages too
+short for any edit must occur as they are, anywhere in the text like longer ones; equal
 passages are reported under each of their ids; repeated rows give repeated hits; empty tables give
 an empty result; other columns are kept by ``with_hits`` and ignored by ``find_leaks``.
 """
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 
 Q = 10
 RATE = 0.08
-SHORTEST = 20
+#: Only empty passages are left out.
+SHORTEST = 1
 BLOCK_CHARS = 4 << 20
 #: Characters searched at once.
 STRETCH = 1 << 19
@@ -75,6 +78,16 @@ class Benchmark:
     width: np.ndarray
     need: np.ndarray
     sieve: np.ndarray
+    #: Of the passages below q characters, by length: their keys in order, and their items.
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def short_grams(chars: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit key of each stretch of n characters."""
+    out = np.zeros(max(0, len(chars) - n + 1), np.uint64)
+    for i in range(n):
+        out = (out + chars[i : i + len(out)]) * _ODD
+    return out
 
 
 def build(items: list[tuple[int, str]]) -> Benchmark | None:
@@ -92,7 +105,13 @@ def build(items: list[tuple[int, str]]) -> Benchmark | None:
     k = np.array([budget(int(m)) for m in size])
     sieve = np.zeros(1 << SIEVE, bool)
     sieve[(keys >> np.uint64(64 - SIEVE)).astype(np.int64)] = True
-    return Benchmark([i for i, _ in kept], [t for _, t in kept], keys, first, count, item[by], place[by], k + 1, size + 1 - Q * (k + 1), sieve)
+    short = {}
+    for n in range(SHORTEST, Q):
+        own = np.flatnonzero(size == n)
+        if len(own):
+            key = np.concatenate([short_grams(kept[i][1], n) for i in own])
+            short[n] = np.sort(key), own[np.argsort(key, kind="stable")]
+    return Benchmark([i for i, _ in kept], [t for _, t in kept], keys, first, count, item[by], place[by], k + 1, size + 1 - Q * (k + 1), sieve, short)
 
 
 def align(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
@@ -154,6 +173,18 @@ def regions(b: Benchmark, chars: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
+def short_hits(b: Benchmark, chars: np.ndarray) -> list[tuple[int, int]]:
+    """(item, place) of passages below q characters."""
+    out = []
+    for n, (keys, items) in b.short.items():
+        g = short_grams(chars, n)
+        at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, g), len(keys) - 1)] == g)
+        lows, highs = (np.searchsorted(keys, g[at], side=side) for side in ("left", "right"))
+        for p, lo, hi in zip(at.tolist(), lows.tolist(), highs.tolist(), strict=True):
+            out += [(i, p) for i in items[lo:hi].tolist() if np.array_equal(b.texts[i], chars[p : p + n])]
+    return out
+
+
 def search(b: Benchmark, text: str | None) -> list[tuple[int, int, int, int]]:
     """(item_id, start, end, distance) of passages in a text; places count normalised characters."""
     text = normalise(text)
@@ -162,6 +193,7 @@ def search(b: Benchmark, text: str | None) -> list[tuple[int, int, int, int]]:
     hits: list[tuple[int, int, int, int]] = []
     for base in range(0, max(1, len(chars)), STRETCH):
         part = chars[base : base + STRETCH + reach]
+        hits += [(0, base + p, base + p + len(b.texts[i]), i) for i, p in short_hits(b, part[: STRETCH + Q])]
         for i, lo, hi in regions(b, part):
             pattern = b.texts[i]
             a, z = max(0, lo), min(len(part), hi + len(pattern))

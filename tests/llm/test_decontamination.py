@@ -74,3 +74,21 @@ def test_queries(spark, monkeypatch):
     assert find_leaks(docs, items.limit(0)).count() == 0 and find_leaks(docs.limit(0), items).count() == 0
     monkeypatch.setattr(d, "BLOCK_CHARS", 300)
     assert {(r["doc_id"], r["item_id"]) for r in find_leaks(docs, items).collect()} == want
+
+
+def test_short_passages(monkeypatch):
+    """Passages down to one character are found wherever they stand as they are."""
+    rng = random.Random(5)
+    text = prose(rng, 400)
+    items = [(n, normalise(text[at : at + n])) for n in range(1, 30) for at in [rng.randrange(len(text) - 30)]]
+    items += [(100, "no such"), (101, "zz"), (102, "the  AN"), (103, ""), (104, "中文"), (105, items[4][1])]
+    places = {}
+    for stretch in (1 << 19, 40):
+        monkeypatch.setattr(d, "STRETCH", stretch)
+        for t in (text, text[:60].upper(), "", "中文 the an"):
+            want = {i for i, p in items if p and normalise(p) in normalise(t)}
+            hits = search(build(items), t)
+            assert {h[0] for h in hits if len(normalise(dict(items)[h[0]])) < d.Q or not h[3]} == want
+            assert all(normalise(t)[s:e] == normalise(dict(items)[i]) for i, s, e, x in hits if not x)
+            assert places.setdefault(t, [h for h in hits if h[2] - h[1] < d.Q]) == [h for h in hits if h[2] - h[1] < d.Q]
+    assert len([h for h in search(build([(1, "ab")]), "ab abab b")]) == 3
