@@ -1,16 +1,17 @@
 """Benchmark decontamination by the q-gram lemma: count in diagonal bands, then align in a band.
 
 Texts are lower-cased and white space is brought to single spaces. A passage of m characters may
-occur with k = ``RATE`` * m edits; any such occurrence shares at least m + 1 - q * (k + 1) q-grams
-with the passage, all on at most k + 1 neighbouring diagonals (place in text minus place in
-passage). Diagonals are grouped in bands of twice that width that overlap by half, so one band
-holds all of them. Bands that reach the count are verified by an alignment that leaves the text's
-ends free and computes only the diagonals of the region.
-
-The benchmark is dealt in blocks of at most ``BLOCK_CHARS`` characters, one broadcast each; the
-corpus is never shuffled. Texts are searched in overlapping stretches, so memory is bounded.
+occur with k edits, ``RATE`` * m of them and at most ``MOST_EDITS``; any such occurrence shares at
+least m + 1 - q * (k + 1) q-grams with the passage, all on at most k + 1 neighbouring diagonals
+(place in text minus place in passage). Diagonals are grouped in bands of twice that width that
+overlap by half, so one band holds all of them. Bands that reach the count are kept as regions and
+verified: verbatim occurrences by comparison, the rest by an alignment along the region's diagonals
+that leaves the text's ends free and yields every place where the passage ends within k edits.
 
 Passages below q characters have no q-gram: every stretch of their length is looked up by its key.
+The benchmark is dealt in blocks of at most ``BLOCK_CHARS`` characters. One block, the usual case, is
+broadcast; of several, each takes a pass over the corpus, so memory is bounded by one block. The
+corpus is never shuffled. Texts are searched in overlapping stretches, so memory is bounded there too.
 
 Defined results: null and empty texts hold no passage, and empty passages are in none; passages too
 short for any edit must occur as they are, anywhere in the text like longer ones; equal
@@ -21,21 +22,24 @@ an empty result; other columns are kept by ``with_hits`` and ignored by ``find_l
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.session import materialize
+
 Q = 10
-RATE = 0.08
+RATE, MOST_EDITS = 0.08, 256
 #: Only empty passages are left out.
 SHORTEST = 1
-BLOCK_CHARS = 4 << 20
-#: Characters searched at once.
-STRETCH = 1 << 19
+BLOCK_CHARS = 1 << 20
+#: Characters searched at once, and diagonals extended at once.
+STRETCH, DIAGONALS = 1 << 19, 1 << 14
 #: Places in the table that tells whether a q-gram may be the benchmark's.
 SIEVE = 22
 HIT = "array<struct<item_id:bigint,start:bigint,end:bigint,distance:int>>"
@@ -63,7 +67,7 @@ def grams(chars: np.ndarray) -> np.ndarray:
 
 def budget(m: int) -> int:
     """Edits allowed in a passage of m characters: its share, but no more than the lemma can bound."""
-    return max(0, min(int(RATE * m), (m - Q) // Q))
+    return max(0, min(int(RATE * m), MOST_EDITS, (m - Q) // Q))
 
 
 @dataclass
@@ -97,8 +101,8 @@ def build(items: list[tuple[int, str]]) -> Benchmark | None:
         return None
     g = [grams(t) for _, t in kept]
     key = np.concatenate(g)
-    item = np.repeat(np.arange(len(g)), [len(x) for x in g])
-    place = np.concatenate([np.arange(len(x)) for x in g])
+    item = np.repeat(np.arange(len(g), dtype=np.int32), [len(x) for x in g])
+    place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in g])
     by = np.argsort(key, kind="stable")
     keys, first, count = np.unique(key[by], return_index=True, return_counts=True)
     size = np.array([len(t) for _, t in kept])
@@ -114,34 +118,94 @@ def build(items: list[tuple[int, str]]) -> Benchmark | None:
     return Benchmark([i for i, _ in kept], [t for _, t in kept], keys, first, count, item[by], place[by], k + 1, size + 1 - Q * (k + 1), sieve, short)
 
 
+def _extend(pattern: np.ndarray, text: np.ndarray, row: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """Rows reached from (row, row + diagonal) over equal characters; both sides end in marks that differ."""
+    row, size = row.copy(), 16
+    active = np.arange(len(row))
+    while len(active):
+        step = np.arange(size)
+        going = []
+        for lo in range(0, len(active), max(1, (DIAGONALS << 4) // size)):
+            part = active[lo : lo + max(1, (DIAGONALS << 4) // size)]
+            at = row[part]
+            same = pattern[at[:, None] + step] == text[(at + diagonal[part])[:, None] + step]
+            run = np.where(same.all(axis=1), size, same.argmin(axis=1))
+            row[part] += run
+            going.append(part[run == size])
+        active, size = np.concatenate(going), min(2 * size, 1 << 10)
+    return row
+
+
+def ends(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edits, begin and end of the pattern for each end in the text that at most so many edits reach.
+
+    For each number of edits and each diagonal the furthest row is kept, with the place where the path began.
+    """
+    m, n = len(pattern), len(text)
+    pad = 1 << 10
+    p = np.concatenate((pattern.astype(np.int64), np.full(pad, -1)))
+    t = np.concatenate((text.astype(np.int64), np.full(pad, -2)))
+    diagonal = np.arange(-most, n - m + most + 1)
+    never = -(1 << 40)
+    row = np.where(diagonal >= 0, 0, never)
+    begin = np.maximum(diagonal, 0)
+    cost = np.full(len(diagonal), -1)
+    source = begin.copy()
+    for e in range(most + 1):
+        if e:
+            # a character replaced, one that the pattern lacks, one that the text lacks
+            ways = np.full((3, len(row)), never)
+            ways[0] = row + 1
+            ways[1, 1:] = row[:-1]
+            ways[2, :-1] = row[1:] + 1
+            from_ = np.stack((begin, np.concatenate((begin[:1], begin[:-1])), np.concatenate((begin[1:], begin[-1:]))))
+            valid = (ways <= m) & (ways + diagonal <= n) & (ways + diagonal >= 0) & (ways >= 0)
+            ways = np.where(valid, ways, never)
+            best = ways.argmax(axis=0)
+            new, began = np.take_along_axis(ways, best[None], 0)[0], np.take_along_axis(from_, best[None], 0)[0]
+            row, begin = np.where(new > row, new, row), np.where(new > row, began, begin)
+        live = np.flatnonzero((row >= 0) & (row < m))
+        row[live] = _extend(p, t, row[live], diagonal[live])
+        done = (row >= m) & (cost < 0)
+        cost[done], source[done] = e, begin[done]
+    at = np.flatnonzero(cost >= 0)
+    return cost[at], source[at], m + diagonal[at]
+
+
 def align(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
     """Fewest edits (at most ``most``) of the pattern within the text, and where; the text's ends are free."""
-    n, big = len(text), most + 1
-    slack = n - len(pattern) + 2 * most  # cells of a row that can matter: start to start + slack
-    cost = np.zeros(n + 1, np.int64)
-    begin = np.arange(n + 1)
-    columns = np.arange(n + 1)
-    for i, c in enumerate(pattern):
-        lo, hi = max(0, i + 1 - most), min(n, i + 1 + max(slack, 0)) + 1
-        new, where = np.full(n + 1, big, np.int64), np.zeros(n + 1, np.int64)
-        a = max(lo, 1)
-        sub = cost[a - 1 : hi - 1] + (text[a - 1 : hi - 1] != c)
-        gap = cost[a:hi] + 1
-        new[a:hi] = np.minimum(sub, gap)
-        where[a:hi] = np.where(sub <= gap, begin[a - 1 : hi - 1], begin[a:hi])
-        if lo == 0:
-            new[0], where[0] = cost[0] + 1, 0
-        # characters of the text that the passage lacks: a running minimum along the row
-        low = np.minimum.accumulate(new[lo:hi] - columns[lo:hi])
-        skip = low + columns[lo:hi]
-        source = np.maximum.accumulate(np.where(new[lo:hi] - columns[lo:hi] == low, columns[lo:hi], 0))
-        where[lo:hi] = np.where(skip < new[lo:hi], where[source], where[lo:hi])
-        new[lo:hi] = np.minimum(skip, new[lo:hi])
-        cost, begin = np.minimum(new, big), where
-        if cost.min() >= big:
-            return None
-    end = int(cost.argmin())
-    return (int(cost[end]), int(begin[end]), end) if cost[end] <= most else None
+    cost, begin, end = ends(pattern, text, most)
+    if not len(cost):
+        return None
+    i = int(cost.argmin())
+    return int(cost[i]), int(begin[i]), int(end[i])
+
+
+def verbatim(pattern: np.ndarray, text: np.ndarray) -> list[int]:
+    """Every place where the text holds the pattern as it is."""
+    line, want, out = text.tobytes(), pattern.tobytes(), []
+    at = line.find(want)
+    while at >= 0:
+        if at % 4 == 0:
+            out.append(at // 4)
+        at = line.find(want, at + 1)
+    return out
+
+
+def occurrences(pattern: np.ndarray, text: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    """(edits, begin, end) of all occurrences; those with edits only where no chosen verbatim one lies."""
+    m, exact = len(pattern), verbatim(pattern, text)
+    out = [(0, at, at + m) for at in exact]
+    if most:
+        gaps, free = [], 0
+        for at in exact:
+            if at >= free:
+                gaps.append((free, at))
+                free = at + m
+        for a, z in [*gaps, (free, len(text))]:
+            if z - a >= m - most:
+                out += [(c, a + b, a + e) for c, b, e in zip(*(x.tolist() for x in ends(pattern, text[a:z], most)), strict=True)]
+    return out
 
 
 def regions(b: Benchmark, chars: np.ndarray) -> list[tuple[int, int, int]]:
@@ -156,16 +220,18 @@ def regions(b: Benchmark, chars: np.ndarray) -> list[tuple[int, int, int]]:
         return []
     entry = np.repeat(b.first[slot] - np.concatenate(([0], np.cumsum(each)[:-1])), each) + np.arange(each.sum())
     item = b.item[entry]
-    diagonal = np.repeat(at, each) - b.place[entry] + (1 << 20)
-    band = diagonal // b.width[item]
-    key = np.concatenate((item << 40 | band, item << 40 | (band - 1)))
-    found, shared = np.unique(key, return_counts=True)
-    who, band = found >> 40, found & ((1 << 40) - 1)
+    # diagonals are counted from that of the text's start and the longest passage's end, so none is negative
+    below = max(len(t) for t in b.texts)
+    band = (np.repeat(at, each) - b.place[entry] + below) // b.width[item]
+    n_bands = len(chars) + below + 2
+    key = item.astype(np.int64) * n_bands + band + 1
+    found, shared = np.unique(np.concatenate((key, key - 1)), return_counts=True)
+    who, band = found // n_bands, found % n_bands - 1
     enough = shared >= np.maximum(b.need[who], 1)
     out: list[tuple[int, int, int]] = []
     for i, x in zip(who[enough].tolist(), band[enough].tolist(), strict=True):
         w = int(b.width[i])
-        lo, hi = x * w - (1 << 20), (x + 2) * w - (1 << 20)
+        lo, hi = x * w - below, (x + 2) * w - below
         if out and out[-1][0] == i and lo <= out[-1][2]:
             out[-1] = (i, out[-1][1], hi)
         else:
@@ -190,22 +256,16 @@ def search(b: Benchmark, text: str | None) -> list[tuple[int, int, int, int]]:
     text = normalise(text)
     chars = codes(text)
     reach = 2 * max(len(t) for t in b.texts) + 2
+    step = max(STRETCH, reach)
     hits: list[tuple[int, int, int, int]] = []
-    for base in range(0, max(1, len(chars)), STRETCH):
-        part = chars[base : base + STRETCH + reach]
-        hits += [(0, base + p, base + p + len(b.texts[i]), i) for i, p in short_hits(b, part[: STRETCH + Q])]
+    for base in range(0, max(1, len(chars)), step):
+        part = chars[base : base + step + reach]
+        hits += [(0, base + p, base + p + len(b.texts[i]), i) for i, p in short_hits(b, part[: step + Q])]
         for i, lo, hi in regions(b, part):
-            pattern = b.texts[i]
-            a, z = max(0, lo), min(len(part), hi + len(pattern))
-            line, want = part[a:z].tobytes(), pattern.tobytes()
-            same = line.find(want)
-            while same > 0 and same % 4:
-                same = line.find(want, same + 1)
-            got = (0, same // 4, same // 4 + len(pattern)) if same >= 0 else align(pattern, part[a:z], int(b.width[i]) - 1)
-            if got:
-                hits.append((got[0], base + a + got[1], base + a + got[2], i))
+            a, z = max(0, lo), min(len(part), hi + len(b.texts[i]))
+            hits += [(c, base + a + s, base + a + e, i) for c, s, e in occurrences(b.texts[i], part[a:z], int(b.width[i]) - 1)]
     taken: dict[int, list[tuple[int, int, int]]] = {}
-    for d, s, e, i in sorted(hits):  # of a passage's overlapping places the one with fewest edits
+    for d, s, e, i in sorted(set(hits)):  # of a passage's overlapping places the one with fewest edits
         own = taken.setdefault(i, [])
         k = bisect.bisect(own, (s, e, d))
         if (k == 0 or own[k - 1][1] <= s) and (k == len(own) or e <= own[k][0]):
@@ -213,13 +273,14 @@ def search(b: Benchmark, text: str | None) -> list[tuple[int, int, int, int]]:
     return sorted((b.ids[i], *hit) for i, own in taken.items() for hit in own)
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[Benchmark]:
-    """The benchmark in blocks of bounded size, each brought to the driver on its own."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Benchmark]:
+    """The benchmark in blocks of bounded size, each brought to the driver when its turn comes."""
+    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-chars // BLOCK_CHARS) or 1
-    out = [build([tuple(r) for r in items.filter(F.pmod(F.xxhash64("text", "id"), F.lit(n)) == k).orderBy("id", "text").collect()]) for k in range(n)]
-    return [b for b in out if b]
+    for k in range(n):
+        if block := build([tuple(r) for r in items.filter(F.pmod(F.xxhash64("text", "id"), F.lit(n)) == k).orderBy("id", "text").collect()]):
+            yield block
 
 
 def _searcher(block: Broadcast[Benchmark]):
@@ -234,19 +295,32 @@ def _searcher(block: Broadcast[Benchmark]):
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", hits_col: str = "hits", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Add the array of (item_id, start, end, distance) of the benchmark passages in each text."""
-    found: Column = F.array().cast(HIT)
-    for block in _blocks(benchmark, item_id, item_text):
-        found = F.concat(found, _searcher(docs.sparkSession.sparkContext.broadcast(block))(F.col(text_col).cast("string")))
-    return docs.withColumn(hits_col, found)
+    out = docs.withColumn(hits_col, F.array().cast(HIT))
+    for n, block in enumerate(_blocks(benchmark, item_id, item_text)):
+        out = materialize(out, "hits") if n else out  # one block in memory at a time
+        out = out.withColumn(hits_col, F.concat(hits_col, _searcher(docs.sparkSession.sparkContext.broadcast(block))(F.col(text_col).cast("string"))))
+    return out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each passage found: doc_id, item_id, place in the normalised text, edits."""
-    rows = with_hits(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark)
-    return rows.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.item_id", "h.start", "h.end", "h.distance")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out, last = None, None
+    for block in _blocks(benchmark, "item_id", "text"):
+        if last is not None:
+            last = materialize(last, "leaks")
+            out = last if out is None else out.unionByName(last)
+        hits = _searcher(docs.sparkSession.sparkContext.broadcast(block))(F.col("text"))
+        last = rows.select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.item_id", "h.start", "h.end", "h.distance")
+    if last is None:
+        return rows.select("doc_id", F.explode(F.array().cast(HIT)).alias("h")).select("doc_id", "h.item_id", "h.start", "h.end", "h.distance")
+    return last if out is None else out.unionByName(last)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents without any passage of the benchmark."""
-    name = "__hits"
-    return with_hits(docs, benchmark, text_col=text_col, hits_col=name).filter(F.size(name) == 0).select(*docs.columns)
+    out = docs
+    for n, block in enumerate(_blocks(benchmark, "item_id", "text")):
+        out = materialize(out, "clean") if n else out
+        out = out.filter(F.size(_searcher(docs.sparkSession.sparkContext.broadcast(block))(F.col(text_col).cast("string"))) == 0)
+    return out

@@ -92,3 +92,49 @@ def test_short_passages(monkeypatch):
             assert all(normalise(t)[s:e] == normalise(dict(items)[i]) for i, s, e, x in hits if not x)
             assert places.setdefault(t, [h for h in hits if h[2] - h[1] < d.Q]) == [h for h in hits if h[2] - h[1] < d.Q]
     assert len([h for h in search(build([(1, "ab")]), "ab abab b")]) == 3
+
+
+def test_every_occurrence_is_reported():
+    """Places side by side, in prose and in texts that repeat themselves, verbatim and edited."""
+    rng = random.Random(7)
+    for passage in ("ha " * 20 + "ha", "ab" * 30, prose(rng, 30), "x" * 50):
+        b = build([(1, passage)])
+        p = normalise(passage)
+        for n in (1, 2, 5):
+            text = prose(rng, 20) + " # " + " # ".join([p] * n) + " # " + prose(rng, 20)
+            hits = search(b, text)
+            assert len([h for h in hits if h[3] == 0]) == n and [normalise(text)[s:e] for _, s, e, x in hits if not x] == [p] * n
+        edited = [edit(rng, p, 2).strip() for _ in range(3)]
+        text = " 0123456789 98765 ".join(["", p, *edited, p, ""])
+        hits = search(b, text)
+        assert len(hits) == 5 and [h[3] == 0 for h in hits] == [True, *[e == p for e in edited], True]
+        for _, s, e, x in hits:
+            assert brute_distance(p, normalise(text)[s:e]) == x
+    tiled = "ab" * 400
+    assert len(search(build([(1, "ab" * 30)]), tiled)) == 800 // 60
+
+
+def test_very_long_passages():
+    rng = random.Random(8)
+    item = prose(rng, 160_000)
+    assert len(item) > 1 << 20
+    short = prose(rng, 30)
+    b = build([(1, short), (2, item)])
+    changed = list(item)
+    for i in range(0, len(changed), len(changed) // 90):
+        changed[i] = "#"
+    text = prose(rng, 50) + " @ " + item + " @ " + short + " @ " + "".join(changed)
+    hits = search(b, text)
+    assert [(h[0], h[3]) for h in hits] == [(1, 0), (2, 0), (2, len([i for i in range(len(item)) if changed[i] != item[i]]))]
+
+
+def test_blocks(spark, monkeypatch):
+    """Several blocks give what one block gives, whichever entry point is used."""
+    rng = random.Random(9)
+    items = [(i, prose(rng, 25)) for i in range(9)]
+    docs = [(i, prose(rng, 20) + (" " + items[i % 9][1] if i % 2 else ""), "a") for i in range(20)] + [(3, items[3][1], "a"), (3, items[3][1], "b")]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string, hits2 string"), spark.createDataFrame(items, "item_id long, text string")
+    one = [sorted(map(str, f(docs, items).collect())) for f in (find_leaks, drop_leaks, d.with_hits)]
+    monkeypatch.setattr(d, "BLOCK_CHARS", 400)
+    many = [sorted(map(str, f(docs, items).collect())) for f in (find_leaks, drop_leaks, d.with_hits)]
+    assert one[:2] == many[:2] and len(one[0]) == 12 and one[2] == many[2]
