@@ -15,15 +15,36 @@ SYMBOLS = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₱": "PHP", "
 PESO_WORDS = ("P", "PESO", "PESOS", "PHILIPPINE PESO", "PHILIPPINE PESOS")
 MISSING = ("", "-", "--", "—", "–", "n/a", "na", "null", "none", "unknown", "unknown vendor", "not available")
 CATEGORIES = {
-    "Food": "grocery|groceries|supermarket|mini mart|minimart|sari-sari|restaurant|catering|cafe|diner|eatery|pantry|bakery|canteen|coffee|jollibee|mcdo|mcdonald|kfc|chowking|greenwich|starbucks|shakey|mang inasal|bonchon|jco",
-    "Utilities": "electric bill|electricity|power bill|water bill|water district|internet|broadband|wifi|telephone|phone bill|postpaid plan|meralco|maynilad|manila water|pldt|globe|converge|sky cable|cignal|smart|dito",
-    "Furnitures": "desk|chair|cabinet|fitting|furniture|table|bookshelf|sofa|shelving|filing cabinet|steel cabinet",
-    "Office Supplies": "stationery|bond paper|printer ink|ink cartridge|toner|ballpen|pencil|paper clip|folder|envelope|office supplies|photocopier|scanner|calculator|stapler|national bookstore|office depot|office warehouse",
-    "Transportation": "fuel|gasoline|diesel|petron|shell|caltex|seaoil|phoenix petroleum|courier|delivery fee|freight|cargo|lbc|jrs express|2go|j&t express|ninja van|grab|lalamove|vehicle maintenance|car repair|auto repair|tire|oil change|toll fee|parking|parking fee|parking ticket|parking charge|car park|travel agency|travel|air ticket|airfare|flight|ticketing|service fee (ticket)|ticket fee|booking fee",
-    "Insurance": "insurance|life insurance|health insurance|vehicle insurance|car insurance|property insurance|insurance premium|pru life|sunlife|philam|axa|manulife|insular life|malayan insurance",
-    "Medical & Health Supplies": "pharmacy|drugstore|mercury drug|watsons|clinic|first aid|first-aid|medical supplies|medicine|hospital|diagnostic|st. luke's|makati med|medical|med depot|medical depot|medical center|vitamins|supplement|softgel",
-}
-CATEGORIES = {k: tuple(v.split("|")) for k, v in CATEGORIES.items()}
+    "Food": (
+        "grocery", "groceries", "supermarket", "mini mart", "minimart", "sari-sari", "restaurant", "catering", "cafe", "diner", "eatery", "pantry", "bakery", "canteen",
+        "coffee", "jollibee", "mcdo", "mcdonald", "kfc", "chowking", "greenwich", "starbucks", "shakey", "mang inasal", "bonchon", "jco",
+    ),
+    "Utilities": (
+        "electric bill", "electricity", "power bill", "water bill", "water district", "internet", "broadband", "wifi", "telephone", "phone bill", "postpaid plan",
+        "meralco", "maynilad", "manila water", "pldt", "globe", "converge", "sky cable", "cignal", "smart", "dito",
+    ),
+    "Furnitures": (
+        "desk", "chair", "cabinet", "fitting", "furniture", "table", "bookshelf", "sofa", "shelving", "filing cabinet", "steel cabinet",
+    ),
+    "Office Supplies": (
+        "stationery", "bond paper", "printer ink", "ink cartridge", "toner", "ballpen", "pencil", "paper clip", "folder", "envelope", "office supplies", "photocopier",
+        "scanner", "calculator", "stapler", "national bookstore", "office depot", "office warehouse",
+    ),
+    "Transportation": (
+        "fuel", "gasoline", "diesel", "petron", "shell", "caltex", "seaoil", "phoenix petroleum", "courier", "delivery fee", "freight", "cargo", "lbc", "jrs express",
+        "2go", "j&t express", "ninja van", "grab", "lalamove", "vehicle maintenance", "car repair", "auto repair", "tire", "oil change", "toll fee", "parking",
+        "parking fee", "parking ticket", "parking charge", "car park", "travel agency", "travel", "air ticket", "airfare", "flight", "ticketing", "service fee (ticket)",
+        "ticket fee", "booking fee",
+    ),
+    "Insurance": (
+        "insurance", "life insurance", "health insurance", "vehicle insurance", "car insurance", "property insurance", "insurance premium", "pru life", "sunlife",
+        "philam", "axa", "manulife", "insular life", "malayan insurance",
+    ),
+    "Medical & Health Supplies": (
+        "pharmacy", "drugstore", "mercury drug", "watsons", "clinic", "first aid", "first-aid", "medical supplies", "medicine", "hospital", "diagnostic", "st. luke's",
+        "makati med", "medical", "med depot", "medical depot", "medical center", "vitamins", "supplement", "softgel",
+    ),
+}
 VENDOR_ENDINGS = (" inc", " llc", " ltd", " corp", " co")
 #: Date patterns in order of preference; day before month where both would do.
 DATE_PATTERNS = (
