@@ -437,7 +437,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        model = train([_lower(t) for _, _, t in rows], np.array([y for _, y, _ in rows], np.int64))
+        model = train([_lower(t) for _, _, t in rows], np.array([y for y, _, _ in rows], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     sample = training_sample(docs, labels, id_col, text_col, label_col)
