@@ -7,9 +7,15 @@ Patterns carry look-behinds and possessive repeats so that they find the same sp
 plain forms, but in one linear scan: a plain ``[a-z]+@`` restarts at every letter of a long run
 without an @, and a plain card pattern would return every number of a table.
 
+Context words stand whole, within ``NEAR`` characters on either side of a span, and raise its score
+by ``RAISE``. The contract's base kinds stay whatever their score; a span of an added kind counts only
+from ``ACCEPT``: an account code passes by its checksum alone, a quoted value only beside a word such
+as token or password.
+
 Defined results: a null text counts as empty and has no span; a null score does not occur;
 spans of different kinds may overlap; repeated rows give the same result twice; an empty table
-gives an empty result. Existing columns are kept, only ``pii`` is added (replaced if present).
+gives an empty result. ``find_pii`` keeps all columns and adds one (replacing one of that name);
+``mask_pii`` keeps all columns, one named pii too, and changes only the text.
 """
 
 from __future__ import annotations
@@ -20,8 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters before a match in which context words count.
-NEAR = 24
+#: Characters on either side of a match in which context words count, what they add, and the score from which added kinds count.
+NEAR, RAISE, ACCEPT = 24, 0.3, 0.5
 #: Elements that a running total appends to one array before it starts another.
 STRIDE = 128
 
@@ -66,20 +72,20 @@ def _mixed(m: Column) -> Column:
 class Kind:
     name: str
     pattern: str
-    needs: str  # a character without which nothing can match; empty: none
+    needs: str  # a pattern without which nothing can match, cheaper than the whole; empty: none
     valid: Callable[[Column], Column] | None
-    confirmed: float  # score once the validator has agreed
-    context: str
+    score: float  # of a match that the validator has confirmed
+    context: tuple[str, ...]
 
 
 #: The four base kinds, then those that this method adds.
 KINDS = (
-    Kind("email", "(?:\\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++", "@", None, 0.8, "mail|contact|kontakt|correo|courriel"),
-    Kind("ip", "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++", ".", _octets, 0.6, "ip|addr|host|server"),
-    Kind("card", "[0-9](?<![0-9]{2})(?<![0-9][\\x20-][0-9])(?:[\\x20-]?[0-9]){15,18}+(?![\\x20-]?[0-9])", "", lambda m: luhn(_digits(m)), 0.8, "card|visa|karte|carte|tarjeta|credit"),
-    Kind("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", "+", _phone, 0.6, "tel|phone|call|fax|mobil"),
-    Kind("iban", "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]{4}){2,7}+(?:\\x20?[A-Z0-9]{1,3}+)?+(?![A-Za-z0-9])", "", mod97, 0.9, "iban|konto|account|compte|cuenta"),
-    Kind("secret", "(?<=(?:token|secret|password|passwd|api_key|apikey)\\x20{0,2}[=:]\\x20{0,2}[\"'])[^\"'\\x20\\x09-\\x0D]{16,}+(?=[\"'])", "", _mixed, 0.7, "token|secret|password|key"),
+    Kind("email", "(?:\\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++", "@", None, 0.7, ("mail", "email", "e-mail", "contact", "kontakt", "correo", "courriel")),
+    Kind("ip", "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++", "[0-9]\\.[0-9]", _octets, 0.6, ("ip", "addr", "address", "host", "server")),
+    Kind("card", "[0-9](?<![0-9]{2})(?<![0-9][\\x20-][0-9])(?:[\\x20-]?[0-9]){15,18}+(?![\\x20-]?[0-9])", "[0-9][\\x20-]?[0-9][\\x20-]?[0-9][\\x20-]?[0-9][\\x20-]?[0-9]", lambda m: luhn(_digits(m)), 0.7, ("card", "visa", "karte", "carte", "tarjeta", "credit")),
+    Kind("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", "\\+[0-9]", _phone, 0.6, ("tel", "phone", "call", "fax", "mobil", "mobile")),
+    Kind("iban", "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]{4}){2,7}+(?:\\x20?[A-Z0-9]{1,3}+)?+(?![A-Za-z0-9])", "[A-Z][A-Z][0-9][0-9]", mod97, 0.6, ("iban", "konto", "account", "compte", "cuenta")),
+    Kind("secret", "(?<=[=:]\\x20{0,2}[\"'])[^\"'\\x20\\x09-\\x0D]{16,}+(?=[\"'])", "[=:]\\x20{0,2}[\"']", _mixed, 0.3, ("token", "secret", "password", "passwd", "api_key", "apikey", "key", "auth")),
 )
 BASE = tuple(k.name for k in KINDS[:4])
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
@@ -97,12 +103,22 @@ def running(values: Column, zero: Column, op: Callable[[Column, Column], Column]
     return F.flatten(F.zip_with(parts, before(totals, zero), before))
 
 
+def _said(k: Kind, before: Column, after: Column) -> Column:
+    """Whether a context word of the kind stands whole on either side."""
+    words = f"(?<!\\p{{L}})(?:{'|'.join(k.context)})(?!\\p{{L}})"
+    # where the text goes on beyond the window, a letter stands for it, so that no word is cut to another
+    left = F.concat(F.when(F.length(before) > NEAR, F.lit("x")).otherwise(F.lit("")), F.right(before, F.lit(NEAR)))
+    right = F.concat(F.left(after, F.lit(NEAR)), F.when(F.length(after) > NEAR, F.lit("x")).otherwise(F.lit("")))
+    return F.lower(left).rlike(words) | F.lower(right).rlike(words)
+
+
 def _spans(k: Kind, text: Column, found: Column) -> Column:
-    """Confirmed and scored spans of one kind, from the array of its matches."""
-    gaps = F.transform(F.split(text, k.pattern, -1), lambda g: F.struct(F.length(g).alias("n"), F.lower(F.right(g, F.lit(NEAR))).alias("tail")))
-    items = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(m).alias("n"), g["n"].alias("gap"), g["tail"].alias("tail")))
+    """Confirmed, scored and accepted spans of one kind, from the array of its matches."""
+    gaps = F.transform(F.split(text, k.pattern, -1), lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(NEAR + 1)).alias("end"), F.left(g, F.lit(NEAR + 1)).alias("begin")))
+    items = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(m).alias("n"), g["n"].alias("gap"), g["end"].alias("before")))
+    items = F.zip_with(items, F.slice(gaps, 2, F.size(found)), lambda x, g: F.struct(x["m"].alias("m"), x["n"].alias("n"), x["gap"].alias("gap"), x["before"].alias("before"), g["begin"].alias("after")))
     starts = running(F.transform(items, lambda x: (x["gap"] + x["n"]).cast("bigint")), F.lit(0), lambda a, b: a + b)
-    placed = F.zip_with(items, starts, lambda x, s: F.struct(x["m"].alias("m"), x["n"].alias("n"), x["tail"].alias("tail"), (s + x["gap"]).alias("at")))
+    placed = F.zip_with(items, starts, lambda x, s: F.struct(x["m"].alias("m"), x["n"].alias("n"), x["before"].alias("before"), x["after"].alias("after"), (s + x["gap"]).alias("at")))
     if k.valid:
         placed = F.filter(placed, lambda x: k.valid(x["m"]))
     scored = F.transform(
@@ -111,26 +127,29 @@ def _spans(k: Kind, text: Column, found: Column) -> Column:
             F.lit(k.name).alias("kind"),
             x["at"].cast("bigint").alias("start"),
             (x["at"] + x["n"]).cast("bigint").alias("end"),
-            F.when(x["tail"].rlike(k.context), F.lit(min(1.0, k.confirmed + 0.2))).otherwise(F.lit(k.confirmed)).alias("score"),
+            F.when(_said(k, x["before"], x["after"]), F.lit(min(1.0, k.score + RAISE))).otherwise(F.lit(k.score)).alias("score"),
         ),
     )
+    if k.name not in BASE:
+        scored = F.filter(scored, lambda x: x["score"] >= ACCEPT)
     return F.when(F.size(found) > 0, scored.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
-def find_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``pii``: an array of (kind, start, end, score) in code points, end exclusive, by kind and start."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def find_pii(df: DataFrame, text_col: str = "text", spans_col: str = "pii") -> DataFrame:
+    """Add an array of (kind, start, end, score) in code points, end exclusive, by kind and start."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = {}
     for k in KINDS:
         hits = F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))
-        found[f"__{k.name}"] = F.when(F.contains(text, F.lit(k.needs)), hits).otherwise(F.array().cast("array<string>")) if k.needs else hits
-    return df.withColumns(found).withColumn("pii", F.concat(*[_spans(k, text, F.col(f"__{k.name}")) for k in KINDS])).drop(*found)
+        can = F.contains(text, F.lit(k.needs)) if len(k.needs) == 1 else text.rlike(k.needs)
+        found[f"__{k.name}"] = F.when(can, hits).otherwise(F.array().cast("array<string>"))
+    return df.withColumns(found).withColumn(spans_col, F.concat(*[_spans(k, text, F.col(f"__{k.name}")) for k in KINDS])).drop(*found)
 
 
-def mask_pii(df: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """Replace every span of at least that score by its kind in angle brackets; overlapping spans share one mark."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    spans = F.sort_array(F.transform(F.filter("pii", lambda s: s["score"] >= least), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
+def mask_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Replace every span by its kind in angle brackets; overlapping spans share one mark."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    spans = F.sort_array(F.transform("__pii", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
     reach = running(F.transform(F.col("__spans"), lambda s: -s["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
     pieces = F.zip_with(
         F.col("__spans"),
@@ -139,8 +158,7 @@ def mask_pii(df: DataFrame, text_col: str = "text", least: float = 0.5) -> DataF
     )
     tail = F.substring(text, (-F.array_min(F.transform(F.col("__spans"), lambda s: s["end"])) + 1).cast("int"), F.length(text))
     masked = F.when(F.size("__spans") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col(text_col))
-    cols = [c for c in df.columns if c != "pii"]
-    return find_pii(df, text_col).withColumn("__spans", spans).withColumn(text_col, masked).select(*cols)
+    return find_pii(df, text_col, "__pii").withColumn("__spans", spans).withColumn(text_col, masked).select(*df.columns)
 
 
 def pii_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,7 +1,10 @@
 import hashlib
 import re
 
-from tallyspark.llm.pii import mask_pii, pii_digest
+import pytest
+
+from tallyspark.llm import pii
+from tallyspark.llm.pii import find_pii, mask_pii, pii_digest
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -65,3 +68,79 @@ def test_long_secrets(spark):
     assert spans == {n: f"secret:9:{9 + n}" if n >= 16 else "" for n in tokens}
     masked = {r["doc_id"]: r["text"] for r in mask_pii(rows).collect()}
     assert masked == {n: "token = '<SECRET>' end" if n >= 16 else f"token = '{t}' end" for n, t in tokens.items()}
+
+
+def mod97(code):
+    code = code.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+
+
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+QUOTED = re.compile(r"(?<=[\"'])[^\"'\s]{16,}(?=[\"'])")
+
+
+def said(text, start, end, words):
+    """A context word that stands whole and lies within the characters on one side of a span."""
+    for m in re.finditer(f"(?<![^\\W\\d_])(?:{'|'.join(words)})(?![^\\W\\d_])", text.lower()):
+        if start - pii.NEAR <= m.start() and m.end() <= start or end <= m.start() and m.end() <= end + pii.NEAR:
+            return True
+    return False
+
+
+def added(text):
+    kinds = {k.name: k for k in pii.KINDS}
+    out = []
+    for m in IBAN.finditer(text):
+        if mod97(m.group()):
+            out.append(("iban", m.start(), m.end(), 0.9 if said(text, *m.span(), kinds["iban"].context) else 0.6))
+    for m in QUOTED.finditer(text):
+        if re.search(r"[=:] {0,2}.$", text[: m.start()]) and re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group()) and said(text, *m.span(), kinds["secret"].context):
+            out.append(("secret", m.start(), m.end(), 0.6))
+    return out
+
+
+SECRET = "a1b2c3d4e5f6a7b8c9d0"
+CONTEXTS = [
+    f"token = '{SECRET}'",
+    f"x = '{SECRET}' is the secret",
+    f"tokens = '{SECRET}'",
+    f"x = '{SECRET}'",
+    f"my Password: \"{SECRET}\" and token:'{SECRET[::-1]}'",
+    f"password {'.' * 9} x = '{SECRET}'",
+    f"password {'.' * 10} x = '{SECRET}'",
+    f"betoken {'.' * 13} x= '{SECRET}'",
+    f"x = '{SECRET}' {'.' * 16} token",
+    f"x = '{SECRET}' {'.' * 17} token",
+    f"x = '{SECRET}' {'.' * 16} tokens",
+    f"key = '{'a' * 20}', key = '{'1' * 20}', key = '{SECRET[:15]}'",
+    "IBAN GB82WEST12345698765432, GB82WEST12345698765432, account GB82WEST12345698765433",
+    "The librarian GB82WEST12345698765432",
+]
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    rows = spark.createDataFrame(list(enumerate(CONTEXTS)), "doc_id long, text string")
+    return {r["doc_id"]: [tuple(s) for s in r["pii"]] for r in find_pii(rows).collect()}
+
+
+@pytest.mark.parametrize("i", range(len(CONTEXTS)))
+def test_added_kinds_by_context(found, i):
+    got = [(k, a, b, round(x, 6)) for k, a, b, x in found[i] if k not in pii.BASE]
+    assert got == added(CONTEXTS[i])
+
+
+def test_context_decides():
+    assert [bool([s for s in added(t) if s[0] == "secret"]) for t in CONTEXTS[:11]] == [True, True, False, False, True, True, False, False, True, False, False]
+
+
+def test_base_kinds_keep_their_spans_and_gain_by_context(spark):
+    texts = ["call +1 (017) 555-7713", "recall +1 (017) 555-7713", "+1 (017) 555-7713 (mobile)", "hotel 1.2.3.4 recipe", "host 1.2.3.4"]
+    got = [[round(s["score"], 6) for s in r["pii"]] for r in find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").orderBy("doc_id")).collect()]
+    assert got == [[0.9], [0.6], [0.9], [0.6], [0.9]]
+
+
+def test_a_column_named_pii_is_kept(spark):
+    rows = spark.createDataFrame([(1, "a@b.cc", "mine"), (1, "a@b.cc", None), (None, None, "x")], "doc_id long, text string, pii string")
+    assert sorted(map(str, mask_pii(rows).collect())) == sorted(map(str, spark.createDataFrame([(1, "<EMAIL>", "mine"), (1, "<EMAIL>", None), (None, None, "x")], rows.schema).collect()))
+    assert pii_digest(rows).count() == 3 and mask_pii(rows.limit(0)).columns == rows.columns
