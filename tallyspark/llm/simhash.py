@@ -169,20 +169,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One document of each component: that of smallest id, one without id only where none has one."""
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
-    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    keyed = docs.withColumns({"__order": order, "__key": key})
-    rows = materialize(with_fingerprint(keyed, text_col, shingle).select(F.col("__order").alias("order"), F.col("__key").alias("key"), "fp"), "fingerprints")
-    first = F.min(F.struct("order", "key")).alias("first")
-    named = components(rows)
-    winners = rows.groupBy("fp").agg(first).join(named, "fp").groupBy("component").agg(F.min("first").alias("first"))
-    winners = winners.select(F.col("first.order").alias("__order"), F.col("first.key").alias("__key"))
-    return keyed.join(winners, ["__order", "__key"], "left_semi").dropDuplicates(["__order", "__key"]).select(*docs.columns)
-
-
-# ---- near copies: five-word shingles, candidates by bands of minima, confirmed on the shingles themselves ----------
+# ---- near copies: five-word shingles; candidates by deletion variants and by bands of minima, confirmed on the shingles ----
 #: Near copies share this much of their distinct five-word shingles.
 SIMILAR, WIDE = 0.8, 5
 #: Minima of the shingles, a byte each, in bands; documents meet that agree in all minima of a band. Of pairs alike to 0.8 all but 3 in a million do.
@@ -193,7 +180,7 @@ LIKELY = 0.7
 #: Nodes compared with each other in one task; more nodes under a key are dealt as pairs of blocks.
 BLOCK = 512
 _LANE = (np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-NEAR = "struct<node:bigint,sketch:binary>"
+NEAR = "struct<node:bigint,fp:bigint,sketch:binary>"
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -209,6 +196,14 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(mix(sum((w[d : d + total] * np.uint64(2 * d + 3) for d in range(size)), np.zeros(total, np.uint64))))
 
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """Bits set in over half of the hashes of a set, as a signed long."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), PART):
+        counts += np.unpackbits(shingles[at : at + PART].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(shingles), bitorder="little").view("<i8")[0])
+
+
 def sketch_of(shingles: np.ndarray) -> bytes:
     """A byte of each of the minima; the whole minimum is mixed first, for those of long texts have only low bits."""
     low = np.full(LANES, 2**32 - 1, np.uint32)
@@ -222,20 +217,30 @@ def sketch_of(shingles: np.ndarray) -> bytes:
 
 
 def with_near_features(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add near: node, a hash of the whole shingle set, and the sketch."""
+    """Add near: node, a hash of the whole shingle set, its fingerprint, and the sketch."""
 
     @F.arrow_udf(NEAR)
     def near(text: pa.Array) -> pa.Array:
-        nodes, sketches = np.zeros(len(text), np.uint64), []
+        nodes, fps, sketches = np.zeros(len(text), np.uint64), np.zeros(len(text), np.int64), []
         for i, t in enumerate(text):
             s = shingle_set(t.as_py())
-            nodes[i] = xxhash.xxh64_intdigest(s.tobytes())
+            nodes[i], fps[i] = xxhash.xxh64_intdigest(s.tobytes()), set_fingerprint(s)
             sketches.append(sketch_of(s))
-        return pa.StructArray.from_arrays([pa.array(nodes.view(np.int64)), pa.array(sketches, pa.binary())], ["node", "sketch"])
+        return pa.StructArray.from_arrays([pa.array(nodes.view(np.int64)), pa.array(fps), pa.array(sketches, pa.binary())], ["node", "fp", "sketch"])
 
     return df.withColumn("near", near(F.col(text_col).cast("string")))
 
 
+def variant_stars(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) of nodes whose fingerprints are equal or linked by deletion variants."""
+    heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "fingerprint_heads")
+    same = nodes.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    far = links(heads.select("fp"))
+    for side in ("a", "b"):
+        far = far.join(heads.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_node")), side).drop(side)
+    return same.union(far.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+
+
 def _matrix(sketches: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, LANES)
 
@@ -271,7 +276,7 @@ def node_links(nodes: DataFrame) -> DataFrame:
 
 
 def crossings(links: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that met under a key, are likely alike and lie in different components (node, component).
+    """Pairs (a, b) that met under a key, are likely alike and lie in different components (node, component), with those.
 
     All pairs under a key are compared, block by block; a pair comes out under the first band in which it agrees.
     """
@@ -289,16 +294,15 @@ def crossings(links: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame
         band, same = t["key"][0].as_py() >> 48, t["lo"][0] == t["hi"][0]
         own, component, node = (t[c].to_numpy() for c in ("own", "component", "node"))
         sketch = _matrix(t["sketch"])
-        a, b = [], []
+        pairs = [np.empty((2, 0), np.int64)]
         for i in range(len(node) - 1):
             j = np.flatnonzero((component[i + 1 :] != component[i]) & (same | (own[i + 1 :] != own[i]))) + i + 1
             equal = sketch[j] == sketch[i]
             likely = equal.mean(axis=1) >= LIKELY
             j = j[likely][equal[likely].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
-            a.append(np.full(len(j), node[i]))
-            b.append(node[j])
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            pairs.append(np.stack((np.full(len(j), i), j)))
+        i, j = np.concatenate(pairs, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], component[i], component[j])], ["a", "b", "a_component", "b_component"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -317,7 +321,7 @@ def crossings(links: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame
         if held:
             yield compare(held)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, a_component long, b_component long")
 
 
 def alike(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -336,33 +340,38 @@ def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
     """The edges (a, b) whose shingle sets (node, shingles) are alike to SIMILAR."""
     share = F.arrow_udf(alike, "double")
     both = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.filter(share("sa", "sb") >= SIMILAR).select("a", "b")
+    return both.filter(share("sa", "sb") >= SIMILAR).select(*edges.columns)
 
 
 def keep_one_of_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near copies: five-word shingles alike to 0.8 or more.
 
-    Documents of the same shingles are one node. Nodes that agree in a band of minima are candidates,
-    and each edge is confirmed on the shingle sets. First every node is held against the smallest one
-    under its key; where a key's nodes are not all linked by that, all pairs of different components
-    are compared. The document of smallest id stays, one without id only where none has one; of
-    repeated rows one stays.
+    Documents of the same shingles are one node. Nodes whose fingerprints are linked by deletion
+    variants are candidates, and so are those that agree in a band of minima, as most pairs alike to
+    0.8 differ in more bits than the variants reach; each edge is confirmed on the shingle sets. First
+    every node is held against the smallest one under its key; where a key's nodes are not all linked
+    by that, all pairs of different components are compared. The document of smallest id stays, one
+    without id only where none has one; of several rows of that id the one of smallest text hash, then
+    of smallest hash of its other columns; of rows that are equal throughout one stays.
     """
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
-    keyed = docs.withColumns({"__order": order, "__key": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    rows = with_near_features(keyed.select("__order", "__key", F.col(text_col).alias("text"))).select("__order", "__key", "near.node", "near.sketch")
+    others = [F.col(c).cast("string") for c in docs.columns if c not in (id_col, text_col)]
+    key = ["__order", "__key", "__rest"]
+    keyed = docs.withColumns({"__order": order, "__key": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "__rest": F.xxhash64(F.lit(0), *others)})
+    rows = with_near_features(keyed.select(*key, F.col(text_col).alias("text"))).select(*key, "near.*")
     rows = materialize(rows, "near_features")
-    nodes = materialize(rows.groupBy("node").agg(F.first("sketch").alias("sketch"), F.min(F.struct("__order", "__key")).alias("first")), "near_nodes")
+    nodes = materialize(rows.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("fp").alias("fp"), F.min(F.struct(*key)).alias("first")), "near_nodes")
     links = materialize(node_links(nodes), "near_links")
-    met = links.select("node").union(links.select("head")).distinct()
-    want = nodes.join(met, "node").select("node", "first.__order", "first.__key")
+    stars = materialize(links.select(F.col("head").alias("a"), F.col("node").alias("b")).union(variant_stars(nodes)).distinct(), "near_candidates")
+    met = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    want = nodes.join(met, "node").select("node", "first.*")
     shingles = F.arrow_udf(lambda text: pa.array([shingle_set(t.as_py()).tobytes() for t in text], pa.binary()), "binary")
-    texts = keyed.select("__order", "__key", F.col(text_col).cast("string").alias("text")).join(want, ["__order", "__key"]).dropDuplicates(["node"])
+    texts = keyed.select(*key, F.col(text_col).cast("string").alias("text")).join(want, key).dropDuplicates(["node"])
     sets = materialize(texts.select("node", shingles("text").alias("shingles")), "near_sets")
-    stars = links.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    parts = materialize(connected_components(confirmed(stars, sets)), "near_stars")
-    more = materialize(confirmed(crossings(links, parts, nodes), sets), "near_crossings")
-    parts = connected_components(more.union(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    grouped = nodes.select("node", "first").join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
-    winners = grouped.select("first.__order", "first.__key")
-    return keyed.join(winners, ["__order", "__key"], "left_semi").dropDuplicates(["__order", "__key"]).select(*docs.columns)
+    parts = connected_components(confirmed(stars, sets))
+    more = confirmed(crossings(links, parts, nodes), sets).select(F.col("a_component").alias("a"), F.col("b_component").alias("b"))
+    # the components that the crossings join are few beside the nodes
+    joined = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    named = nodes.select("node", "first").join(parts, "node", "left").select(F.coalesce("component", "node").alias("component"), "first").join(joined, "component", "left")
+    winners = named.groupBy(F.coalesce("whole", "component").alias("component")).agg(F.min("first").alias("first")).select("first.*")
+    return keyed.join(winners, key, "left_semi").dropDuplicates(key).select(*docs.columns)

@@ -3,9 +3,9 @@ import random
 import numpy as np
 import xxhash
 
+from tallyspark.llm import components, simhash
 from tallyspark.llm.components import connected_components
-from tallyspark.llm import simhash
-from tallyspark.llm.simhash import BRUTE, alike, keep_one, keep_one_of_copies, link_group, links, near_duplicates, shingle_set, sketch_of
+from tallyspark.llm.simhash import BRUTE, alike, keep_one_of_copies, link_group, links, near_duplicates, shingle_set, sketch_of
 
 
 def brute_fp(text):
@@ -81,13 +81,27 @@ def test_hot_key():
     assert [fps[r] for r in root] == brute_components(fps, fps)
 
 
-def test_keep_one_and_empty(spark):
-    rows = spark.createDataFrame([(5, "a b c d", 1), (2, "a b c d", 2), (2, "a b c d", 2), (9, "other words in here", 3)], "doc_id long, text string, fp int")
-    rows = rows.union(spark.createDataFrame([(None, "a b c d", 4), (None, "lonely text with no id", 5), (None, "another text that has none", 6)], rows.schema))
-    kept = keep_one(rows)
-    assert kept.columns == rows.columns and sorted((r["doc_id"], r["text"][:3]) for r in kept.collect() if r["doc_id"]) == [(2, "a b"), (9, "oth")]
-    assert sorted(r["fp"] for r in kept.collect() if r["doc_id"] is None) == [5, 6]
-    assert near_duplicates(rows.limit(0)).count() == 0
+def test_one_of_copies_stays_whatever_the_rows(spark):
+    """Null ids, repeated rows and ids, ties and a clashing column; the row that stays does not depend on the partitions."""
+    rows = [(5, "a b c d", 1), (2, "a b c d", 3), (2, "a b c d", 2), (2, "a b c d", 2), (9, "other words in here", 3), (None, "a b c d", 4), (None, "lonely text with no id", 5), (None, "another text that has none", 6), (None, "another text that has none", 6), (9, None, 7), (8, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node int")
+    kept = [sorted(map(str, keep_one_of_copies(df.repartition(n)).collect())) for n in (1, 4)]
+    assert kept[0] == kept[1] and len(kept[0]) == 5 and keep_one_of_copies(df).columns == df.columns
+    out = [tuple(r) for r in keep_one_of_copies(df).collect()]
+    assert sorted(r[2] for r in out if r[0] is None) == [5, 6] and {r[0] for r in out if r[0]} == {2, 8, 9} and [r[1] for r in out if r[0] == 8] == [""]
+    assert near_duplicates(df.limit(0)).count() == 0 and keep_one_of_copies(df.limit(0)).count() == 0
+
+
+def test_components(spark, monkeypatch):
+    """Rounds of joins and the last task give the same; chains, stars and rings."""
+    rng = random.Random(12)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(1, rng.randrange(200, 300)) for _ in range(60)] + [(400, 401), (401, 402), (402, 400), (7, 7), (401, 400)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one = sorted(map(tuple, connected_components(df).collect()))
+    monkeypatch.setattr(components, "SMALL", -1)
+    many = sorted(map(tuple, connected_components(df).collect()))
+    assert one == many and dict(one)[160] == 100 and dict(one)[402] == 400 and 7 not in dict(one)
+    assert connected_components(df.limit(0)).count() == 0
 
 
 def shingles(text):
