@@ -4,19 +4,22 @@ Every document enters with a fractional number of copies, its source's target di
 source's size. The whole part is kept; the fraction is rounded by pivoting: two documents of
 one source exchange word mass (not mere probability, so the expected number of *words* of the
 source never changes) until one of them is integral, and the other goes on to the next
-document. Blocks of about ``BLOCK`` documents are folded independently; their single leftovers
-form the next, 64 times smaller level of the tree. One leftover remains per source and is
-rounded to the nearer side, so a source misses its target by half a document at most.
+document. Blocks of about ``BLOCK`` documents are folded independently, from the largest document
+to the smallest, as the larger of a pair tends to stay fractional: a block's single leftover is then
+small. Leftovers form the next, 64 times smaller level of the tree. One leftover remains per source
+and is rounded to the nearer side, so a source misses its target by half of that document.
+
+Equal rows are counted before anything is dealt out and numbered where they enter the tree, so a
+document that is there many times, or many rows without id, fill blocks like any others.
 
 Defined results: a null text has size 0, and documents of size 0 take 0 words; a null source is
 a source of its own, last in order; rows that repeat a doc_id are rounded independently; an
-empty table gives an empty result. Columns other than id, text and source are ignored.
+empty table gives an empty result. ``mix`` ignores columns other than id, text and source;
+``mixed_documents`` keeps them all.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,19 +28,20 @@ from tallyspark.llm.text import n_words
 from tallyspark.session import materialize
 
 BLOCK = 64
+WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 #: A source table with at most this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_SOURCES = 100_000
 SEED = 20
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
-    """source, source_size, n_docs, target for a table of (source, size).
+    """source, source_size, n_docs, target for a table of (source, size, n), n being the number of such documents.
 
     Targets rise with one water level per unit of weight until they hold ``share`` times all
     sizes; a source that reaches ``cap`` times its own size stops there and the others take the
     rest. Each round is one distributed aggregate; rounds end when no further source stops.
     """
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    sources = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
     ranked = with_rank(sources, [F.asc_nulls_last("source")])
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     ranked = materialize(
@@ -68,15 +72,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap
 
 
 def _fold(items: str) -> str:
-    """SQL for pivoting through an array of (r, u, id, size, whole, part) structs."""
-    cur = "struct<id:bigint,size:bigint,whole:bigint,part:double>"
-    done = "array<struct<id:bigint,size:bigint,copies:bigint>>"
+    """SQL for pivoting through an array of (r, k, u, id, tie, size, whole, part) structs."""
+    cur = "struct<id:bigint,tie:bigint,size:bigint,whole:bigint,part:double>"
+    done = "array<struct<id:bigint,tie:bigint,size:bigint,copies:bigint>>"
 
     def ended(who: str, up: int) -> str:
-        return f"named_struct('id', {who}.id, 'size', {who}.size, 'copies', {who}.whole + {up}L)"
+        return f"named_struct('id', {who}.id, 'tie', {who}.tie, 'size', {who}.size, 'copies', {who}.whole + {up}L)"
 
     def on(who: str, part: str) -> str:
-        return f"named_struct('id', {who}.id, 'size', {who}.size, 'whole', {who}.whole, 'part', {part})"
+        return f"named_struct('id', {who}.id, 'tie', {who}.tie, 'size', {who}.size, 'whole', {who}.whole, 'part', {part})"
 
     def step(new: str, out: str) -> str:
         return f"named_struct('cur', {new}, 'out', array_append(s.out, {out}))"
@@ -101,15 +105,32 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    weights: tuple[int, ...] = (5, 2, 1),
-    share: float = 1.5,
-    cap: float = 2.0,
+    weights: tuple[int, ...] = WEIGHTS,
+    share: float = SHARE,
+    cap: float = CAP,
     seed: int = SEED,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken."""
-    base = materialize(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "sizes"
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tie"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    return _mixed(rows, weights, share, cap, seed).drop("tie")
+
+
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """All documents with their columns, and size, source_size, target, copies and taken (replacing columns of those names)."""
+    added = ["size", "source_size", "target", "copies", "taken"]
+    kept = docs.select(*[c for c in docs.columns if c not in added])
+    tie = F.xxhash64(*[F.col(c).cast("string") for c in kept.columns])
+    keyed = kept.withColumn("__tie", tie)
+    rows = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__tie").alias("tie"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    mixed = _mixed(rows, how.get("weights", WEIGHTS), how.get("share", SHARE), how.get("cap", CAP), how.get("seed", SEED))
+    # rows that are equal throughout share a key: one of them is joined, and comes out once for each
+    plans = mixed.groupBy(F.col("tie").alias("__tie")).agg(F.collect_list(F.struct(*added)).alias("__plans"))
+    one = keyed.join(plans, "__tie").dropDuplicates(["__tie"])
+    return one.withColumn("__plan", F.explode("__plans")).select(*kept.columns, *[F.col(f"__plan.{c}").alias(c) for c in added])
+
+
+def _mixed(rows: DataFrame, weights: tuple[int, ...], share: float, cap: float, seed: int) -> DataFrame:
+    base = materialize(rows.groupBy("doc_id", "tie", "source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
     sources = materialize(source_targets(base, weights, share, cap), "targets")
     if sources.count() <= BROADCAST_SOURCES:
         sources = F.broadcast(sources)
@@ -118,15 +139,16 @@ def mix(
     near = F.round(ratio)
     ratio = F.when(F.abs(ratio - near) < 1e-12, near).otherwise(ratio)
     rows = rows.withColumn("ratio", ratio).withColumn("whole", F.floor("ratio").cast("long")).withColumn("part", F.col("ratio") - F.col("whole"))
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     keys = ["source", "source_size", "target"]
     settled = (F.col("size") == 0) | (F.col("part") == 0)
-    outs = [rows.filter(settled).select(*keys, "doc_id", "size", F.col("whole").alias("copies"))]
-    left, level = rows.filter(~settled).select(*keys, "n_docs", "doc_id", "size", "whole", "part"), 0
+    outs = [rows.filter(settled).select(*keys, "doc_id", "tie", "size", F.col("whole").alias("copies"))]
+    left, level = rows.filter(~settled).select(*keys, "n_docs", "doc_id", "tie", "nth", "size", "whole", "part"), 0
     while True:
         blocks = F.greatest(F.ceil(F.col("n_docs") / F.lit(float(BLOCK) ** (level + 1))), F.lit(1)).cast("long")
-        key = F.xxhash64("doc_id", F.lit(seed), F.lit(level))
-        draw = F.pmod(F.xxhash64("doc_id", "size", F.lit(level), F.lit(seed + 1)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-        item = F.struct(key.alias("r"), draw.alias("u"), F.col("doc_id").alias("id"), "size", "whole", "part")
+        key = F.xxhash64("doc_id", "tie", "nth", F.lit(seed), F.lit(level))
+        draw = F.pmod(F.xxhash64("doc_id", "tie", "nth", "size", F.lit(level), F.lit(seed + 1)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        item = F.struct((-F.col("size")).alias("r"), key.alias("k"), draw.alias("u"), F.col("doc_id").alias("id"), "tie", "size", "whole", "part")
         folded = (
             left.withColumn("block", F.pmod(key, blocks))
             .groupBy(*keys, "n_docs", "block")
@@ -134,17 +156,19 @@ def mix(
             .select(*keys, "n_docs", "block", F.expr(_fold("items")).alias("f"))
         )
         folded = materialize(folded, "level")
-        outs.append(folded.select(*keys, F.explode("f.out").alias("o")).select(*keys, F.col("o.id").alias("doc_id"), "o.size", "o.copies"))
-        left = folded.select(*keys, "n_docs", F.col("f.cur.id").alias("doc_id"), "f.cur.size", "f.cur.whole", "f.cur.part")
+        outs.append(folded.select(*keys, F.explode("f.out").alias("o")).select(*keys, F.col("o.id").alias("doc_id"), "o.tie", "o.size", "o.copies"))
+        # leftovers of equal rows are told apart by their block
+        left = folded.select(*keys, "n_docs", F.col("f.cur.id").alias("doc_id"), "f.cur.tie", F.col("block").alias("nth"), "f.cur.size", "f.cur.whole", "f.cur.part")
         level += 1
         if not left.filter(F.col("n_docs") > F.lit(float(BLOCK) ** level)).limit(1).count():
             break
-    outs.append(left.select(*keys, "doc_id", "size", (F.col("whole") + F.when(F.col("part") >= 0.5, 1).otherwise(0)).alias("copies")))
+    outs.append(left.select(*keys, "doc_id", "tie", "size", (F.col("whole") + F.when(F.col("part") >= 0.5, 1).otherwise(0)).alias("copies")))
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)
     return out.select(
         "doc_id",
+        "tie",
         "source",
         "size",
         F.col("source_size").cast("long").alias("source_size"),
@@ -152,8 +176,3 @@ def mix(
         F.col("copies").cast("long").alias("copies"),
         (F.col("size") * F.col("copies")).cast("long").alias("taken"),
     )
-
-
-def max_levels(n_docs: int) -> int:
-    """Levels of the reduction tree for a source of so many documents."""
-    return max(1, math.ceil(math.log(max(n_docs, 2), BLOCK)))

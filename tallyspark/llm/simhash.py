@@ -172,11 +172,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # ---- near copies: five-word shingles; candidates by deletion variants and by bands of minima, confirmed on the shingles ----
 #: Near copies share this much of their distinct five-word shingles.
 SIMILAR, WIDE = 0.8, 5
-#: Minima of the shingles, a byte each, in bands; documents meet that agree in all minima of a band. Of pairs alike to 0.8 all but 3 in a million do.
-BANDS, ROWS = 42, 6
+#: Minima of the shingles, a byte each, in bands; documents meet that agree in all minima of a band. Of pairs alike to 0.8 all but 7 in 100,000 do.
+BANDS, ROWS = 24, 5
 LANES = BANDS * ROWS
 #: Share of equal minima below which a pair that met is not looked at: four standard deviations of the estimate below 0.8.
-LIKELY = 0.7
+LIKELY = 0.65
 #: Nodes compared with each other in one task; more nodes under a key are dealt as pairs of blocks.
 BLOCK = 512
 _LANE = (np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
