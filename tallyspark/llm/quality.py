@@ -49,8 +49,9 @@ def ngrams(text: bytes) -> Iterator[np.ndarray]:
     lo = 0
     while lo < len(raw):
         hi = lo + PART
-        while hi < len(raw) and _KIND[raw[hi]] and hi < lo + 2 * PART:
-            hi += 1  # not within a token
+        while hi < len(raw) and _KIND[raw[hi]]:  # not within a token, however long
+            gap = np.flatnonzero(_KIND[raw[hi : hi + PART]] == 0)
+            hi += int(gap[0]) if len(gap) else PART
         kind = _KIND[raw[lo:hi]]
         change = np.flatnonzero(np.diff(kind)) + 1
         first = np.concatenate(([0], change))

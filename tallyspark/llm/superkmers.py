@@ -8,7 +8,8 @@ choose the bucket and tell minimisers apart, and the buckets compare the strings
 The plan has two exchanges of packed rows. ``deal`` cuts documents and sends each batch's strings
 to buckets, after merging strings that the batch holds more than once; a bucket's judge returns
 the runs of windows that are to go; ``apply_marks`` sends those back to the documents.
-Hot strings are merged before they travel, so a bucket gets at most one copy from each batch.
+Hot strings are merged before they travel, so a bucket gets at most one copy from each batch. The
+number of buckets follows the bytes of the texts, so a bucket stays about as large at any size.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ LEVEL = 6
 BATCH_BYTES = 16 << 20
 #: Units cut at once, so that the working arrays stay in cache.
 CHUNK = 1 << 18
-#: Buckets and targets for each shuffle partition; memory is bounded by one of them.
-SPREAD = 2
+#: Bytes of text for each shuffle partition and for each bucket, and buckets for each partition at least; memory is bounded by a bucket.
+PART_BYTES, BUCKET_BYTES, SPREAD = 64 << 20, 8 << 20, 2
 #: Order of a document without id: after all others.
 NO_ID = 2**63 - 1
 _PLACE = np.uint64((1 << 24) - 1)
@@ -112,7 +113,7 @@ def _ids(ids: np.ndarray) -> bytes:
 #: extra: bytes of a string beyond one for each window.
 FIELDS = (("tag", 3), ("start", 4), ("windows", 4), ("piece", 4), ("extra", 4))
 #: Bytes of a row key, which tells rows of one doc_id apart.
-KEY = 5
+KEY = 7
 
 
 def pack(order: np.ndarray, key: np.ndarray, fields: dict[str, np.ndarray], strings: bytes = b"") -> bytes:
@@ -363,6 +364,7 @@ def apply_marks(rows: DataFrame, marks: DataFrame, finish: Callable[[bytes, np.n
 
 
 def plan(rows: DataFrame) -> tuple[int, int]:
-    """Shuffle partitions, and buckets or targets."""
-    parts = shuffle_partitions(rows.sparkSession)
-    return parts, parts * SPREAD
+    """Shuffle partitions, and buckets or targets: as many as the session has, or as the texts need."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_partitions(rows.sparkSession), -(-total // PART_BYTES))
+    return parts, max(parts * SPREAD, -(-total // BUCKET_BYTES))

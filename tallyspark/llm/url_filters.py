@@ -3,14 +3,14 @@
 An entry is (list, kind, rule, action, dated_at): at that time the list adds or removes the rule. A
 rule is a host with an optional path; it covers the host's subdomains and whatever lies below the
 path. An add is valid until the rule's next entry on that list. A capture's keys are its host's
-suffixes, each with the beginnings of its path down to the deepest rule, so matching is an equality
-join; intervals are dealt by month as well, so a long history meets only its captures' months.
+suffixes of no more labels than the longest rule's host, each with the beginnings of its path down to
+the deepest rule, so matching is an equality join, whatever the host's length; intervals are dealt by month as well, so a long history meets only its captures' months.
 Of the rules active at the fetch the longest decides, allowing before blocking.
 
 Intervals up to ``BROADCAST_ROWS`` rows are broadcast. More are joined by shuffle, captures salted
 and intervals repeated for each salt, as one host may hold a third of all captures.
 
-Defined results: a null or malformed url, a host above 253 characters and a null fetch time match
+Defined results: a null or malformed url and a null fetch time match
 nothing and are not blocked; entries with a null field are ignored; of entries with one time the
 removal comes last; repeated captures get a row each; no entries block nothing; an empty table
 gives an empty result. DataFrame functions only.
@@ -25,7 +25,6 @@ from tallyspark.session import materialize
 
 BROADCAST_ROWS = 100_000
 SALTS = 16
-LONGEST_HOST = 253
 #: The lists of the registered query.
 ENTRIES = (
     ("ads", "block", "ads-track.example.com", "add", "2024-01-10"),
@@ -68,9 +67,9 @@ def _month(t: Column) -> Column:
     return (F.year(t) * 12 + F.month(t)).cast("int")
 
 
-def _keys(host: Column, path: Column, depth: int) -> Column:
+def _keys(host: Column, path: Column, labels_in_rules: int, depth: int) -> Column:
     labels = F.split(host, "\\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(1, labels_in_rules)))), lambda n: F.array_join(F.slice(labels, -n, n), "."))
     if not depth:
         return suffixes
     parts = F.filter(F.slice(F.split(path, "/"), 2, depth), lambda p: p != "")
@@ -84,13 +83,13 @@ def url_verdicts(captures: DataFrame, entries: DataFrame, *, id_col: str = "page
     base = materialize(base.withColumn("host", host_of(F.col("url"))), "captures")  # rows keep their numbers from here on
     valid = materialize(intervals(entries), "intervals")
     bounds = base.agg(F.min("fetched_at").alias("low"), F.max("fetched_at").alias("high")).first()
-    depth = valid.agg(F.max(F.size(F.split("rule", "/")) - 1)).first()[0] or 0
+    rules = valid.agg(F.max(F.size(F.split("rule", "/")) - 1), F.max(F.size(F.split(F.substring_index("rule", "/", 1), "\\.")))).first()
     low, high = (F.lit(bounds[k]).cast("timestamp") for k in ("low", "high"))
     last = F.least(F.coalesce("until", high), high)
     dealt = valid.filter((F.col("since") <= high) & (F.col("until").isNull() | (F.col("until") > low)))
     dealt = dealt.withColumn("month", F.explode(F.sequence(_month(F.greatest("since", low)), _month(last))))
-    asked = base.filter((F.col("host") != "") & (F.length("host") <= LONGEST_HOST) & F.col("fetched_at").isNotNull())
-    asked = asked.select("row", "fetched_at", _month(F.col("fetched_at")).alias("month"), F.explode(_keys(F.col("host"), path_of(F.col("url")), depth)).alias("rule"))
+    asked = base.filter((F.col("host") != "") & F.col("fetched_at").isNotNull())
+    asked = asked.select("row", "fetched_at", _month(F.col("fetched_at")).alias("month"), F.explode(_keys(F.col("host"), path_of(F.col("url")), rules[1] or 0, rules[0] or 0)).alias("rule"))
     on = ["rule", "month"]
     if dealt.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         dealt = F.broadcast(dealt)

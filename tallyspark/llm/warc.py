@@ -1,7 +1,9 @@
 """Deterministic sharded WARC writer, and the reader that proves it.
 
-Pages are cut into shards at exact ranks of page_id, so shard borders do not depend on sampling
-or on the cluster. One task writes one shard: records in order of page_id, each its own gzip
+Pages are cut into shards of about ``shard_bytes`` of payload at exact places of the order by page_id,
+so shard borders do not depend on sampling or on the cluster. Pages of one id, or of none, are
+ordered by a hash of what they hold, so they fall to several shards too; only pages that are equal
+throughout stay together. One task writes one shard, and no two shards share a task: records in order of page_id, each its own gzip
 member, a new file as soon as the current one reaches ``roll_bytes`` compressed. Headers, record
 ids and digests are computed anew from the page, never copied. A file is written under a
 temporary name in the target folder and renamed when whole; a task that is run again writes the
@@ -31,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.ranks import with_rank
@@ -40,12 +42,14 @@ from tallyspark.session import materialize, scratch_path
 MIN_REVISIT = 100
 ROLL_BYTES = 32 << 20
 SHARD_BYTES = 16 << 20
-#: Shard borders go to the driver, so their number is bounded; shards grow beyond it.
-MAX_SHARDS = 1 << 16
+#: Numbers tried for each partition when looking for one that Spark's hash sends there.
+TRIES = 16
 #: Manifests of up to so many files are broadcast to the reader's scan.
 BROADCAST_FILES = 100_000
 SALTS = 16
 LEVEL = 4
+#: Bytes that a record takes beside its payload, about.
+HEAD = 600
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "file string, shard long, records long, bytes long, sha256 string"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -103,14 +107,40 @@ class Files:
 
 
 def _borders(meta: DataFrame, shard_bytes: int) -> np.ndarray:
-    """The smallest sort key of each shard after the first, at equal ranks."""
-    total = meta.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("bytes")).first()
-    if not total["rows"]:
-        return np.empty(0, np.int64)
-    shards = max(1, min(MAX_SHARDS, -(-(total["bytes"] or 0) // shard_bytes)))
-    step = -(-total["rows"] // shards)
-    at = with_rank(meta.select("order"), [F.col("order")]).filter((F.col("rank") % step == 0) & (F.col("rank") > 0))
-    return np.unique(np.array([r[0] for r in at.select("order").collect()], np.int64))
+    """The smallest (order, tie) of each shard after the first: two longs for each shard_bytes of payload.
+
+    A shard ends at the first page that brings the bytes before it to a multiple of shard_bytes. They are
+    summed exactly along the order: within each sorted part file, and over the files before it.
+    """
+    ranked = materialize(with_rank(meta.groupBy("order", "tie").agg(F.sum(F.col("n") + HEAD).alias("n")), [F.col("order"), F.col("tie")]), "ranked_pages")
+    block = F.floor(F.col("rank") / 4096)
+    sums = materialize(ranked.groupBy(block.alias("block")).agg(F.sum("n").alias("n")), "page_bytes")
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for 4096 pages is summed in order
+    starts = sums.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("block").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranked.withColumn("block", block).join(starts, "block").withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0)))
+    shard = F.floor(F.col("start") / shard_bytes)
+    cut = rows.groupBy(shard.alias("shard")).agg(F.min(F.struct("order", "tie")).alias("at")).filter("shard > 0").select("at.order", "at.tie")
+    got = cut.toArrow()
+    both = np.stack([got.column(c).to_numpy() for c in ("order", "tie")]).astype(np.int64)
+    return both[:, np.lexsort(both[::-1])]
+
+
+def shards_of(borders: np.ndarray, order: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Number of borders that are not above each (order, tie)."""
+    low, high = (np.searchsorted(borders[0], order, side=side) for side in ("left", "right"))
+    for i in np.flatnonzero(high > low).tolist():
+        low[i] += np.searchsorted(borders[1][low[i] : high[i]], tie[i], side="right")
+    return low
+
+
+def _places(spark: SparkSession, n: int) -> np.ndarray:
+    """For each partition of n a number that Spark's hash partitioning sends there, as far as there is one among those tried."""
+    tried = spark.range(n * TRIES).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("to")).agg(F.min("id").alias("id")).toArrow()
+    out = np.arange(n)
+    out[tried.column(0).to_numpy()] = tried.column(1).to_numpy()
+    return out
 
 
 def _revisits(meta: DataFrame, min_bytes: int) -> DataFrame:
@@ -118,7 +148,7 @@ def _revisits(meta: DataFrame, min_bytes: int) -> DataFrame:
     first = meta.filter(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1 and first is not null")
     first = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = meta.withColumn("salt", F.pmod(F.xxhash64("order"), F.lit(SALTS)).cast("int"))
-    return rows.join(first, ["digest", "salt"]).filter("page_id is null or page_id > first").select("order", "digest", F.col("first").alias("refers_to"))
+    return rows.join(first, ["digest", "salt"]).filter("page_id is null or page_id > first").select("order", "tie", "digest", F.col("first").alias("refers_to"))
 
 
 def write_warc(
@@ -135,19 +165,22 @@ def write_warc(
     """Write the pages as WARC files into ``folder``, a path that all executors share; returns the manifest."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    base = base.withColumn("digest", F.sha2("payload", 256)).withColumn("order", F.coalesce("page_id", F.lit(-(2**63))))
-    meta = materialize(base.select("page_id", "order", "digest", F.octet_length("payload").alias("n")), "page_meta")
+    base = base.withColumn("digest", F.sha2("payload", 256)).withColumn("order", F.coalesce("page_id", F.lit(-(2**63)))).withColumn("tie", F.xxhash64("digest", "url"))
+    meta = materialize(base.select("page_id", "order", "tie", "digest", F.octet_length("payload").alias("n")), "page_meta")
     borders = _borders(meta, shard_bytes)
+    shards = borders.shape[1] + 1
+    places = _places(pages.sparkSession, shards)
 
-    @F.pandas_udf("long")
-    def shard_of(order: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(borders, order.to_numpy(np.int64), side="right"))
+    @F.pandas_udf("shard long, place long")
+    def shard_of(order: pd.Series, tie: pd.Series) -> pd.DataFrame:
+        shard = shards_of(borders, order.to_numpy(np.int64), tie.to_numpy(np.int64))
+        return pd.DataFrame({"shard": shard, "place": places[shard]})
 
     # a revisit's note sorts right before its page, so payloads are shuffled once and joined to nothing
-    notes = _revisits(meta, min_revisit).select("order", "digest", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
-    rows = base.select("order", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "page_id", "url", "payload")
-    rows = rows.unionByName(notes).withColumn("shard", shard_of("order"))
-    rows = rows.repartition(len(borders) + 1, "shard").sortWithinPartitions("shard", "order", "digest", "kind", F.asc_nulls_first("url"))
+    notes = _revisits(meta, min_revisit).select("order", "tie", "digest", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
+    rows = base.select("order", "tie", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "page_id", "url", "payload")
+    rows = rows.unionByName(notes).withColumn("to", shard_of("order", "tie")).select("*", "to.shard", "to.place").drop("to")
+    rows = rows.repartition(shards, "place").sortWithinPartitions("shard", "order", "tie", "kind", F.asc_nulls_first("url")).drop("place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, done = Files(folder), []

@@ -39,6 +39,7 @@ def test_against_brute_force(spark, monkeypatch, broadcast):
         entries.append((lst, kinds[lst], rng.choice(rules), rng.choice(["add", "add", "remove"]), day()))
     entries += [(None, "block", "a.com", "add", "2022-01-01"), ("l1", "block", "a.com", "add", None)]
     captures = [(i, rng.choice(hosts), rng.choice(["", "/", "/p", "/P/q/r", "/pq", "/p/x"]), day()) for i in range(300)]
+    captures += [(400, "z." * n + "x.a.com", "/p", "2023-05-05") for n in (122, 123, 130, 3000)]  # around and beyond the longest name of the DNS
     captures += [(None, "X.a.com", "/p", "2023-05-05"), (1, None, "/p", "2023-05-05"), (2, "a.com", "/p", None), (3, "a.com", "", "2023-01-01"), (3, "a.com", "", "2023-01-01")]
     rows = [(i, f"https://u@{h}:80{p}?q#f" if h else None, t, "x") for i, h, p, t in captures]
     df = spark.createDataFrame(rows, "page_id long, url string, fetched_at string, host string")
