@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm.decontamination import drop_leaks
-from tallyspark.llm.mixing import mix
+from tallyspark.llm.mixing import mixed_documents
 from tallyspark.llm.pii import mask_pii
 from tallyspark.llm.simhash import keep_one_of_copies
 from tallyspark.llm.toxicity import drop_toxic
-from tallyspark.session import materialize, read_table
+from tallyspark.session import materialize, read_table, spread
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies and words that the mix takes of each document."""
-    return mix(docs)
+    """All documents with the copies and words that the mix takes of each."""
+    return mixed_documents(docs)
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("mixing", mixing)]
@@ -43,7 +43,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
