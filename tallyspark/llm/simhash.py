@@ -275,13 +275,13 @@ def node_links(nodes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, head long, node long")
 
 
-def crossings(links: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
+def crossings(links: DataFrame, labels: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
     """Pairs (a, b) that met under a key, are likely alike and lie in different components (node, component), with those.
 
-    All pairs under a key are compared, block by block; a pair comes out under the first band in which it agrees.
+    All pairs under a key are compared, block by block. Either each node's likeliest partner comes out, or every
+    likely pair, under the first band in which it agrees.
     """
-    members = links.select("key", "node").union(links.groupBy("key").agg(F.min("head").alias("node")))
-    members = members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    members = links.select("key", "node").union(links.groupBy("key").agg(F.min("head").alias("node"))).join(labels, "node")
     several = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
     rows = members.join(several.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
@@ -295,13 +295,18 @@ def crossings(links: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame
         own, component, node = (t[c].to_numpy() for c in ("own", "component", "node"))
         sketch = _matrix(t["sketch"])
         pairs = [np.empty((2, 0), np.int64)]
-        for i in range(len(node) - 1):
+        for i in range(len(node) if best else 0):
+            share = np.where((component != component[i]) & (same | (own != own[i])), (sketch == sketch[i]).mean(axis=1), 0.0)
+            if share[j := int(share.argmax())] >= LIKELY:
+                pairs.append(np.array([[i], [j]]))
+        for i in range(0 if best else len(node) - 1):
             j = np.flatnonzero((component[i + 1 :] != component[i]) & (same | (own[i + 1 :] != own[i]))) + i + 1
             equal = sketch[j] == sketch[i]
             likely = equal.mean(axis=1) >= LIKELY
             j = j[likely][equal[likely].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
             pairs.append(np.stack((np.full(len(j), i), j)))
         i, j = np.concatenate(pairs, axis=1)
+        i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], component[i], component[j])], ["a", "b", "a_component", "b_component"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,8 +354,9 @@ def keep_one_of_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Documents of the same shingles are one node. Nodes whose fingerprints are linked by deletion
     variants are candidates, and so are those that agree in a band of minima, as most pairs alike to
     0.8 differ in more bits than the variants reach; each edge is confirmed on the shingle sets. First
-    every node is held against the smallest one under its key; where a key's nodes are not all linked
-    by that, all pairs of different components are compared. The document of smallest id stays, one
+    every node is held against the smallest one under its key. Where a key's nodes are not all linked by
+    that, each is held against its likeliest partner in another component, as edited copies are nearest
+    to what they are copies of; then all likely pairs of components that are still apart are compared. The document of smallest id stays, one
     without id only where none has one; of several rows of that id the one of smallest text hash, then
     of smallest hash of its other columns; of rows that are equal throughout one stays.
     """
@@ -369,9 +375,15 @@ def keep_one_of_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = keyed.select(*key, F.col(text_col).cast("string").alias("text")).join(want, key).dropDuplicates(["node"])
     sets = materialize(texts.select("node", shingles("text").alias("shingles")), "near_sets")
     parts = connected_components(confirmed(stars, sets))
-    more = confirmed(crossings(links, parts, nodes), sets).select(F.col("a_component").alias("a"), F.col("b_component").alias("b"))
-    # the components that the crossings join are few beside the nodes
-    joined = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    named = nodes.select("node", "first").join(parts, "node", "left").select(F.coalesce("component", "node").alias("component"), "first").join(joined, "component", "left")
-    winners = named.groupBy(F.coalesce("whole", "component").alias("component")).agg(F.min("first").alias("first")).select("first.*")
+    labels = materialize(met.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "near_labels")
+    for best in (True, False):
+        pairs = materialize(crossings(links, labels, nodes, best).distinct(), "near_crossings")
+        if pairs.isEmpty():
+            break
+        # the components that the crossings join are few beside the nodes
+        joined = connected_components(confirmed(pairs, sets).select(F.col("a_component").alias("a"), F.col("b_component").alias("b")))
+        joined = joined.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        labels = materialize(labels.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")), "near_labels")
+    named = nodes.select("node", "first").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    winners = named.groupBy("component").agg(F.min("first").alias("first")).select("first.*")
     return keyed.join(winners, key, "left_semi").dropDuplicates(key).select(*docs.columns)
