@@ -24,6 +24,22 @@ CREDIT = "(?i)\\b(?:remaining balance|previous balance|carried balance|balance f
 CHECKBOXES = ("cash sales", "charge sales", "cash sale", "charge sale", "cash", "charge")
 GARBLED = 7  # consonants in a row
 CONFIDENT = 0.75
+#: Notes that are about fields which they do not name.
+ABOUT = {
+    "amounts do not add up to the charges": ("subtotal", "discount"),
+    "current charges and previous balance are not the total": ("current_charges_total", "previous_balance", "total_amount"),
+    "subtotal is missing": ("subtotal", "total_amount"),
+    "total_amount is not in the text": ("total_amount", "subtotal"),
+    "due date does not fit the terms": ("invoice_date",),
+    "amounts are not numbers": ("subtotal",),
+}
+#: Parts of a document's score: where it begins, and what reading, completeness, sums and notes change.
+BASE_SCORE, BY_OCR, BY_COMPLETENESS = 0.52, 0.20, 0.18
+SUMS_HOLD, SUMS_FAIL = {"charges": 0.07, "bill": 0.03, "items": 0.03}, {"charges": 0.14, "bill": 0.10, "items": 0.06}
+BY_NOTE, MOST_BY_NOTES, HAND_ONLY, HAND_TOO = 0.15, 0.5, 0.25, 0.08
+#: Parts of a field's score.
+FIELD_BASE, UNNAMED, FIELD_SUMS_FAIL, BILL_HOLDS, KEY_FIELD, NAMED_SHARE = 0.66, 0.06, 0.18, 0.04, 0.03, 0.58
+KEY_FIELDS = ("invoice_number", "invoice_date", "vendor_name", "vendor_tax_id")
 SCORED = (*REQUIRED, "vendor_tax_id", "customer_name", "customer_address", "subtotal", "tax_amount", "discount", "withholding_tax", "zero_rated_sales", "vat_exempt_sales", "current_charges_total", "previous_balance")
 # -----------------------------------------------------------------------------------------------
 
@@ -123,6 +139,9 @@ def issues(df: DataFrame, today: date, text: Column | None = None, template: str
     target = F.coalesce(current, total)
     out.append((F.abs(identity_total(c) - cents(target)) > F.lit(0.02).cast("decimal(18,4)"), "amounts do not add up to the charges"))
     out.append((sub.isNotNull() & off(current + before, total, 0.02), "current charges and previous balance are not the total"))
+    words = [c(f).isNotNull() & n(f).isNull() for f in ("tax_amount", "zero_rated_sales", "vat_exempt_sales", "discount", "withholding_tax") if c.types.get(f) == "string"]
+    if words:
+        out.append((c("subtotal").isNotNull() & target.isNotNull() & reduce(lambda a, b: a | b, words), "amounts are not numbers"))
     out.append((sub.isNull() & (total > 0), "subtotal is missing"))
     out.append(((blank(c("currency")) != "") & ~c("currency").isin(*CURRENCIES), "currency is not a code"))
     number = F.trim(blank(c("invoice_number").cast("string")))
@@ -146,7 +165,12 @@ def issues(df: DataFrame, today: date, text: Column | None = None, template: str
     days = F.regexp_extract(blank(c("payment_terms")), "(?i)net\\s*([0-9]{1,3})", 1).try_cast("int")
     terms = F.when(F.datediff(c("due_date").try_cast("date"), c("invoice_date").try_cast("date")) != days, "due date does not fit the terms")
     if template == "retail":
-        terms = F.coalesce(terms, F.when(off(sub + n("tax_amount"), total, 0.01), "net and VAT are not the total"))
+        vat = c.or_zero("tax_amount")
+        retail = [F.when(off(sub, total - vat, 0.01), "net is not the total less VAT"), F.when(off(total, sub + vat, 0.01), "the total is not net and VAT")]
+        if "line_items" in c.types:
+            summed = F.aggregate("line_items", F.lit(0).cast("decimal(18,4)"), lambda s, x: (s + F.coalesce(cents(x["amount"]), F.lit(0).cast("decimal(18,4)"))).cast("decimal(18,4)"))
+            retail.append(F.when(F.abs(summed - cents(c.or_zero("discount")) - cents(total)) > F.lit("0.01").cast("decimal(18,4)"), "items less discount are not the total"))
+        return F.concat(notes, F.array_compact(F.array(terms, *retail)))
     return F.concat(notes, F.array_compact(F.array(terms)))
 
 
@@ -166,34 +190,44 @@ def items_consistent(items: Column) -> Column:
     return F.when(F.size(checked) > 0, fits)
 
 
+def about(issues: Column, field: str, charged: Column | None = None) -> Column:
+    """Whether a note is about a field: by its name, or because of what the note compares."""
+    notes = [n for n, fields in ABOUT.items() if field in fields]
+    hit = F.exists(issues, lambda n: F.contains(n, F.lit(field)) | (n.isin(*notes) if notes else F.lit(False)))
+    return hit if charged is None else hit | (charged & F.array_contains(issues, "amounts do not add up to the charges"))
+
+
 def scored(df: DataFrame, issues_col: str = "issues", ocr_col: str = "ocr_confidence", engine_col: str = "engine") -> DataFrame:
-    """Add confidence, needs_review and field_confidences."""
+    """Add confidence, needs_review and field_confidences; cells of items follow the fields where the table has evidence of them."""
     c = Cells(df)
     ocr = clamp(F.coalesce(F.col(ocr_col), F.lit(0.0)))
-    charges, bill = consistency(df)
-    items = items_consistent(F.col("line_items")) if "line_items" in c.types else F.lit(None).cast("boolean")
-    bonus = lambda flag, yes, no: F.when(flag, yes).when(~flag, -no).otherwise(0.0)
+    flags = dict(zip(("charges", "bill"), consistency(df), strict=True))
+    flags["items"] = items_consistent(F.col("line_items")) if "line_items" in c.types else F.lit(None).cast("boolean")
     present = reduce(lambda a, b: a + b, [F.when(c.missing(f), 0).otherwise(1) for f in REQUIRED])
     engines = F.split(blank(c(engine_col)), "\\+")
     hand = F.array_contains(engines, "trocr")
-    total = F.lit(0.52) + 0.20 * ocr + 0.18 * present / len(REQUIRED) + bonus(charges, 0.07, 0.14) + bonus(bill, 0.03, 0.10) + bonus(items, 0.03, 0.06)
-    total = total - F.least(F.lit(0.5), 0.15 * F.size(issues_col)) - F.when(hand & (F.size(F.array_distinct(engines)) == 1), 0.25).when(hand, 0.08).otherwise(0.0)
-    text = F.lower(F.array_join(issues_col, " "))
+    score = F.lit(BASE_SCORE) + BY_OCR * ocr + BY_COMPLETENESS * present / len(REQUIRED)
+    for name, flag in flags.items():
+        score = score + F.when(flag, SUMS_HOLD[name]).when(~flag, -SUMS_FAIL[name]).otherwise(0.0)
+    score = score - F.least(F.lit(MOST_BY_NOTES), BY_NOTE * F.size(issues_col)) - F.when(hand & (F.size(F.array_distinct(engines)) == 1), HAND_ONLY).when(hand, HAND_TOO).otherwise(0.0)
 
     def of(field: str) -> Column:
-        hit = F.contains(text, F.lit(field))
-        conf = F.lit(0.66) + 0.20 * ocr + F.when(hit, 0.0).otherwise(0.06)
+        target = {"current_charges_total": c("current_charges_total").isNotNull(), "total_amount": c("current_charges_total").isNull()}.get(field)
+        hit = about(F.col(issues_col), field, target)
+        conf = F.lit(FIELD_BASE) + BY_OCR * ocr + F.when(hit, 0.0).otherwise(UNNAMED + (KEY_FIELD if field in KEY_FIELDS else 0.0))
         if field in MONEY:
-            conf = conf + bonus(charges, 0.07, 0.18)
+            conf = conf + F.when(flags["charges"], SUMS_HOLD["charges"]).when(~flags["charges"], -FIELD_SUMS_FAIL).otherwise(0.0)
         if field in ("current_charges_total", "previous_balance", "total_amount"):
-            conf = conf + F.when(bill, 0.04).otherwise(0.0)
-        if field in ("invoice_number", "invoice_date", "vendor_name", "vendor_tax_id"):
-            conf = conf + F.when(hit, 0.0).otherwise(0.03)
-        conf = F.when(c.missing(field), 0.0).otherwise(F.round(clamp(F.when(hit, conf * 0.58).otherwise(conf)), 3))
+            conf = conf + F.when(flags["bill"], BILL_HOLDS).otherwise(0.0)
+        conf = F.when(c.missing(field), 0.0).otherwise(F.round(clamp(F.when(hit, conf * NAMED_SHARE).otherwise(conf)), 3))
         return F.struct(F.lit(field).alias("field"), c(field).cast("string").alias("value"), conf.alias("confidence"), F.when(c.missing(field), "missing").otherwise("final_evidence").alias("source"))
 
-    score = F.round(clamp(total), 3)
-    return df.withColumns({"confidence": score, "needs_review": (score < CONFIDENT) | (F.size(issues_col) > 0) | hand, "field_confidences": F.array(*[of(f) for f in SCORED])})
+    fields = F.array(*[of(f) for f in SCORED])
+    if c.types.get("item_evidence", "").startswith("map<string,struct<score:double"):
+        cells = F.map_entries(F.coalesce("item_evidence", F.create_map().cast(c.types["item_evidence"])))
+        fields = F.concat(fields, F.transform(cells, lambda e: F.struct(e["key"].alias("field"), F.lit(None).cast("string").alias("value"), F.coalesce(e["value"]["score"], F.lit(0.0)).alias("confidence"), F.lit("unverified").alias("source"))))
+    total = F.round(clamp(score), 3)
+    return df.withColumns({"confidence": total, "needs_review": (total < CONFIDENT) | (F.size(issues_col) > 0) | hand, "field_confidences": fields})
 
 
 def low_confidence(c: Column, least: float = CONFIDENT) -> Column:

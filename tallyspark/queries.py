@@ -252,9 +252,16 @@ def export_with_totals(spark, d):
     return exports.with_totals(model.invoices(spark, d))
 
 
-@query("report_signature")
+_row_text = "id || '|' || coalesce(invoice_number, '∅') || '|' || coalesce(CAST(CAST(total_amount AS decimal(30,6)) AS varchar), '∅') || '|' || coalesce(strftime(invoice_date, '%Y-%m-%d'), '∅')"
+_parts = " || ':' || ".join(f"coalesce(sum(CAST(CAST('0x' || substr(d, {15 * k + 1}, 15) AS bigint) AS hugeint)), 0)" for k in range(4))
+
+
+@query("report_signature", f"SELECT k, (SELECT sha256(count(*) || ':' || {_parts}) FROM (SELECT sha256({_row_text}) AS d FROM heads WHERE k = 0 AND id % 3 = 0 OR k = 1 AND id = 5)) AS signature FROM (VALUES (0), (1), (2)) v(k)")
 def report_signature(spark, d):
-    return exports.signature(search.search(model.heads(spark, d), PLAN))
+    """Of many rows, of one, and of none."""
+    rows = model.heads(spark, d).select("id", "invoice_number", "total_amount", "invoice_date")
+    parts = [exports.signature(rows.filter(w)).select(F.lit(k).alias("k"), "signature") for k, w in enumerate(("id % 3 = 0", "id = 5", "id < 0"))]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query("log_newest", 'SELECT id, "user", action FROM audit_logs ORDER BY created_at DESC, id DESC LIMIT 2000')
@@ -435,11 +442,25 @@ def validation_issues(spark, d):
     return rows.select("id", quality.issues(rows, TODAY).alias("issues"))
 
 
-@query("confidence_score")
+_fits = "abs(CAST(subtotal AS decimal(18,4)) + CAST(tax_amount AS decimal(18,4)) - CAST(discount AS decimal(18,4)) - CAST(target AS decimal(18,4)))"
+_bill = "abs(CAST(current_charges_total AS decimal(18,4)) + CAST(previous_balance AS decimal(18,4)) - CAST(total_amount AS decimal(18,4)))"
+
+
+@query("confidence_score", f"""SELECT id, round(least(1, greatest(0, 0.52 + 0.20 * ocr + 0.18 * present / 5 + CASE WHEN charges THEN 0.07 WHEN NOT charges THEN -0.14 ELSE 0 END + CASE WHEN bill THEN 0.03 WHEN NOT bill THEN -0.10 ELSE 0 END
+        - least(0.5, 0.15 * n) - CASE WHEN id % 7 = 0 THEN 0.08 ELSE 0 END)), 3) AS confidence,
+    CASE WHEN subtotal IS NULL THEN 0 ELSE round(least(1, greatest(0, (0.66 + 0.20 * ocr + CASE WHEN named THEN 0 ELSE 0.06 END + CASE WHEN charges THEN 0.07 WHEN NOT charges THEN -0.18 ELSE 0 END) * CASE WHEN named THEN 0.58 ELSE 1 END)), 3) END AS subtotal_confidence
+    FROM (SELECT *, (id % 100) / 100 AS ocr, {_fits} <= greatest(0.05, abs(target) * 0.002) AS charges, CASE WHEN subtotal IS NOT NULL THEN {_bill} <= greatest(0.05, abs(total_amount) * 0.002) END AS bill,
+            {_fits} > 0.02 OR subtotal IS NULL AND total_amount > 0 AS named,
+            CAST(invoice_number IS NOT NULL AS integer) + 1 + CAST(vendor_name <> 'UNKNOWN VENDOR' AS integer) + 1 + CAST(currency IS NOT NULL AS integer) AS present,
+            CAST(invoice_number IS NULL AS integer) + CAST(vendor_name = 'UNKNOWN VENDOR' AS integer) + CAST(currency IS NULL AS integer) + CAST(invoice_date > DATE '1998-01-01' AS integer) + CAST(coalesce(tax_amount > total_amount, false) AS integer)
+            + CAST(coalesce({_fits} > 0.02, false) AS integer) + CAST(subtotal IS NULL AND total_amount > 0 AS integer) + CAST(coalesce(currency IN ('₱', 'P'), false) AS integer) + CAST(coalesce(due_date - invoice_date <> CAST(substr(payment_terms, 5) AS integer), false) AS integer) AS n
+        FROM (SELECT *, coalesce(current_charges_total, total_amount) AS target FROM invoices))""")
 def confidence_score(spark, d):
+    """A field's score falls where a note is about it, whether the note says its name or not."""
     rows = model.invoices(spark, d)
     rows = rows.withColumns({"issues": quality.issues(rows, TODAY), "ocr_confidence": (F.col("id") % 100) / 100, "engine": F.when(F.col("id") % 7 == 0, "paddle+trocr").otherwise("paddle")})
-    return quality.scored(rows).select("id", "confidence", "needs_review", quality.low_confidence(F.col("field_confidences")).alias("low"))
+    one = lambda f: F.filter("field_confidences", lambda x: x["field"] == f)[0]["confidence"]
+    return quality.scored(rows).select("id", "confidence", one("subtotal").alias("subtotal_confidence"))
 
 
 _runs = "list_max(list_transform(regexp_extract_all(text, '[B-DF-HJ-NP-TV-Zb-df-hj-np-tv-z]+'), lambda x: length(x)))"

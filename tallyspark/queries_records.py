@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.operators import identity, layout, records
+from tallyspark.functions import scalars as s
+from tallyspark.operators import identity, layout, quality, records
+from tallyspark.plans import language, search
 from tallyspark.queries import _v, _versions, query
 from tallyspark.session import read_table, scratch_path
 from tallyspark.sources import model
@@ -318,3 +320,160 @@ def party_columns(spark, d):
     ]
     return layout.party_columns(_page(model.invoices(spark, d).filter("customer_name is not null"), cells))
 
+
+
+# ---- validation: a row for each rule, and one that comes just short of it ------------------------------
+_VALID = {"invoice_number": "A-17", "invoice_date": "1997-01-05", "due_date": None, "vendor_name": "Acme Trading", "customer_name": "Delta", "currency": "PHP", "payment_terms": None, "subtotal": "100", "tax_amount": "12", "discount": "0", "total_amount": "112", "current_charges_total": None, "previous_balance": None, "text": "total 112.00", "items": [("Desk", 1.0, 100.0, 100.0)]}
+_CASES = (
+    ({}, ()),
+    ({"invoice_number": "n/a"}, ("missing invoice_number",)),
+    ({"vendor_name": " UNKNOWN vendor ", "currency": "-"}, ("missing vendor_name", "missing currency", "currency is not a code")),
+    ({"invoice_date": "1998-01-02"}, ("invoice_date is in the future",)),
+    ({"invoice_date": "1998-01-01"}, ()),
+    ({"invoice_date": "5 Jan 1997"}, ("invoice_date is not a date",)),
+    ({"due_date": "1997-02-30"}, ("due_date is not a date",)),
+    ({"discount": "none given"}, ("discount is not a finite number", "amounts are not numbers")),
+    ({"discount": "Infinity"}, ("discount is not a finite number", "amounts are not numbers")),
+    ({"discount": "-5", "tax_amount": "7"}, ("discount is negative",)),
+    ({"tax_amount": "113", "subtotal": "-1"}, ("subtotal is negative", "tax_amount exceeds total_amount", "items do not add up to subtotal")),
+    ({"total_amount": "-50", "text": ""}, ("total_amount is negative", "tax_amount exceeds total_amount", "negative total does not reconcile", "total_amount is not above 0", "amounts do not add up to the charges")),
+    ({"total_amount": "-50", "current_charges_total": "112", "previous_balance": "-162", "text": ""}, ("total_amount is negative", "tax_amount exceeds total_amount", "total_amount is not above 0")),
+    ({"text": "total 113.00"}, ("total_amount is not in the text",)),
+    ({"text": ""}, ()),
+    ({"tax_amount": "12.02"}, ()),
+    ({"tax_amount": "12.03"}, ("amounts do not add up to the charges",)),
+    ({"current_charges_total": "112", "previous_balance": "5", "total_amount": "117", "text": "117.00"}, ()),
+    ({"current_charges_total": "112", "previous_balance": "5", "total_amount": "118", "text": "118.00"}, ("current charges and previous balance are not the total",)),
+    ({"subtotal": None}, ("subtotal is missing",)),
+    ({"currency": "Pesos"}, ("currency is not a code",)),
+    ({"invoice_number": "Permit No 77"}, ("invoice_number is a printer's permit",)),
+    ({"invoice_number": "P112.00"}, ("invoice_number is one of the amounts",)),
+    ({"invoice_number": "1,250.00"}, ("invoice_number looks like an amount",)),
+    ({"invoice_number": "1250"}, ()),
+    ({"vendor_name": "Sold To :", "customer_name": "Bill to"}, ("vendor_name is a form label", "customer_name is a form label")),
+    ({"vendor_name": "Xrtplkmnq Ltd"}, ("vendor_name is garbled",)),
+    ({"vendor_name": "Schwartzm"}, ()),
+    ({"items": [("Desk", -1.0, -100.0, 100.0)]}, ("item 1: quantity is negative", "item 1: unit_price is negative")),
+    ({"items": [("Desk", 1.0, 130.0, 130.0), ("Rebate", 1.0, -30.0, -30.0)]}, ()),
+    ({"items": [("Desk", None, 100.0, 100.0)]}, ("item 1: quantity is not a number",)),
+    ({"items": [("Desk", 3.0, 33.33, 100.0)]}, ()),
+    ({"items": [("Desk", 3.0, 33.3, 100.0)]}, ("item 1: quantity * unit_price is not amount",)),
+    ({"items": [("", 1.0, 60.0, 60.0), ("4800-12", 1.0, 30.0, 30.0), ("*** Nothing follows ***", 1.0, 5.0, 5.0), ("Charge sales", 1.0, 5.0, 5.0)]}, ("item 1: description is missing", "item 2: description is a bare number", "item 3: description is the end-of-table mark", "item 4: description is a form option")),
+    ({"items": [("Bcdfghjkl", 1.0, 100.0, 100.0)]}, ("item 1: description is garbled",)),
+    ({"items": [("Fees", 1.0, 50.0, 50.0), ("Sum of fees", 1.0, 50.0, 50.0)]}, ("an item equals the sum of the others",)),
+    ({"items": [("Desk", 1.0, 70.0, 70.0), ("Chair", 1.0, 29.97, 29.97)]}, ("items do not add up to subtotal",)),
+    ({"items": [("Desk", 1.0, 100.0, 100.0), ("Remaining balance", 1.0, 9.0, 9.0)]}, ()),
+    ({"payment_terms": "net 30", "due_date": "1997-02-04"}, ()),
+    ({"payment_terms": "Net 30 days", "due_date": "1997-02-05"}, ("due date does not fit the terms",)),
+    ({"payment_terms": "on receipt", "due_date": "1997-02-05"}, ()),
+)
+
+
+def _notes_sql(cases) -> str:
+    quoted = lambda n: "'" + n.replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, CAST([{', '.join(map(quoted, notes))}] AS varchar[]))" for i, (_, notes) in enumerate(cases)) + ") v(id, issues)"
+
+
+def _validated(spark, cases, template: str | None = None) -> DataFrame:
+    rows = [(i, *(_VALID | more).values()) for i, (more, _) in enumerate(cases)]
+    kinds = [f"{k} {'array<struct<description:string,quantity:double,unit_price:double,amount:double>>' if k == 'items' else 'string'}" for k in _VALID]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(kinds)).withColumnRenamed("items", "line_items")
+    return df.select("id", quality.issues(df, date(1998, 1, 1), F.col("text"), template).alias("issues"))
+
+
+@query("validation_rules", _notes_sql(_CASES))
+def validation_rules(spark, d):
+    return _validated(spark, _CASES)
+
+
+_RETAIL = (
+    ({"items": [("Soap", 1.0, 112.0, 112.0)]}, ()),
+    ({"items": [("Soap", 1.0, 113.0, 113.0)], "discount": "1", "subtotal": "101"}, ("net is not the total less VAT", "the total is not net and VAT")),
+    ({"items": [("Soap", 1.0, 112.0, 112.0)], "subtotal": "101", "discount": "1"}, ("net is not the total less VAT", "the total is not net and VAT", "items less discount are not the total")),
+    ({"items": [("Soap", 1.0, 112.01, 112.01)]}, ()),
+    ({"items": [("Soap", 1.0, 112.02, 112.02)]}, ("items less discount are not the total",)),
+)
+
+
+@query("retail_rules", _notes_sql(_RETAIL))
+def retail_rules(spark, d):
+    return _validated(spark, _RETAIL, "retail")
+
+
+# ---- requests in plain words: the plan of each, or none ----------------------------------------------
+_CONTEXT = {"vendors": ["North Pier", "North Pier Cafe", "Oxbow"], "categories": ["Repairs", "Rent"], "users": ["ines"], "actions": ["RENAME"], "types": ["ledger"]}
+#: Page, request, and what it comes to on Wednesday, 12 March 2031: family:field:operator:value:value2, in order of family.
+_REQUESTS = (
+    ("history", "list all records", ""),
+    ("history", "bills may 2029", "dates:invoice_date:between:2029-05-01:2029-05-31"),
+    ("history", "uploaded may 2029", "dates:date_uploaded:between:2029-05-01:2029-05-31"),
+    ("logs", "may 2029", "dates:date_time:between:2029-05-01:2029-05-31"),
+    ("history", "from feb through apr 2028", "dates:invoice_date:between:2028-02-01:2028-04-30"),
+    ("history", "from nov to jan", None),
+    ("history", "second quarter of 2027", "dates:invoice_date:between:2027-04-01:2027-06-30"),
+    ("history", "q5 2027", None),
+    ("history", "yesterday", "dates:invoice_date:between:2031-03-11:2031-03-11"),
+    ("history", "last week", "dates:invoice_date:between:2031-03-03:2031-03-09"),
+    ("history", "this month", "dates:invoice_date:between:2031-03-01:2031-03-31"),
+    ("history", "last year", "dates:invoice_date:between:2030-01-01:2030-12-31"),
+    ("history", "last 10 days", "dates:invoice_date:between:2031-03-03:2031-03-12"),
+    ("history", "between 2030-02-03 and 2030-02-09", "dates:invoice_date:between:2030-02-03:2030-02-09"),
+    ("history", "between 2030-02-09 and 2030-02-03", None),
+    ("history", "without an invoice number", "presence:invoice_number:missing"),
+    ("history", "with plate no", "presence:plate_number:present"),
+    ("history", "without a sequel", None),
+    ("history", "between php 5 and 1k", "numbers:total_amount:between:5.0:1000.0|choices:currency:in:PHP"),
+    ("history", "at least $3,000.50", "numbers:total_amount:>=:3000.5|choices:currency:in:USD"),
+    ("history", "under ₱99", "numbers:total_amount:<:99.0|choices:currency:in:PHP"),
+    ("history", "over 3 dollars and under 4 pesos", None),
+    ("history", "oxbow and north pier cafe", "text:vendor_name:contains_any:North Pier Cafe,Oxbow"),
+    ("history", "Bayview bills", None),
+    ("history", "needs-review rent", "choices:status:in:needs_review|choices:category:in:Rent"),
+    ("history", "unlocked", "booleans:locked:False"),
+    ("log", "RENAME by user ines, ledger", "text:user:equals:ines|text:action:equals:RENAME|text:entity_type:equals:ledger"),
+    ("log", "over 70", None),
+    ("vendors", "may 2029", None),
+)
+
+
+def _said(plan: dict | None) -> str | None:
+    if plan is None:
+        return None
+    show = lambda c: ":".join([",".join(v) if isinstance(v, list) else str(v) for k, v in c.items()])
+    return "|".join(f"{family}:{show(c)}" for family, conditions in plan.items() for c in conditions)
+
+
+@query("requests", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {'CAST(NULL AS varchar)' if want is None else repr(want)})" for i, (_, _, want) in enumerate(_REQUESTS)) + ") v(id, plan)")
+def requests(spark, d):
+    """Dates, amounts, names, states and presence; a word that is not understood refuses the whole request."""
+    rows = [(i, _said(language.parse(q, page=page, context=_CONTEXT, today=date(2031, 3, 12)))) for i, (page, q, _) in enumerate(_REQUESTS)]
+    return spark.createDataFrame(rows, "id int, plan string")
+
+
+@query("request_search", "SELECT id, total_amount FROM heads WHERE invoice_date BETWEEN DATE '1996-04-01' AND DATE '1996-06-30' AND total_amount >= 150000 AND currency = 'USD' AND NOT locked AND (plate_number IS NULL OR plate_number IN ('-', '0', 'N/A'))")
+def request_search(spark, d):
+    """A request from words to rows: quarter, amount, currency, lock and a missing field."""
+    plan = language.parse("unlocked invoices of q2 1996 at least 150k usd without plate number", page="history", today=date(1998, 1, 1))
+    return search.search(model.heads(spark, d), plan).select("id", "total_amount")
+
+
+@query("presence_said", "SELECT * FROM (VALUES (0, 'text:vendor_name:contains:x|presence:plate_number:missing'), (1, 'presence:vendor_tax_id:present'), (2, 'numbers:total_amount:>:5'), (3, 'presence:line_items:missing|presence:due_date:present'), (4, 'text:vendor_name:contains:x')) v(id, plan)")
+def presence_said(spark, d):
+    """What a request says about fields being there is added to a model's plan, and outranks its other conditions on them."""
+    cases = (
+        ("odd ones without any plate number", {"text": [{"field": "vendor_name", "operator": "contains", "value": "x"}], "numbers": []}),
+        ("having a vendor tin", {"text": [{"field": "vendor_tax_id", "operator": "equals", "value": "9"}]}),
+        ("with total amount over 5", {"numbers": [{"field": "total_amount", "operator": ">", "value": 5}]}),
+        ("no line items, has due date", {}),
+        ("vendor names of interest", {"text": [{"field": "vendor_name", "operator": "contains", "value": "x"}]}),
+    )
+    return spark.createDataFrame([(i, _said(language.with_presence(q, search.empty() | plan))) for i, (q, plan) in enumerate(cases)], "id int, plan string")
+
+
+@query("wide_letters", "SELECT id, CASE id % 4 WHEN 0 THEN 'acme trading' WHEN 1 THEN 'strasse 9' WHEN 2 THEN 'office' ELSE 'ünder' END AS identity, id % 4 = 0 AS hit FROM heads")
+def wide_letters(spark, d):
+    """Names compare after compatibility folding: full width, ligatures, composed and sharp letters."""
+    raw = F.array(*map(F.lit, ("ＡＣＭＥ　Ｔｒａｄｉｎｇ", "Straße ⑨", "oﬃce", "U\u0308nder")))
+    rows = model.heads(spark, d).select("id", F.element_at(raw, (F.col("id") % 4 + 1).cast("int")).alias("vendor_name"))
+    hits = search.keyword(rows, "acme  TRADING", ("vendor_name",)).select("id", F.lit(True).alias("hit"))
+    return rows.join(hits, "id", "left").select("id", s.identity_text(F.col("vendor_name")).alias("identity"), F.coalesce("hit", F.lit(False)).alias("hit"))
