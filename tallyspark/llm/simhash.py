@@ -177,8 +177,8 @@ BANDS, ROWS = 24, 5
 LANES = BANDS * ROWS
 #: Share of equal minima below which a pair that met is not looked at: four standard deviations of the estimate below 0.8.
 LIKELY = 0.65
-#: Nodes compared with each other in one task; more nodes under a key are dealt as pairs of blocks.
-BLOCK = 512
+#: Nodes compared with each other in one task, and bytes of their sets; more nodes under a key are dealt as pairs of blocks.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 _LANE = (np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 NEAR = "struct<node:bigint,fp:bigint,sketch:binary>"
 
@@ -275,39 +275,50 @@ def node_links(nodes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, head long, node long")
 
 
-def crossings(links: DataFrame, labels: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) that met under a key, are likely alike and lie in different components (node, component), with those.
+def common_share(x: np.ndarray, y: np.ndarray) -> float:
+    """Share of common members of two sets in order."""
+    if not len(x) or not len(y):
+        return 0.0
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return common / (len(x) + len(y) - common)
 
-    All pairs under a key are compared, block by block. Either each node's likeliest partner comes out, or every
-    likely pair, under the first band in which it agrees.
+
+def crossings(links: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) between components (node, component, size) of which two nodes under a key are alike to SIMILAR.
+
+    Where a key's nodes are not all of one component, they meet in pairs of blocks of bounded bytes, with their
+    sets (node, sketch, short). Pairs that agree first in this band and are likely by their sketches are held
+    against each other on the spot; what is confirmed joins components there, so that no further pair of them is
+    looked at, and only such joins leave the task.
     """
     members = links.select("key", "node").union(links.groupBy("key").agg(F.min("head").alias("node"))).join(labels, "node")
-    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    rows = members.join(several.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
-    rows = rows.join(nodes.select("node", "sketch"), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "component", "node", "sketch")
+    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("long")
+    rows = members.drop("size").join(several.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    rows = rows.join(sets.select("node", "sketch", "short"), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "component", "sketch", "short")
     dealt = rows.repartition(shuffle_partitions(links.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
-    def compare(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def compare(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
         band, same = t["key"][0].as_py() >> 48, t["lo"][0] == t["hi"][0]
-        own, component, node = (t[c].to_numpy() for c in ("own", "component", "node"))
-        sketch = _matrix(t["sketch"])
-        pairs = [np.empty((2, 0), np.int64)]
-        for i in range(len(node) if best else 0):
-            share = np.where((component != component[i]) & (same | (own != own[i])), (sketch == sketch[i]).mean(axis=1), 0.0)
-            if share[j := int(share.argmax())] >= LIKELY:
-                pairs.append(np.array([[i], [j]]))
-        for i in range(0 if best else len(node) - 1):
-            j = np.flatnonzero((component[i + 1 :] != component[i]) & (same | (own[i + 1 :] != own[i]))) + i + 1
+        own, component = (t[c].to_numpy() for c in ("own", "component"))
+        sketch, sets = _matrix(t["sketch"]), [np.frombuffer(x.as_buffer(), np.uint32) for x in t["short"]]
+        root, joined = component.copy(), []
+        for i in range(len(own) - 1):
+            j = np.flatnonzero((root[i + 1 :] != root[i]) & (same | (own[i + 1 :] != own[i]))) + i + 1
             equal = sketch[j] == sketch[i]
-            likely = equal.mean(axis=1) >= LIKELY
-            j = j[likely][equal[likely].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
-            pairs.append(np.stack((np.full(len(j), i), j)))
-        i, j = np.concatenate(pairs, axis=1)
-        i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], component[i], component[j])], ["a", "b", "a_component", "b_component"])
+            share = equal.mean(axis=1)
+            likely = np.flatnonzero(share >= LIKELY)
+            likely = likely[equal[likely].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            for k in j[likely[np.argsort(-share[likely], kind="stable")]].tolist():
+                if root[k] != root[i] and common_share(sets[i], sets[k]) >= SIMILAR:
+                    joined.append((component[i], component[k]))
+                    root[root == root[k]] = root[i]
+        if joined:
+            e = np.array(joined, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -319,26 +330,26 @@ def crossings(links: DataFrame, labels: DataFrame, nodes: DataFrame, best: bool)
                 if to == at:
                     continue
                 if held and tuple(by[:, at]) != now:
-                    yield compare(held)
+                    yield from compare(held)
                     held = []
                 now = tuple(by[:, at])
                 held.append(batch.slice(at, to - at))
         if held:
-            yield compare(held)
+            yield from compare(held)
 
-    return dealt.mapInArrow(run, "a long, b long, a_component long, b_component long")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def alike(a: pa.Array, b: pa.Array) -> pa.Array:
     """Share of common shingles of two sets, each the bytes of its hashes in order."""
-    out = np.zeros(len(a))
-    for i, (s, t) in enumerate(zip(a, b, strict=True)):
-        x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (s, t))
-        if len(x) and len(y):
-            x, y = (x, y) if len(x) <= len(y) else (y, x)
-            common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            out[i] = common / (len(x) + len(y) - common)
-    return pa.array(out)
+    return pa.array([common_share(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair)) for pair in zip(a, b, strict=True)], pa.float64())
+
+
+def set_columns(text: pa.Array) -> pa.Array:
+    """Each text's set of shingle hashes as bytes, and the upper halves of the hashes, which is enough to compare two sets."""
+    sets = [shingle_set(t.as_py()) for t in text]
+    short = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
+    return pa.StructArray.from_arrays([pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(short, pa.binary())], ["shingles", "short"])
 
 
 def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -354,9 +365,8 @@ def keep_one_of_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Documents of the same shingles are one node. Nodes whose fingerprints are linked by deletion
     variants are candidates, and so are those that agree in a band of minima, as most pairs alike to
     0.8 differ in more bits than the variants reach; each edge is confirmed on the shingle sets. First
-    every node is held against the smallest one under its key. Where a key's nodes are not all linked by
-    that, each is held against its likeliest partner in another component, as edited copies are nearest
-    to what they are copies of; then all likely pairs of components that are still apart are compared. The document of smallest id stays, one
+    every node is held against the smallest one under its key; where a key's nodes are not all linked by
+    that, all likely pairs of different components are compared, a block with a block at a time. The document of smallest id stays, one
     without id only where none has one; of several rows of that id the one of smallest text hash, then
     of smallest hash of its other columns; of rows that are equal throughout one stays.
     """
@@ -370,20 +380,16 @@ def keep_one_of_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = materialize(node_links(nodes), "near_links")
     stars = materialize(links.select(F.col("head").alias("a"), F.col("node").alias("b")).union(variant_stars(nodes)).distinct(), "near_candidates")
     met = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    want = nodes.join(met, "node").select("node", "first.*")
-    shingles = F.arrow_udf(lambda text: pa.array([shingle_set(t.as_py()).tobytes() for t in text], pa.binary()), "binary")
+    want = nodes.join(met, "node").select("node", "sketch", "first.*")
+    columns = F.arrow_udf(set_columns, "struct<shingles:binary,short:binary>")
     texts = keyed.select(*key, F.col(text_col).cast("string").alias("text")).join(want, key).dropDuplicates(["node"])
-    sets = materialize(texts.select("node", shingles("text").alias("shingles")), "near_sets")
+    sets = materialize(texts.select("node", "sketch", columns("text").alias("s")).select("node", "sketch", "s.*"), "near_sets")
     parts = connected_components(confirmed(stars, sets))
-    labels = materialize(met.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "near_labels")
-    for best in (True, False):
-        pairs = materialize(crossings(links, labels, nodes, best).distinct(), "near_crossings")
-        if pairs.isEmpty():
-            break
-        # the components that the crossings join are few beside the nodes
-        joined = connected_components(confirmed(pairs, sets).select(F.col("a_component").alias("a"), F.col("b_component").alias("b")))
-        joined = joined.select(F.col("node").alias("component"), F.col("component").alias("whole"))
-        labels = materialize(labels.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")), "near_labels")
+    sized = sets.select("node", F.octet_length("short").alias("size"))
+    labels = materialize(sized.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "size"), "near_labels")
+    # the components that the crossings join are few beside the nodes
+    joined = connected_components(crossings(links, labels, sets)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    labels = labels.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     named = nodes.select("node", "first").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     winners = named.groupBy("component").agg(F.min("first").alias("first")).select("first.*")
     return keyed.join(winners, key, "left_semi").dropDuplicates(key).select(*docs.columns)
