@@ -1,4 +1,4 @@
-"""Every query over records and page layout against its SQL, on the smallest tables; and the writers round trip."""
+"""Every query over records, page layout and document rules against its SQL, on the smallest tables; and the writers round trip."""
 
 import os
 from datetime import datetime
@@ -6,11 +6,11 @@ from datetime import datetime
 import duckdb
 import pytest
 
-from tallyspark import queries, queries_records
+from tallyspark import queries, queries_records, queries_rules
 from tallyspark.operators import records
 
 SF = os.environ.get("TALLYSPARK_TEST_DATA", "/root/testdata") + "/sf0.001"
-NAMES = sorted(n for n, f in queries.ALL.items() if f.__module__ == queries_records.__name__)
+NAMES = sorted(n for n, f in queries.ALL.items() if f.__module__ in (queries_records.__name__, queries_rules.__name__))
 
 
 def plain(rows, columns):
