@@ -262,3 +262,32 @@ def shown_quantity(c: Column) -> Column:
     number = plain.rlike("^-?[0-9]+(?:\\.[0-9]+)?$")
     short = F.regexp_replace(F.regexp_replace(plain, "(\\.[0-9]*?)0+$", "$1"), "\\.$", "")
     return F.when(text == "", "—").when(number & (plain.try_cast("double") == 0), "0").when(number, F.when(F.contains(plain, F.lit(".")), short).otherwise(plain)).when(F.lower(plain).isin("nan", "inf", "infinity", "-inf", "-infinity"), "—").otherwise(text)
+
+
+# ---- fields as the page shows them --------------------------------------------------------------------
+def plain_number(number: Column, text: Column) -> Column:
+    """An invoice number without the label it was read with; where there is none, the only one that stands behind SI No."""
+    stripped = F.regexp_replace(F.trim(number), "(?i)^s\\.?\\s*i\\.?\\s*(?:#|no\\.?|number)\\s*:?\\s*", "")
+    printed = only_one(F.regexp_extract_all(blank(text), F.lit("(?im)^\\s*s\\.?\\s*i\\.?\\s*(?:#|no\\.?)\\s*:?\\s*([0-9][0-9-]{2,})\\s*$"), F.lit(1)))
+    return F.coalesce(F.nullif(stripped, F.lit("")), printed)
+
+
+def owner(vendor: Column, text: Column) -> Column:
+    """The company that a shop says it is owned and operated by, where no seller was read."""
+    said = F.trim(F.regexp_extract(blank(text), "(?im)^\\s*(?:owned\\s*(?:and|&)\\s*operated|operated)\\s*by\\s*:?\\s*([^\\n]*[A-Za-z]{3}[^\\n]*)$", 1))
+    return F.when(F.trim(blank(vendor)) == "", F.nullif(said, F.lit(""))).otherwise(vendor)
+
+
+def buyer_name(name: Column, text: Column) -> Column:
+    """Nothing, where the form's Registered Name is followed by the next label."""
+    lines = F.filter(F.transform(_lines(text), _tidy), lambda x: x != "")
+    empty = F.exists(_places(lines, lambda x: x.rlike("(?i)^registered\\s+name\\s*:?\\s*_*$")), lambda i: F.coalesce(F.get(lines, i).rlike("(?i)^(?:tin|business\\s+address|address|date)\\b"), F.lit(False)))
+    return F.when(empty, F.lit(None)).otherwise(name)
+
+
+def unused_form(text: Column) -> Column:
+    """Whether a receipt is only printed, not filled in: its labels are there, no digit between them and no amount."""
+    page = F.upper(blank(text))
+    labels = F.contains(page, F.lit("RECEIVED FROM")) & F.contains(page, F.lit("ADDRESS OF BUYER")) & F.contains(page, F.lit("TOTAL RECEIPTS"))
+    body = F.substring_index(F.when(F.contains(page, F.lit("IN PAYMENT FOR THE FOLLOWING")), F.regexp_extract(page, "(?s)IN PAYMENT FOR THE FOLLOWING(.*)$", 1)).otherwise(page), "SELLER", 1)
+    return labels & ~body.rlike("[0-9]") & ~page.rlike("[0-9][0-9,]*\\.[0-9]{2}")

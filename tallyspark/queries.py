@@ -169,7 +169,7 @@ _latest = "(SELECT * FROM invoices ORDER BY created_at DESC, id DESC LIMIT 500)"
 
 @query("spend_by_vendor_500", f"SELECT vendor_name, {_sum} FROM {_latest} WHERE {_code} = 'PHP' GROUP BY 1")
 def spend_by_vendor_500(spark, d):
-    return reports.spend_by_vendor(model.invoices(spark, d), currency="PHP")
+    return reports.spend_by_vendor(model.invoices_of(spark, d, reports.newest(model.heads(spark, d), 500)), currency="PHP")
 
 
 @query("spend_by_vendor_all", f"SELECT vendor_name, {_sum} FROM invoices GROUP BY 1")

@@ -7,6 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark import api
 from tallyspark.functions import scalars as s
 from tallyspark.operators import identity, layout, quality, records
 from tallyspark.plans import language, search
@@ -322,6 +323,49 @@ def party_columns(spark, d):
 
 
 
+@query("party_names", """SELECT id, CASE WHEN id % 4 IN (0, 1) THEN vendor_name ELSE customer_name END AS vendor_name, CASE WHEN id % 4 IN (0, 1) THEN customer_name ELSE vendor_name END AS customer_name, CASE WHEN id % 4 <> 0 THEN '1 Quay' END AS vendor_address
+    FROM invoices WHERE customer_name IS NOT NULL AND vendor_name <> 'UNKNOWN VENDOR'""")
+def party_names(spark, d):
+    """Names read the wrong way round are exchanged (0); right ones stay (1), so do wrong ones that stand together (2) or are not both printed (3)."""
+    i, t = F.col("id"), F.lit
+    rows = model.invoices(spark, d).filter("customer_name is not null and vendor_name <> 'UNKNOWN VENDOR'")
+    body = F.when(i % 4 == 2, F.col("customer_name"))
+    cells = [(F.col("vendor_name"), 0, 40), (body, 0, 80, i % 4 == 2), (t("Bill to"), 0, 400), (F.col("customer_name"), 0, 440, i % 4 < 2), (t("Total"), 0, 1200)]
+    lines = _page(rows, cells)
+    wrong = i % 4 != 1
+    read = rows.select("id", i.alias("page"), F.when(wrong, F.col("customer_name")).otherwise(F.col("vendor_name")).alias("vendor_name"), F.when(wrong, F.col("vendor_name")).otherwise(F.col("customer_name")).alias("customer_name"), F.lit("1 Quay").alias("vendor_address"))
+    return layout.settle_parties(read, lines).drop("page")
+
+
+@query("buyer_addresses", "SELECT id AS page, '9 Hill Road, Unit ' || id || CASE WHEN id % 2 = 0 THEN ', Harbor' ELSE '' END AS customer_address FROM heads WHERE customer_name IS NOT NULL AND id % 3 <> 2")
+def buyer_addresses(spark, d):
+    """Lines flush under the buyer's name up to the next label, if the first reads as a place."""
+    i, t = F.col("id"), F.lit
+    cells = [(t("Bill to"), 0, 0), (F.col("customer_name"), 10, 40), (F.when(i % 3 == 2, t("see over")).otherwise(t("9 Hill Road")), 12, 80), (t("beside"), 300, 82), (F.concat(t("Unit "), i.cast("string")), 10, 120), (t("TIN: 5"), 10, 160, i % 2 == 1), (t("Harbor"), 10, 200)]
+    rows = model.heads(spark, d).filter("customer_name is not null").withColumn("page", i)
+    return layout.buyer_addresses(rows, _page(rows, cells))
+
+
+@query("row_values", "SELECT id AS page, CASE WHEN id % 3 = 2 THEN 30.0 ELSE 20.0 END::double AS value FROM heads WHERE id % 5 <> 4")
+def row_values(spark, d):
+    """Amounts on the row of a label though the page is askew by most of a line's height; a page without the label has none."""
+    i, t = F.col("id"), F.lit
+    slope = F.when(i % 3 == 1, 0.02).when(i % 3 == 2, -0.02).otherwise(0.0)
+    cells = [(t("Previous"), 0, 0), (t("10.00"), 800, 0), (t("Current"), 0, 40, i % 5 != 4), (t("20.00"), 800, 40, i % 3 != 2), (t("30.00"), 900, 40, i % 3 == 2), (t("Total"), 0, 80), (t("50.00"), 800, 80)]
+    lines = _page(model.heads(spark, d), cells).withColumn("id", F.col("page"))
+    lines = lines.withColumns({"y1": F.col("y1") + F.col("x1") * slope, "y2": F.col("y2") + F.col("x1") * slope}).drop("id")
+    return layout.row_value(lines, "^current$")
+
+
+@query("api_calls", """SELECT 'list' AS call, id FROM (SELECT id FROM heads WHERE status = 'pending' ORDER BY created_at DESC, id DESC LIMIT 20) UNION ALL SELECT 'search', id FROM invoices WHERE contains(lower(coalesce(vendor_name, '')), '#000000003') OR contains(lower(coalesce(customer_name, '')), '#000000003') OR contains(lower(coalesce(invoice_number, '')), '#000000003') OR contains(lower(original_filename), '#000000003')
+    UNION ALL SELECT 'get', id FROM heads WHERE id = 5 UNION ALL SELECT 'delete', id FROM heads WHERE id < 30 AND id <> 5""")
+def api_calls(spark, d):
+    rows, all_ = model.heads(spark, d), model.invoices(spark, d)
+    parts = {"list": api.list_invoices(rows, 20, "pending"), "search": api.search_invoices(all_, "#000000003"), "get": api.get_invoice(rows, 5), "delete": api.delete_invoice(rows, 5).filter("id < 30")}
+    out = [p.select(F.lit(k).alias("call"), "id") for k, p in parts.items()]
+    return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
 # ---- validation: a row for each rule, and one that comes just short of it ------------------------------
 _VALID = {"invoice_number": "A-17", "invoice_date": "1997-01-05", "due_date": None, "vendor_name": "Acme Trading", "customer_name": "Delta", "currency": "PHP", "payment_terms": None, "subtotal": "100", "tax_amount": "12", "discount": "0", "total_amount": "112", "current_charges_total": None, "previous_balance": None, "text": "total 112.00", "items": [("Desk", 1.0, 100.0, 100.0)]}
 _CASES = (

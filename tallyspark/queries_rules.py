@@ -253,3 +253,15 @@ cases(
 
 cases("marketplace_number", "number string", "number varchar", (("ISS1123456789012", "ISSI123456789012"), ("ISSI123456789012", "ISSI123456789012"), ("ISS112345678901", "ISS112345678901"), ("issl123456789012", "ISSI123456789012"), (None, None)), lambda df: [ownership.marketplace_number(_c("number"))])
 cases("shown_quantity", "q string", "q varchar", (("2.000", "2"), ("1,250.50", "1250.5"), ("0.00", "0"), ("-0.0", "0"), (None, "—"), (" ", "—"), ("three", "three"), ("10", "10"), ("100", "100"), ("NaN", "—")), lambda df: [ownership.shown_quantity(_c("q"))])
+
+cases(
+    "plain_number",
+    "number string, text string",
+    "number varchar",
+    (("SI# 00123", "", "00123"), ("S.I. No.: 77-1", "", "77-1"), (None, "Total 5\nSI No. 4521\n", "4521"), (None, "SI No. 4521\nSI No. 4522", None), ("A-9", "SI No. 4521", "A-9"), (None, "see SI No. 4521 of May", None)),
+    lambda df: [ownership.plain_number(_c("number"), _c("text"))],
+)
+cases("owner", "vendor string, text string", "vendor varchar", ((None, "DATA SHOP\nOwned & Operated by: Orion Inc.\nx", "Orion Inc."), ("DATA SHOP", "Operated by Orion Inc.", "DATA SHOP"), (" ", "Operated by: 12", None), (None, "nothing", None)), lambda df: [ownership.owner(_c("vendor"), _c("text"))])
+cases("buyer_name", "name string, text string", "name varchar", (("Delta", "Registered Name: ____\nTIN: 1", None), ("Delta", "Registered Name: Delta\nTIN", "Delta"), ("Delta", "Registered Name\nDelta\nTIN", "Delta"), ("Delta", "Registered Name:", "Delta")), lambda df: [ownership.buyer_name(_c("name"), _c("text"))])
+_FORM = "No. 77\nReceived from\nAddress of buyer\nin payment for the following\n{}\nSeller\nTotal receipts {}\nAccredited 2019"
+cases("unused_form", "text string", "unused boolean", ((_FORM.format("item", ""), True), (_FORM.format("item 5", ""), False), (_FORM.format("item", "1.00"), False), ("Received from\nTotal receipts", False)), lambda df: [ownership.unused_form(_c("text"))])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import csv_guard, currency_code
 from tallyspark.operators.reports import money_sum
+from tallyspark.session import materialize
 
 SUMS = {"Vatable Sales": "subtotal", "VAT-Exempt Sales": "vat_exempt_sales", "Zero-Rated Sales": "zero_rated_sales", "VAT": "tax_amount", "Withholding Tax": "withholding_tax", "Total Amount Due": "total_amount"}
 TEXTS = {"Customer": "customer_name", "Plate #": "plate_number", "Filename": "original_filename", "Category": "category", "Currency": "currency"}
@@ -42,7 +43,9 @@ def export_totals(rows: DataFrame) -> DataFrame:
 
 
 def with_totals(rows: DataFrame) -> DataFrame:
-    """Details and then totals, in an order that survives the union."""
+    """Details and then totals, in an order that survives the union. The rows are computed once and written down, as three parts read them."""
+    names = {"id", "invoice_number", "vendor_name", "invoice_date", "date_uploaded", "created_at", *TEXTS.values(), *SUMS.values()}
+    rows = materialize(rows.select(*[c for c in rows.columns if c in names]), "export")
     body = export_rows(rows).withColumns({"part": F.lit(0), "key": F.col("id").cast("long")})
     return body.unionByName(export_totals(rows).withColumns({"part": F.lit(1), "key": F.lit(None).cast("long")})).orderBy("part", "key", "Currency").drop("part", "key")
 

@@ -65,23 +65,35 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per invoice: vendor id and exact decimal sums, combined before the shuffle; no line is collected."""
+def amounts(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Per invoice: vendor id and exact decimal sums, combined before the shuffle; no line is collected. only: ids of the invoices asked for."""
+    lines = read_table(spark, sf_dir, "lineitem")
+    if only is not None:
+        lines = lines.join(only, F.col("l_orderkey") == F.col("id"), "left_semi")
     price, disc, tax = (F.col(c).cast("decimal(12,2)") for c in ("l_extendedprice", "l_discount", "l_tax"))
     money = lambda c: F.sum(c.cast("decimal(18,4)")).cast("decimal(18,2)").cast("double")
-    return read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("invoice_id")).agg(
+    return lines.groupBy(F.col("l_orderkey").alias("invoice_id")).agg(
         F.min("l_suppkey").alias("vendor_id"), money(price).alias("subtotal"), money(price * tax).alias("tax_amount"), money(price * disc).alias("discount")
     )
 
 
 def invoices(spark: SparkSession, sf_dir: str, items: bool = False) -> DataFrame:
     """Invoices with vendor and sums; with items, the array of line items as well."""
+    return _summed(spark, sf_dir, heads(spark, sf_dir), amounts(spark, sf_dir), items)
+
+
+def invoices_of(spark: SparkSession, sf_dir: str, chosen: DataFrame) -> DataFrame:
+    """Invoices for chosen heads; only their lines are summed."""
+    return _summed(spark, sf_dir, chosen, amounts(spark, sf_dir, chosen.select("id")), False)
+
+
+def _summed(spark: SparkSession, sf_dir: str, chosen: DataFrame, sums: DataFrame, items: bool) -> DataFrame:
     s = read_table(spark, sf_dir, "supplier")
-    a = amounts(spark, sf_dir).join(s, F.col("vendor_id") == F.col("s_suppkey"), "left")
+    a = sums.join(s, F.col("vendor_id") == F.col("s_suppkey"), "left")
     a = a.select("invoice_id", "vendor_id", F.col("s_name").alias("vendor_name"), F.lpad((F.col("vendor_id") + 1).cast("string"), 9, "0").alias("vendor_tax_id"), "subtotal", "tax_amount", "discount")
     i = F.col("id")
     current = F.when(i % 3 == 0, (F.col("subtotal").cast("decimal(18,2)") + F.col("tax_amount").cast("decimal(18,2)") - F.col("discount").cast("decimal(18,2)")).cast("double"))
-    out = heads(spark, sf_dir).join(a, F.col("id") == F.col("invoice_id"), "left").drop("invoice_id")
+    out = chosen.join(a, F.col("id") == F.col("invoice_id"), "left").drop("invoice_id")
     out = out.withColumn("vendor_name", F.coalesce("vendor_name", F.lit("UNKNOWN VENDOR"))).withColumn("current_charges_total", current)
     out = out.withColumn("previous_balance", F.when(i % 6 == 0, (F.col("total_amount").cast("decimal(18,2)") - F.col("current_charges_total").cast("decimal(18,2)")).cast("double")))
     if items:
