@@ -246,10 +246,16 @@ def money_display(c: Column) -> Column:
     return F.when(c.isNull(), "Not available").otherwise(F.format_number(c, 2))
 
 
+def _object(depth: int) -> str:
+    """Pattern of an object whose braces are nested so deep at most; braces in strings do not count."""
+    inner = "[^{}\"]|\"(?:[^\"\\\\]|\\\\.)*+\""
+    return "\\{(?:" + inner + ("|" + _object(depth - 1) if depth else "") + ")*+\\}"
+
+
 def first_json(c: Column, schema: str) -> Column:
-    """The first JSON object of a model's answer, fences removed."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), "(?i)^```(json)?", ""), "```$", ""))
-    return F.from_json(F.regexp_extract(bare, "(?s)\\{.*\\}", 0), schema)
+    """The first JSON object of a model's answer, nested eight deep at most; braces that hold no JSON are passed over."""
+    found = F.regexp_extract_all(blank(c), F.lit(f"(?s){_object(7)}"), F.lit(0))
+    return F.from_json(F.get(F.filter(found, lambda x: F.get_json_object(x, "$").isNotNull()), F.lit(0)), schema)
 
 
 def lookalike_digits(c: Column) -> Column:

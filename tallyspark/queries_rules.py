@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.functions import scalars
 from tallyspark.operators import ownership
 from tallyspark.queries import query
 
@@ -265,3 +266,11 @@ cases("owner", "vendor string, text string", "vendor varchar", ((None, "DATA SHO
 cases("buyer_name", "name string, text string", "name varchar", (("Delta", "Registered Name: ____\nTIN: 1", None), ("Delta", "Registered Name: Delta\nTIN", "Delta"), ("Delta", "Registered Name\nDelta\nTIN", "Delta"), ("Delta", "Registered Name:", "Delta")), lambda df: [ownership.buyer_name(_c("name"), _c("text"))])
 _FORM = "No. 77\nReceived from\nAddress of buyer\nin payment for the following\n{}\nSeller\nTotal receipts {}\nAccredited 2019"
 cases("unused_form", "text string", "unused boolean", ((_FORM.format("item", ""), True), (_FORM.format("item 5", ""), False), (_FORM.format("item", "1.00"), False), ("Received from\nTotal receipts", False)), lambda df: [ownership.unused_form(_c("text"))])
+
+cases(
+    "first_json",
+    "text string",
+    "a double",
+    (('```json\n{"a": 1}\n```', 1.0), ('{no} then {"a": 3} and {"a": 4}', 3.0), ('so {"b": {"c": "}"}, "a": 5} it is', 5.0), ("none", None), ('{"a": 6', None), (None, None)),
+    lambda df: [scalars.first_json(_c("text"), "a double")["a"]],
+)

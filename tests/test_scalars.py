@@ -74,6 +74,8 @@ def test_small_ones(spark):
     assert apply(spark, s.csv_guard, ["=1", "  -x", "ok", None]) == ["'=1", "'  -x", "ok", None]
     assert apply(spark, s.safe_component, [" a/b:c "]) == ["a_b_c"]
     assert apply(spark, s.money_display, [None, 1234.5], "double") == ["Not available", "1,234.50"]
+    texts = ['{no} then {"a": 3} and {"a": 4}', '{"a": 5, "b": {"c": "}{", "d": [{"e": "\\""}]}} {x', '{"a": 6', None]
+    assert apply(spark, lambda c: s.first_json(c, "a int")["a"], texts) == [3, 5, None, None]
     assert apply(spark, lambda c: s.first_json(c, "a int")["a"], ['```json\n{"a": 1}\n```', 'so {"a": 2} it is', "none"]) == [1, 2, None]
     assert apply(spark, lambda c: s.auto_category(c, F.array(F.lit("2 Parking slots"))), ["Acme", "Jollibee"]) == ["Transportation", "Food"]
     assert apply(spark, s.finite_number, ["nan", "inf", "1e3", "x"]) == [None, None, 1000.0, None]
