@@ -23,7 +23,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    if len(_powers.get(base, ())) < n:
+    if len(_powers.get(base, ())) < max(n, 1):
         out = np.full(max(n, STEP), base, np.uint64)
         out[0] = 1
         _powers[base] = np.multiply.accumulate(out)

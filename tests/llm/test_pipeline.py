@@ -47,3 +47,28 @@ def test_stages(spark):
     by = mix.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"), most=("size", "max"))
     assert ((by.taken - by.target).abs() <= by.most).all()
     assert abs(by.target.sum() - 1.5 * mix["size"].sum()) < 1e-6 * mix["size"].sum()
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, columns with the stages' own names, and an empty table: no stage loses a clean document."""
+    words = [f"w{i}" for i in range(60)]
+    clean = [(i, " ".join(words[(i * 7 + k * (i + 3)) % 60] for k in range(80)), "xy"[i % 2]) for i in range(12)]
+    rows = [*clean, clean[3], (None, clean[4][1], "x"), (None, "lonely text without any id at all", None), (None, None, None), (20, "", "y"), (21, "nasty nasty " * 30, "x"), (22, "mail me@example.com now", "y"), (23, "say the benchmark passage of some length here", "x")]
+    schema = "doc_id long, text string, source string, pii string, fp long, hits string"
+    docs = spark.createDataFrame([(*r, "mine", 1, "h") for r in rows], schema)
+    labels = [(i, int(i >= 100)) for i in [*range(12), *range(100, 112)]]
+    trained = docs.unionByName(spark.createDataFrame([(i, "nasty nasty " * 30, "x", "mine", 1, "h") for i in range(100, 112)], schema))
+    spark.createDataFrame(labels, "doc_id long, toxic int").selectExpr("*", "1 AS quality").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "The benchmark passage of some length"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = trained
+    for name, stage in corpus_pipeline.STAGES:
+        before, out = out, stage(spark, out, str(tmp_path))
+        out = spark.createDataFrame(out.collect(), out.schema)
+        if name != "mixing":
+            assert out.columns == before.columns
+        assert stage(spark, before.limit(0), str(tmp_path)).count() == 0
+    kept = {(r["doc_id"], r["text"]) for r in out.collect()}
+    ids = {i for i, _ in kept}
+    assert {i for i, _, _ in clean} <= ids and (22, "mail <EMAIL> now") in kept and (None, "lonely text without any id at all") in kept
+    assert not ids & {21, 23, *range(100, 112)} and len([1 for i, t in kept if t == clean[4][1]]) == 1 and out.count() == len(kept)
+    assert {"pii", "fp", "hits", "copies", "taken"} <= set(out.columns) and {r["pii"] for r in out.collect()} == {"mine"}
