@@ -11,6 +11,7 @@ from tallyspark.llm.filter_audit import AUDIT_SQL, audit_filters
 from tallyspark.llm.mixing import mix
 from tallyspark.llm.pii import pii_digest
 from tallyspark.llm.quality import judge_quality
+from tallyspark.llm.ranked_search import RANKED_SQL, ranked_search
 from tallyspark.llm.simhash import near_duplicates
 from tallyspark.llm.suffixes import remove_copies
 from tallyspark.llm.toxicity import score_documents
@@ -69,8 +70,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op9_pii": op9_pii, "op4_simhash": op4_simhash, "op3_warc": op3_warc, "op8_suffixes": op8_suffixes, "op10_windows": op10_windows, "op7_quality": op7_quality, "op6_decontamination": op6_decontamination, "op2_toxicity": op2_toxicity, "op5_url_filters": op5_url_filters, "op12_filter_audit": op12_filter_audit}
+    return {"op1_mixing": op1_mixing, "op9_pii": op9_pii, "op4_simhash": op4_simhash, "op3_warc": op3_warc, "op8_suffixes": op8_suffixes, "op10_windows": op10_windows, "op7_quality": op7_quality, "op6_decontamination": op6_decontamination, "op2_toxicity": op2_toxicity, "op5_url_filters": op5_url_filters, "op12_filter_audit": op12_filter_audit, "op13_ranked_search": op13_ranked_search}
 
 
 #: op3: who stores an equal payload first; sizes and digests of the whole payload.
@@ -123,4 +128,4 @@ FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can state the result; the others are tested against plain versions in tests/llm."""
-    return {"op3_warc": WARC_SQL, "op5_url_filters": listed_pages_sql(), "op8_suffixes": SUFFIXES_SQL, "op10_windows": WINDOWS_SQL, "op12_filter_audit": AUDIT_SQL}
+    return {"op3_warc": WARC_SQL, "op5_url_filters": listed_pages_sql(), "op8_suffixes": SUFFIXES_SQL, "op10_windows": WINDOWS_SQL, "op12_filter_audit": AUDIT_SQL, "op13_ranked_search": RANKED_SQL}
