@@ -10,6 +10,7 @@ from tallyspark.llm.decontamination import find_leaks
 from tallyspark.llm.filter_audit import AUDIT_SQL, audit_filters
 from tallyspark.llm.mixing import mix
 from tallyspark.llm.pii import pii_digest
+from tallyspark.llm.pitman_yor import score_with_model
 from tallyspark.llm.quality import judge_quality
 from tallyspark.llm.ranked_search import RANKED_SQL, ranked_search
 from tallyspark.llm.simhash import near_duplicates
@@ -66,6 +67,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed_pages(spark, read_table(spark, sf_dir, "pages"))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_with_model(documents(spark, sf_dir))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
@@ -75,7 +80,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op9_pii": op9_pii, "op4_simhash": op4_simhash, "op3_warc": op3_warc, "op8_suffixes": op8_suffixes, "op10_windows": op10_windows, "op7_quality": op7_quality, "op6_decontamination": op6_decontamination, "op2_toxicity": op2_toxicity, "op5_url_filters": op5_url_filters, "op12_filter_audit": op12_filter_audit, "op13_ranked_search": op13_ranked_search}
+    return {"op1_mixing": op1_mixing, "op9_pii": op9_pii, "op4_simhash": op4_simhash, "op3_warc": op3_warc, "op8_suffixes": op8_suffixes, "op10_windows": op10_windows, "op7_quality": op7_quality, "op6_decontamination": op6_decontamination, "op2_toxicity": op2_toxicity, "op5_url_filters": op5_url_filters, "op11_language_model": op11_language_model, "op12_filter_audit": op12_filter_audit, "op13_ranked_search": op13_ranked_search}
 
 
 #: op3: who stores an equal payload first; sizes and digests of the whole payload.
