@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.ranks import with_rank
-from tallyspark.llm.text import n_words
+from tallyspark.llm.text import n_words, row_digest
 from tallyspark.session import materialize
 
 BLOCK = 64
@@ -71,10 +71,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap
     return ranked.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def _fold(items: str) -> str:
-    """SQL for pivoting through an array of (r, k, u, id, tie, size, whole, part) structs."""
-    cur = "struct<id:bigint,tie:bigint,size:bigint,whole:bigint,part:double>"
-    done = "array<struct<id:bigint,tie:bigint,size:bigint,copies:bigint>>"
+def _fold(items: str, tie: str) -> str:
+    """SQL for pivoting through an array of (r, k, u, id, tie, size, whole, part) structs; tie: its type."""
+    cur = f"struct<id:bigint,tie:{tie},size:bigint,whole:bigint,part:double>"
+    done = f"array<struct<id:bigint,tie:{tie},size:bigint,copies:bigint>>"
 
     def ended(who: str, up: int) -> str:
         return f"named_struct('id', {who}.id, 'tie', {who}.tie, 'size', {who}.size, 'copies', {who}.whole + {up}L)"
@@ -119,14 +119,15 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """All documents with their columns, and size, source_size, target, copies and taken (replacing columns of those names)."""
     added = ["size", "source_size", "target", "copies", "taken"]
     kept = docs.select(*[c for c in docs.columns if c not in added])
-    tie = F.xxhash64(*[F.col(c).cast("string") for c in kept.columns])
-    keyed = kept.withColumn("__tie", tie)
+    keyed = kept.withColumn("__tie", row_digest(*kept.columns))
     rows = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__tie").alias("tie"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     mixed = _mixed(rows, how.get("weights", WEIGHTS), how.get("share", SHARE), how.get("cap", CAP), how.get("seed", SEED))
-    # rows that are equal throughout share a key: one of them is joined, and comes out once for each
-    plans = mixed.groupBy(F.col("tie").alias("__tie")).agg(F.collect_list(F.struct(*added)).alias("__plans"))
-    one = keyed.join(plans, "__tie").dropDuplicates(["__tie"])
-    return one.withColumn("__plan", F.explode("__plans")).select(*kept.columns, *[F.col(f"__plan.{c}").alias(c) for c in added])
+    # equal rows differ in copies at most, by one: a plan and how often it is there, for as many rows as there are
+    plans = mixed.groupBy(F.col("tie").alias("__tie"), *added).agg(F.count(F.lit(1)).alias("__times"))
+    plans = plans.groupBy("__tie").agg(F.collect_list(F.struct("__times", *added)).alias("__plans"))
+    one = keyed.dropDuplicates(["__tie"]).join(plans, "__tie").withColumn("__plan", F.explode("__plans"))
+    each = one.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__plan.__times"))))
+    return each.select(*kept.columns, *[F.col(f"__plan.{c}").alias(c) for c in added])
 
 
 def _mixed(rows: DataFrame, weights: tuple[int, ...], share: float, cap: float, seed: int) -> DataFrame:
@@ -153,7 +154,7 @@ def _mixed(rows: DataFrame, weights: tuple[int, ...], share: float, cap: float,
             left.withColumn("block", F.pmod(key, blocks))
             .groupBy(*keys, "n_docs", "block")
             .agg(F.sort_array(F.collect_list(item)).alias("items"))
-            .select(*keys, "n_docs", "block", F.expr(_fold("items")).alias("f"))
+            .select(*keys, "n_docs", "block", F.expr(_fold("items", dict(rows.dtypes)["tie"])).alias("f"))
         )
         folded = materialize(folded, "level")
         outs.append(folded.select(*keys, F.explode("f.out").alias("o")).select(*keys, F.col("o.id").alias("doc_id"), "o.tie", "o.size", "o.copies"))

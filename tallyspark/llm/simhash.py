@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.components import connected_components
 from tallyspark.llm.hashing import mix
+from tallyspark.llm.text import row_digest
 from tallyspark.session import materialize, shuffle_partitions
 
 MAX_BITS = 3
@@ -368,12 +369,11 @@ def keep_one_of_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     every node is held against the smallest one under its key; where a key's nodes are not all linked by
     that, all likely pairs of different components are compared, a block with a block at a time. The document of smallest id stays, one
     without id only where none has one; of several rows of that id the one of smallest text hash, then
-    of smallest hash of its other columns; of rows that are equal throughout one stays.
+    of smallest digest of its columns; of rows that are equal throughout one stays.
     """
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
-    others = [F.col(c).cast("string") for c in docs.columns if c not in (id_col, text_col)]
     key = ["__order", "__key", "__rest"]
-    keyed = docs.withColumns({"__order": order, "__key": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "__rest": F.xxhash64(F.lit(0), *others)})
+    keyed = docs.withColumns({"__order": order, "__key": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "__rest": row_digest(*docs.columns)})
     rows = with_near_features(keyed.select(*key, F.col(text_col).alias("text"))).select(*key, "near.*")
     rows = materialize(rows, "near_features")
     nodes = materialize(rows.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("fp").alias("fp"), F.min(F.struct(*key)).alias("first")), "near_nodes")
@@ -382,7 +382,8 @@ def keep_one_of_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     want = nodes.join(met, "node").select("node", "sketch", "first.*")
     columns = F.arrow_udf(set_columns, "struct<shingles:binary,short:binary>")
-    texts = keyed.select(*key, F.col(text_col).cast("string").alias("text")).join(want, key).dropDuplicates(["node"])
+    # rows that are equal throughout become one before they meet anything by key
+    texts = keyed.select(*key, F.col(text_col).cast("string").alias("text")).dropDuplicates(key).join(want, key)
     sets = materialize(texts.select("node", "sketch", columns("text").alias("s")).select("node", "sketch", "s.*"), "near_sets")
     parts = connected_components(confirmed(stars, sets))
     sized = sets.select("node", F.octet_length("short").alias("size"))
@@ -392,4 +393,4 @@ def keep_one_of_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = labels.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     named = nodes.select("node", "first").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     winners = named.groupBy("component").agg(F.min("first").alias("first")).select("first.*")
-    return keyed.join(winners, key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    return keyed.dropDuplicates(key).join(winners, key, "left_semi").select(*docs.columns)
