@@ -9,7 +9,7 @@ from tallyspark.llm.mixing import mixed_documents
 from tallyspark.llm.pii import mask_pii
 from tallyspark.llm.simhash import keep_one_of_copies
 from tallyspark.llm.toxicity import drop_toxic
-from tallyspark.session import materialize, read_table, spread
+from tallyspark.session import materialize, read_table, scratch_path, scratch_scope, spread
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,5 +45,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(read_table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        with scratch_scope(spark):  # what the stage wrote on its way goes once its result is written
+            docs = materialize(stage(spark, docs, sf_dir), path=path)
     return STAGES[-1][1](spark, docs, sf_dir)
