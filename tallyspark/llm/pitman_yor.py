@@ -41,10 +41,12 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.hashing import word_hashes
 from tallyspark.llm.seating import seatings
-from tallyspark.session import materialize, shuffle_partitions
+from tallyspark.session import materialize, scratch_path, scratch_scope, shuffle_partitions
 
 #: Bytes of text of a batch, and for each bucket; a longer text comes in stretches.
-BATCH_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
+BATCH_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
+#: Dishes of the shared restaurant that a task seats at once.
+DISHES = 1 << 18
 EPOCHS, BURN, SAMPLES, STRENGTH = 2, 1, 2, 1.0
 SMOOTH = 0.1
 SEED = 11
@@ -379,12 +381,14 @@ def seat_words(words: DataFrame, d: float, samples: int, seed: int) -> DataFrame
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, b in enumerate(batches):
-            if not b.num_rows:
-                continue
+        held: list[pa.RecordBatch] = []
+        done = 0
+
+        def out() -> pa.RecordBatch:
+            b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             customers = b["customers"].flatten().to_numpy().reshape(-1, samples)
             share = len(customers) / b["words"][0].as_py()
-            rng = np.random.default_rng([seed, TaskContext.get().partitionId(), k])
+            rng = np.random.default_rng([seed, TaskContext.get().partitionId(), done])
             tables = np.empty_like(customers)
             for s in range(samples):
                 c = customers[:, s]
@@ -392,7 +396,16 @@ def seat_words(words: DataFrame, d: float, samples: int, seed: int) -> DataFrame
                 # a share of the strength for a share of the dishes: (strength + tables of all) = (share * strength + own tables) / share
                 *_, tables[:, s] = seatings(c, zero, np.full(len(c), b["base"][0].as_py() / share), np.zeros(1), d, STRENGTH * share, BURN, 1, rng)
             sat = pa.FixedSizeListArray.from_arrays(pa.array(tables.ravel()), samples).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b["word"], b["n"], b["customers"], sat], ["word", "n", "customers", "tables"])
+            return pa.RecordBatch.from_arrays([b["word"], b["n"], b["customers"], sat], ["word", "n", "customers", "tables"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+            if sum(x.num_rows for x in held) >= DISHES:
+                yield out()
+                held, done = [], done + 1
+        if held:
+            yield out()
 
     return words.mapInArrow(run, "word long, n long, customers array<long>, tables array<long>")
 
@@ -413,10 +426,10 @@ class Model:
         return (customers - self.parent_d * tables + (STRENGTH + self.parent_d * self.tables[s]) / (self.vocabulary + 1)) / (STRENGTH + self.customers[s])
 
 
-def _sampled_words(words: DataFrame, model: Model, samples: int, seed: int) -> DataFrame:
+def _sampled_words(words: DataFrame, model: Model, samples: int, seed: int, parts: int, path: str | None = None) -> DataFrame:
     """Seat (word, n, customers) and set the model's sums."""
-    ready = words.withColumns({"base": F.lit(1.0 / (model.vocabulary + 1)), "words": F.lit(model.vocabulary)})
-    sat = materialize(seat_words(ready, model.parent_d, samples, seed), "lm_words")
+    ready = words.repartition(parts, "word").withColumns({"base": F.lit(1.0 / (model.vocabulary + 1)), "words": F.lit(model.vocabulary)})
+    sat = materialize(seat_words(ready, model.parent_d, samples, seed), "lm_words", path)
     sums = [F.coalesce(F.sum(F.col(c)[s]), F.lit(0)) for c in ("customers", "tables") for s in range(samples)]
     got = list(sat.agg(*sums).first())
     model.customers, model.tables = got[:samples], got[samples:]
@@ -541,35 +554,39 @@ def score_with_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(held, F.lit(True)).alias("held"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spark = rows.sparkSession
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(shuffle_partitions(spark), -(-total // BUCKET_BYTES))
-    buckets = parts
+    # a bucket for each core at least; more than the text fills would only make the packed pairs larger
+    parts = buckets = max(min(shuffle_partitions(spark), spark.sparkContext.defaultParallelism), -(-total // BUCKET_BYTES))
     batches = write_batches(rows)
     hot = hot_contexts(batches, buckets)
-    counted = materialize(count_pairs(requests(batches, buckets, hot), parts), "lm_counts")
+    counts = scratch_path(spark, "lm_counts")
+    with scratch_scope(spark):
+        counted = materialize(count_pairs(requests(batches, buckets, hot), parts), path=counts)
     states = counted.filter("state IS NOT NULL").select("bucket", "state")
 
-    ones = states.mapInArrow(_ones_and_twos, "ones long, twos long").agg(F.sum("ones"), F.sum("twos")).first()
-    needed = needed_words(states)
-    # the first guess: a table for each context of a word
-    degree = needed.groupBy("word").agg(F.count(F.lit(1)).alias("m"))
-    dishes = word_counts(counted).groupBy("word").agg(F.sum("n").alias("n"), F.sum("once").alias("once"))
-    words = materialize(dishes.join(degree, "word", "left").select("word", "n", "once", (F.col("once") + F.coalesce("m", F.lit(0))).alias("guess")), "lm_dishes")
-    r = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("guess") == 1), F.count_if(F.col("guess") == 2)).first()
-    model = Model(discount(ones[0] or 0, ones[1] or 0), discount(r[2], r[3]), r[0], r[1], [0] * samples, [0] * samples)
-
-    parent = _sampled_words(words.select("word", "n", F.array("guess").alias("customers")), model, 1, seed)
-    split: dict[int, int] = {}
-    at_most = 1
-    for epoch in range(epochs):
-        p = sum((model.parent(s, F.col("customers")[s], F.col("tables")[s]) for s in range(at_most)), F.lit(0.0)) / at_most
-        chances = needed.join(parent.select("word", p.alias("p")), "word").select("bucket", "word", "p")
-        at_most = samples if epoch == epochs - 1 else 1
-        sampled = materialize(seat_contexts(states, chances, model.d, parts, at_most, seed + epoch + 1, split), "lm_seats")
-        whole = _split_tables(sampled, states, hot, at_most)
-        split = {k: v[-1] for k, v in whole.items()}
-        tables = sampled.filter("word IS NOT NULL").groupBy("word").agg(F.array(*[F.sum(F.col("tables")[s]) for s in range(at_most)]).alias("tables"))
-        more = F.array(*[F.col("once") + F.coalesce(F.col("tables")[s], F.lit(0)) for s in range(at_most)])
-        parent = _sampled_words(words.join(tables, "word", "left").select("word", "n", more.alias("customers")), model, at_most, seed + 100 + epoch)
+    seats, dishes_path = scratch_path(spark, "lm_seats"), scratch_path(spark, "lm_words")
+    with scratch_scope(spark):  # of what sampling writes only the last tables stay
+        ones = states.mapInArrow(_ones_and_twos, "ones long, twos long").agg(F.sum("ones"), F.sum("twos")).first()
+        needed = needed_words(states)
+        # the first guess: a table for each context of a word
+        degree = needed.groupBy("word").agg(F.count(F.lit(1)).alias("m"))
+        dishes = word_counts(counted).groupBy("word").agg(F.sum("n").alias("n"), F.sum("once").alias("once"))
+        words = materialize(dishes.join(degree, "word", "left").select("word", "n", "once", (F.col("once") + F.coalesce("m", F.lit(0))).alias("guess")), "lm_dishes")
+        r = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("guess") == 1), F.count_if(F.col("guess") == 2)).first()
+        model = Model(discount(ones[0] or 0, ones[1] or 0), discount(r[2], r[3]), r[0], r[1], [0] * samples, [0] * samples)
+
+        parent = _sampled_words(words.select("word", "n", F.array("guess").alias("customers")), model, 1, seed, parts)
+        split: dict[int, int] = {}
+        at_most = 1
+        for epoch in range(epochs):
+            p = sum((model.parent(s, F.col("customers")[s], F.col("tables")[s]) for s in range(at_most)), F.lit(0.0)) / at_most
+            chances = needed.join(parent.select("word", p.alias("p")), "word").select("bucket", "word", "p")
+            at_most = samples if epoch == epochs - 1 else 1
+            sampled = materialize(seat_contexts(states, chances, model.d, parts, at_most, seed + epoch + 1, split), "lm_seats", seats if epoch == epochs - 1 else None)
+            whole = _split_tables(sampled, states, hot, at_most)
+            split = {k: v[-1] for k, v in whole.items()}
+            tables = sampled.filter("word IS NOT NULL").groupBy("word").agg(F.array(*[F.sum(F.col("tables")[s]) for s in range(at_most)]).alias("tables"))
+            more = F.array(*[F.col("once") + F.coalesce(F.col("tables")[s], F.lit(0)) for s in range(at_most)])
+            parent = _sampled_words(words.join(tables, "word", "left").select("word", "n", more.alias("customers")), model, at_most, seed + 100 + epoch, parts, dishes_path if epoch == epochs - 1 else None)
     replies = answers(counted, sampled, parent, buckets, parts, samples, whole)
     scored = score_batches(batches, replies, model, buckets, parts, samples, hot)
     out = scored.groupBy("row", "doc_id", "held_out").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])

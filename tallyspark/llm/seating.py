@@ -17,7 +17,9 @@ from collections.abc import Iterator
 
 import numpy as np
 
-PARTY = 4096
+PARTY = 1024
+#: Tables that are proposed at once to customers that did not take the first.
+PROPOSALS = 12
 
 
 def seatings(c: np.ndarray, restaurant: np.ndarray, base: np.ndarray, elsewhere: np.ndarray, discount: float, strength: float, burn: int, samples: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
@@ -83,12 +85,16 @@ class _Seats:
         self.tables[new] += 1
         # the table of any other customer, which is by size; kept with what the discount leaves of it
         left = np.flatnonzero(~opens)
+        tries = 1
         while len(left):
-            j = (rng.random(len(left)) * others[left]).astype(np.int64)
+            j = (rng.random((tries, len(left))) * others[left]).astype(np.int64)
             if skip is not None:
                 j += j >= skip
-            table = self.table[self.at[left] + j]
-            stays = rng.random(len(left)) * self.seated[self.at[left] + table] >= self.discount
-            self.table[place[left[stays]]] = table[stays]
-            left = left[~stays]
+            at = self.at[left]
+            table = self.table[at + j]
+            stays = rng.random(j.shape) * self.seated[at + table] >= self.discount
+            some = stays.any(axis=0)
+            first = stays.argmax(axis=0)[some]
+            self.table[place[left[some]]] = table[first, np.flatnonzero(some)]
+            left, tries = left[~some], PROPOSALS
         self.seated[self.at[:k] + self.table[place]] += 1
