@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import PandasUDFType
 
 from tallyspark.functions.scalars import blank
+from tallyspark.session import materialize
 
 AMOUNT = "(?<![0-9.,])[0-9]{1,3}(?:,[0-9]{3})+\\.[0-9]{2}(?![0-9%])|(?<![0-9.,])[0-9]+\\.[0-9]{2}(?![0-9%])"
 BARE = AMOUNT + "|(?<![0-9.,])[0-9]{1,3}(?:,[0-9]{3})*(?![0-9%.,])|(?<![0-9.,])[0-9]+(?![0-9%.,])"
@@ -119,21 +120,37 @@ def right_of_label(words: DataFrame, label: str, overlap: float = 0.6) -> DataFr
     return near.join(blocked, ["page", "l_x1", "l_y1"], "left_anti").select("page", F.col("l_word").alias("label_word"), F.col("v.value").alias("value"))
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    out, used = [], (set(), set())
-    labels, cells = pdf[pdf.is_label], pdf[~pdf.is_label]
-    pairs = sorted((abs(a.y - b.y), a.word, b.word) for a in labels.itertuples() for b in cells.itertuples())
-    for d, a, b in pairs:
-        if a not in used[0] and b not in used[1]:
-            used[0].add(a)
-            used[1].add(b)
-            out.append((pdf.page.iloc[0], a, b, float(d)))
-    return pd.DataFrame(out, columns=["page", "label", "cell", "distance"])
+def nearest_pairs(pairs: DataFrame, within: str, left: str, right: str, distance: str) -> DataFrame:
+    """One-to-one pairs, the nearest first: what a greedy walk through all pairs in order of distance would take.
+
+    A pair that is the nearest both for its left and for its right is in that walk whatever comes before it, so each
+    round takes all such pairs at once and drops what shares a side with them. Of equal distances the smaller
+    left, then the smaller right is nearer. Everything is dealt by ``within``; a round is one exchange.
+    """
+    order = F.struct(distance, left, right)
+    state = materialize(pairs.select(within, left, right, distance).distinct(), "pairs")
+    taken = []
+    while True:
+        for_left, for_right = Window.partitionBy(within, left), Window.partitionBy(within, right)
+        best = (F.min(order).over(for_left) == order) & (F.min(order).over(for_right) == order)
+        state = state.withColumn("__take", best)
+        gone = F.max("__take").over(for_left) | F.max("__take").over(for_right)
+        state = materialize(state.withColumn("__gone", gone), "pairs")
+        taken.append(state.filter("__take").select(*pairs.columns))
+        state = state.filter("not __gone").select(within, left, right, distance)
+        if not state.limit(1).count():
+            break
+    out = taken[0]
+    for t in taken[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def match_cells(words: DataFrame) -> DataFrame:
-    """One-to-one pairs of labels and cells of a page, nearest in height first. Greedy, so not relational: a page at a time."""
-    return words.select("page", "word", "y", "is_label").groupBy("page").applyInPandas(_greedy, "page long, label string, cell string, distance double")
+    """One-to-one pairs of labels and cells of a page, nearest in height first."""
+    side = lambda is_label, name: words.filter(F.col("is_label") == is_label).select("page", F.col("word").alias(name), F.col("y").alias(f"{name}_y"))
+    pairs = side(True, "label").join(side(False, "cell"), "page").select("page", "label", "cell", F.abs(F.col("label_y") - F.col("cell_y")).alias("distance"))
+    return nearest_pairs(pairs, "page", "label", "cell", "distance")
 
 
 def _ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

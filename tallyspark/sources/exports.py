@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.scalars import csv_guard, currency_code
 from tallyspark.operators.reports import money_sum
 from tallyspark.session import materialize
+from tallyspark.sources import one_file
 
 SUMS = {"Vatable Sales": "subtotal", "VAT-Exempt Sales": "vat_exempt_sales", "Zero-Rated Sales": "zero_rated_sales", "VAT": "tax_amount", "Withholding Tax": "withholding_tax", "Total Amount Due": "total_amount"}
 TEXTS = {"Customer": "customer_name", "Plate #": "plate_number", "Filename": "original_filename", "Category": "category", "Currency": "currency"}
@@ -83,20 +84,14 @@ def file_name(prefix: str, ending: str, now: datetime) -> str:
     return f"{prefix}_{now:%Y%m%d_%H%M%S}.{ending.lstrip('.')}"
 
 
-def write(rows: DataFrame, folder: str, kind: str = "csv") -> None:
-    """Write an export; csv goes to one file, as a person will open it."""
-    if kind == "csv":
-        rows.coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
-    elif kind == "json":
-        rows.write.mode("overwrite").json(folder)
-    elif kind == "parquet":
-        rows.write.mode("overwrite").parquet(folder)
-    elif kind == "xlsx":
-        try:
-            import openpyxl  # noqa: F401
-        except ModuleNotFoundError as e:
-            raise ValueError("xlsx needs openpyxl, which is not installed") from e
-        rows.toPandas().to_excel(folder, index=False)
+def write(rows: DataFrame, path: str, kind: str = "csv", **options: str) -> None:
+    """Write an export: csv and xlsx as the one file that a person will open, put together from the tasks' parts; json and parquet as a folder."""
+    if kind in ("csv", "xlsx"):
+        source = one_file.CsvFile if kind == "csv" else one_file.Sheets
+        rows.sparkSession.dataSource.register(source)
+        rows.write.format(source.name()).options(**options).mode("append").save(path)
+    elif kind in ("json", "parquet"):
+        rows.write.mode("overwrite").format(kind).save(path)
     else:
         raise ValueError(f"unknown export kind {kind!r}")
 
