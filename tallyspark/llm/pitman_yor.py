@@ -41,13 +41,13 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.hashing import word_hashes
 from tallyspark.llm.seating import seatings
-from tallyspark.session import materialize, scratch_path, scratch_scope, shuffle_partitions
+from tallyspark.session import materialize, release, scratch_path, scratch_scope, shuffle_partitions
 
 #: Bytes of text of a batch, and for each bucket; a longer text comes in stretches.
-BATCH_BYTES, BUCKET_BYTES = 8 << 20, 24 << 20
+BATCH_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 #: Dishes of the shared restaurant that a task seats at once.
 DISHES = 1 << 18
-EPOCHS, BURN, SAMPLES, STRENGTH = 2, 1, 2, 1.0
+EPOCHS, BURN, SAMPLES, STRENGTH = 2, 1, 2, 1.0  # burn: sweeps of the contexts that are not kept, in the last epoch
 SMOOTH = 0.1
 SEED = 11
 START, END = 1, 2  # hashes that stand for the start and the end of a text
@@ -172,9 +172,8 @@ def write_batches(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Pairs:
-    """Distinct pairs (context u, word w) of a batch by number, their training counts, and of each token the pair, part and word."""
+    """Distinct pairs (context u, word w) of a batch by number, their training counts, and of each token the pair and part."""
 
-    words: np.ndarray
     u: np.ndarray
     w: np.ndarray
     trained: np.ndarray
@@ -182,30 +181,47 @@ class Pairs:
     part: np.ndarray
 
 
-def pairs_of(words: bytes, stream: bytes, size: np.ndarray, held: np.ndarray) -> Pairs:
-    h = _sum(unpack(words)[0])
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, each key's place among them, the keys' order and where each distinct one begins in it; as np.unique, in half the memory."""
+    by = np.argsort(keys)
+    ordered = keys[by]
+    first = np.flatnonzero(np.diff(ordered, prepend=-1))
+    distinct = ordered[first]
+    del ordered
+    place = np.empty(len(by), np.int32)
+    place[by] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(first, append=len(by)))
+    return distinct, place, by, first
+
+
+def pairs_of(stream: bytes, size: np.ndarray, held: np.ndarray) -> Pairs:
     s = unpack(stream)[0]
-    part = np.repeat(np.arange(len(size)), size)
-    inside = np.flatnonzero(part[1:] == part[:-1])
-    part = part[inside]
-    key, pair = np.unique(s[inside] << 32 | s[inside + 1], return_inverse=True)
+    part = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    inside = part[1:] == part[:-1]
+    keys = (s[:-1] << 32 | s[1:])[inside]
+    part = part[1:][inside]
+    del s, inside
+    key, pair, *_ = numbered(keys)
+    del keys, _
     trained = np.bincount(pair, ~held[part], len(key)).astype(np.int64)
-    return Pairs(h, key >> 32, key & 0xFFFFFFFF, trained, pair, part)
+    return Pairs(key >> 32, key & 0xFFFFFFFF, trained, pair, part)
 
 
-def dealt_to(p: Pairs, buckets: int, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Each pair's bucket: that of its context, which is one of several by the word if the context is hot (hashes, slices)."""
-    of = home(p.words, buckets)
-    at = np.searchsorted(hot[0], p.words)
-    slices = np.ones(len(p.words), np.int64)
+def places(words: np.ndarray, buckets: int, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's bucket, and into how many slices it is cut as a context (hot: hashes, slices)."""
+    slices = np.ones(len(words), np.int64)
     if len(hot[0]):
-        at = np.minimum(at, len(hot[0]) - 1)
-        slices = np.where(hot[0][at] == p.words, hot[1][at], 1)
+        at = np.minimum(np.searchsorted(hot[0], words), len(hot[0]) - 1)
+        slices = np.where(hot[0][at] == words, hot[1][at], 1)
+    return home(words, buckets), slices
+
+
+def dealt_to(p: Pairs, of: np.ndarray, slices: np.ndarray, buckets: int) -> np.ndarray:
+    """Each pair's bucket: that of its context, which is one of several by the word if the context is cut."""
     return (of[p.u] + of[p.w] % slices[p.u]) % buckets
 
 
-def _read(b: pa.RecordBatch, i: int) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
-    return b["words"][i].as_py(), b["stream"][i].as_py(), np.array(b["size"][i].as_py(), np.int64), np.array(b["held"][i].as_py(), bool)
+def _read(b: pa.RecordBatch, i: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    return b["stream"][i].as_py(), np.array(b["size"][i].as_py(), np.int64), np.array(b["held"][i].as_py(), bool)
 
 
 def hot_contexts(batches: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,8 +255,9 @@ def requests(batches: DataFrame, buckets: int, hot: tuple[np.ndarray, np.ndarray
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for i in range(b.num_rows):
-                p = pairs_of(*_read(b, i))
-                of, to = home(p.words, buckets), dealt_to(p, buckets, hot)
+                p, h = pairs_of(*_read(b, i)), _sum(unpack(b["words"][i].as_py())[0])
+                of, slices = places(h, buckets, hot)
+                to = dealt_to(p, of, slices, buckets)
                 by_word, by_pair = np.argsort(of, kind="stable"), np.argsort(to, kind="stable")
                 words_at, pairs_at = (np.searchsorted(x, np.arange(buckets + 1)) for x in (of[by_word], to[by_pair]))
                 full = np.flatnonzero(np.diff(words_at) + np.diff(pairs_at))
@@ -249,7 +266,7 @@ def requests(batches: DataFrame, buckets: int, hot: tuple[np.ndarray, np.ndarray
                     own, mine = by_word[words_at[k] : words_at[k + 1]], by_pair[pairs_at[k] : pairs_at[k + 1]]
                     contexts, n = np.unique(p.u[mine], return_counts=True)
                     following, place = np.unique(p.w[mine], return_inverse=True)
-                    blobs.append(pack(_gaps(p.words[own]), _gaps(p.words[contexts]), n, _gaps(p.words[following]), place, p.trained[mine]))
+                    blobs.append(pack(_gaps(h[own]), _gaps(h[contexts]), n, _gaps(h[following]), place, p.trained[mine]))
                 yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.repeat(b["batch"][i].as_py(), len(full))), pa.array(blobs, pa.binary())], ["bucket", "batch", "blob"])
 
     return batches.select("batch", "held", "size", "words", "stream").mapInArrow(run, "bucket int, batch long, blob binary")
@@ -299,17 +316,10 @@ def count_pairs(asked: DataFrame, parts: int) -> DataFrame:
                 mine[:] = np.repeat(np.searchsorted(known, contexts[i]), each[i])
                 mine <<= 32
                 mine |= np.searchsorted(after, following[i])[place[i]]
-            # as np.unique, in half the memory
-            by = np.argsort(asked_pairs)
-            ordered = asked_pairs[by]
+            key, pair, by, first = numbered(asked_pairs)
             del asked_pairs, place
-            first = np.flatnonzero(np.diff(ordered, prepend=-1))
-            key = ordered[first]
-            del ordered
             c = np.add.reduceat(np.concatenate(trained)[by], first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
-            pair = np.empty(len(by), np.int32)
-            pair[by] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(first, append=len(by)))
-            del by
+            del by, trained
             u, w = key >> 32, key & 0xFFFFFFFF
             several = c > 1
             code = np.where(several, np.cumsum(several) + 1, c)  # 0: not in training, 1: once, else 2 + number of the pair
@@ -357,7 +367,7 @@ def discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones + twos else 0.5
 
 
-def seat_contexts(states: DataFrame, chances: DataFrame, d: float, parts: int, samples: int, seed: int, split: dict[int, int]) -> DataFrame:
+def seat_contexts(states: DataFrame, chances: DataFrame, d: float, parts: int, burn: int, samples: int, seed: int, split: dict[int, int]) -> DataFrame:
     """Rows (bucket, word, tables, blob): of each bucket the tables of its pairs and contexts by sample, and each word's sum of tables.
 
     chances: (bucket, word, p), the parent's probability of the words that the bucket needs. split: tables in all
@@ -381,7 +391,7 @@ def seat_contexts(states: DataFrame, chances: DataFrame, d: float, parts: int, s
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, known), len(hot) - 1)
                 elsewhere += np.where(hot[at] == known, total[at] - mine, 0)
-            out = list(seatings(c, u, chance[place], np.maximum(elsewhere, 0), d, STRENGTH, BURN, samples, np.random.default_rng([seed, bucket])))
+            out = list(seatings(c, u, chance[place], np.maximum(elsewhere, 0), d, STRENGTH, burn, samples, np.random.default_rng([seed, bucket])))
             sums = np.stack([np.bincount(place, t, len(needed)).astype(np.int64) for t in out], axis=1)
             by_context = [once + np.bincount(u, t, len(known)).astype(np.int64) for t in out]
             blob = pack(*out, *by_context)
@@ -414,7 +424,7 @@ def seat_words(words: DataFrame, d: float, samples: int, seed: int) -> DataFrame
                 c = customers[:, s]
                 zero = np.zeros(len(c), np.int64)
                 # a share of the strength for a share of the dishes: (strength + tables of all) = (share * strength + own tables) / share
-                *_, tables[:, s] = seatings(c, zero, np.full(len(c), b["base"][0].as_py() / share), np.zeros(1), d, STRENGTH * share, BURN, 1, rng)
+                *_, tables[:, s] = seatings(c, zero, np.full(len(c), b["base"][0].as_py() / share), np.zeros(1), d, STRENGTH * share, 0, 1, rng)
             sat = pa.FixedSizeListArray.from_arrays(pa.array(tables.ravel()), samples).cast(pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays([b["word"], b["n"], b["customers"], sat], ["word", "n", "customers", "tables"])
 
@@ -528,19 +538,28 @@ def answers(counted: DataFrame, sampled: DataFrame, words: DataFrame, buckets: i
 
 def score_batches(batches: DataFrame, replies: DataFrame, model: Model, buckets: int, parts: int, samples: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Rows (row, doc_id, held, n_tokens, n_known, base_score, score) of each part of a document."""
-    names = ["row", "doc_id", "held", "size", "words", "stream"]
-    own = batches.select("batch", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("blob"), *names)
+    names = ["row", "doc_id", "held", "size", "stream", "words"]
+
+    def slim(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the hashes only what tells where their answers come from."""
+        at = len(names)  # behind the batch
+        for b in rows:
+            where = [pack(*places(_sum(unpack(x.as_py())[0]), buckets, hot)) for x in b["words"]]
+            yield b.set_column(at, "words", pa.array(where, pa.binary()))
+
+    kept = batches.select("batch", *names)
+    own = kept.mapInArrow(slim, kept.schema).select("batch", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("blob"), *names)
     other = replies.select("batch", "bucket", "blob", *[F.lit(None).cast(dict(batches.dtypes)[c]).alias(c) for c in names])
     rows = own.unionByName(other).repartition(parts, "batch").sortWithinPartitions("batch", "bucket")
 
     def run(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, got in by_bucket(held, "batch"):
             first = got[0]
-            p = pairs_of(*_read(first, 0))
-            of, to = home(p.words, buckets), dealt_to(p, buckets, hot)
+            p, (of, slices) = pairs_of(*_read(first, 0)), unpack(first["words"][0].as_py())
+            to = dealt_to(p, of, slices, buckets)
             by_word, by_pair = np.argsort(of, kind="stable"), np.argsort(to, kind="stable")
             words_at, pairs_at = (np.searchsorted(x, np.arange(buckets + 1)) for x in (of[by_word], to[by_pair]))
-            word, pair = np.zeros((2 + 3 * samples, len(p.words)), np.int64), np.zeros((1 + samples, len(p.u)), np.int64)
+            word, pair = np.zeros((2 + 3 * samples, len(of)), np.int64), np.zeros((1 + samples, len(p.u)), np.int64)
             for b in got:
                 for k, blob in zip(b["bucket"].to_pylist(), b["blob"], strict=True):
                     if k >= 0:
@@ -591,6 +610,7 @@ def score_with_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         degree = needed.groupBy("word").agg(F.count(F.lit(1)).alias("m"))
         dishes = word_counts(counted).groupBy("word").agg(F.sum("n").alias("n"), F.sum("once").alias("once"))
         words = materialize(dishes.join(degree, "word", "left").select("word", "n", "once", (F.col("once") + F.coalesce("m", F.lit(0))).alias("guess")), "lm_dishes")
+        release(spark)
         r = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("guess") == 1), F.count_if(F.col("guess") == 2)).first()
         model = Model(discount(ones[0] or 0, ones[1] or 0), discount(r[2], r[3]), r[0], r[1], [0] * samples, [0] * samples)
 
@@ -601,7 +621,8 @@ def score_with_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             p = sum((model.parent(s, F.col("customers")[s], F.col("tables")[s]) for s in range(at_most)), F.lit(0.0)) / at_most
             chances = needed.join(parent.select("word", p.alias("p")), "word").select("bucket", "word", "p")
             at_most = samples if epoch == epochs - 1 else 1
-            sampled = materialize(seat_contexts(states, chances, model.d, parts, at_most, seed + epoch + 1, split), "lm_seats", seats if epoch == epochs - 1 else None)
+            sampled = materialize(seat_contexts(states, chances, model.d, parts, BURN if epoch == epochs - 1 else 0, at_most, seed + epoch + 1, split), "lm_seats", seats if epoch == epochs - 1 else None)
+            release(spark)
             whole = _split_tables(sampled, states, hot, at_most)
             split = {k: v[-1] for k, v in whole.items()}
             tables = sampled.filter("word IS NOT NULL").groupBy("word").agg(F.array(*[F.sum(F.col("tables")[s]) for s in range(at_most)]).alias("tables"))
