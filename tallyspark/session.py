@@ -45,8 +45,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
     """Remove the scratch folders that are made inside when it ends; what is to stay is taken off the list.
 
-    A result that reads such a folder must have been written before the scope ends. Spark removes shuffle files
-    once the driver's JVM has collected the plans that made them, so that is asked for here.
+    A result that reads such a folder must have been written before the scope ends.
     """
     made: list[str] = []
     token = _made.set(made)
@@ -57,7 +56,12 @@ def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
         for path in made:
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        spark._jvm.System.gc()
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Spark removes shuffle files once the driver's JVM has collected the plans that made them; ask for that."""
+    spark._jvm.System.gc()
 
 
 def materialize(df: DataFrame, name: str = "step", path: str | None = None) -> DataFrame:
