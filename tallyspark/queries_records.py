@@ -415,19 +415,24 @@ _CASES = (
 
 def _notes_sql(cases) -> str:
     quoted = lambda n: "'" + n.replace("'", "''") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, CAST([{', '.join(map(quoted, notes))}] AS varchar[]))" for i, (_, notes) in enumerate(cases)) + ") v(id, issues)"
+    return f"SELECT id, CASE id % {len(cases)} {' '.join(f'WHEN {i} THEN CAST([{chr(44).join(map(quoted, notes))}] AS varchar[])' for i, (_, notes) in enumerate(cases))} END AS issues FROM heads"
 
 
-def _validated(spark, cases, template: str | None = None) -> DataFrame:
+def _validated(spark, d, cases, template: str | None = None) -> DataFrame:
+    """Every invoice by its id as one of the cases, with its own number and names where the case has none of its own."""
     rows = [(i, *(_VALID | more).values()) for i, (more, _) in enumerate(cases)]
     kinds = [f"{k} {'array<struct<description:string,quantity:double,unit_price:double,amount:double>>' if k == 'items' else 'string'}" for k in _VALID]
-    df = spark.createDataFrame(rows, "id int, " + ", ".join(kinds)).withColumnRenamed("items", "line_items")
+    each = spark.createDataFrame(rows, "k int, " + ", ".join(kinds)).withColumnRenamed("items", "line_items")
+    own = model.heads(spark, d).select("id", F.col("customer_name").alias("own_customer"))
+    df = own.join(F.broadcast(each), F.col("id") % len(cases) == F.col("k"))  # a row for each case
+    mine = {"invoice_number": F.concat(F.lit("A-"), F.col("id").cast("string")), "vendor_name": F.concat_ws(" ", F.lit("Acme"), F.col("id").cast("string"), F.lit("Trading")), "customer_name": F.coalesce("own_customer", F.lit("Delta"))}
+    df = df.withColumns({c: F.when(F.col(c) == _VALID[c], x).otherwise(F.col(c)) for c, x in mine.items()})
     return df.select("id", quality.issues(df, date(1998, 1, 1), F.col("text"), template).alias("issues"))
 
 
 @query("validation_rules", _notes_sql(_CASES))
 def validation_rules(spark, d):
-    return _validated(spark, _CASES)
+    return _validated(spark, d, _CASES)
 
 
 _RETAIL = (
@@ -441,57 +446,59 @@ _RETAIL = (
 
 @query("retail_rules", _notes_sql(_RETAIL))
 def retail_rules(spark, d):
-    return _validated(spark, _RETAIL, "retail")
+    return _validated(spark, d, _RETAIL, "retail")
 
 
 # ---- requests in plain words: the plan of each, or none ----------------------------------------------
-_CONTEXT = {"vendors": ["North Pier", "North Pier Cafe", "Oxbow"], "categories": ["Repairs", "Rent"], "users": ["ines"], "actions": ["RENAME"], "types": ["ledger"]}
-#: Page, request, and what it comes to on Wednesday, 12 March 2031: family:field:operator:value:value2, in order of family.
+#: Request, and what it asks of the invoices on 1 January 1998, a Thursday; None: it is not understood, and selects nothing.
+_between = lambda field, a, b: f"{field} BETWEEN DATE '{a}' AND DATE '{b}'"
+_NO_PLATE = "(plate_number IS NULL OR plate_number IN ('-', '0', 'N/A'))"
 _REQUESTS = (
-    ("history", "list all records", ""),
-    ("history", "bills may 2029", "dates:invoice_date:between:2029-05-01:2029-05-31"),
-    ("history", "uploaded may 2029", "dates:date_uploaded:between:2029-05-01:2029-05-31"),
-    ("logs", "may 2029", "dates:date_time:between:2029-05-01:2029-05-31"),
-    ("history", "from feb through apr 2028", "dates:invoice_date:between:2028-02-01:2028-04-30"),
-    ("history", "from nov to jan", None),
-    ("history", "second quarter of 2027", "dates:invoice_date:between:2027-04-01:2027-06-30"),
-    ("history", "q5 2027", None),
-    ("history", "yesterday", "dates:invoice_date:between:2031-03-11:2031-03-11"),
-    ("history", "last week", "dates:invoice_date:between:2031-03-03:2031-03-09"),
-    ("history", "this month", "dates:invoice_date:between:2031-03-01:2031-03-31"),
-    ("history", "last year", "dates:invoice_date:between:2030-01-01:2030-12-31"),
-    ("history", "last 10 days", "dates:invoice_date:between:2031-03-03:2031-03-12"),
-    ("history", "between 2030-02-03 and 2030-02-09", "dates:invoice_date:between:2030-02-03:2030-02-09"),
-    ("history", "between 2030-02-09 and 2030-02-03", None),
-    ("history", "without an invoice number", "presence:invoice_number:missing"),
-    ("history", "with plate no", "presence:plate_number:present"),
-    ("history", "without a sequel", None),
-    ("history", "between php 5 and 1k", "numbers:total_amount:between:5.0:1000.0|choices:currency:in:PHP"),
-    ("history", "at least $3,000.50", "numbers:total_amount:>=:3000.5|choices:currency:in:USD"),
-    ("history", "under ₱99", "numbers:total_amount:<:99.0|choices:currency:in:PHP"),
-    ("history", "over 3 dollars and under 4 pesos", None),
-    ("history", "oxbow and north pier cafe", "text:vendor_name:contains_any:North Pier Cafe,Oxbow"),
-    ("history", "Bayview bills", None),
-    ("history", "needs-review rent", "choices:status:in:needs_review|choices:category:in:Rent"),
-    ("history", "unlocked", "booleans:locked:False"),
-    ("log", "RENAME by user ines, ledger", "text:user:equals:ines|text:action:equals:RENAME|text:entity_type:equals:ledger"),
-    ("log", "over 70", None),
-    ("vendors", "may 2029", None),
+    ("list all records", "true"),
+    ("bills may 1997", _between("invoice_date", "1997-05-01", "1997-05-31")),
+    ("uploaded may 1997", _between("date_uploaded", "1997-05-01", "1997-05-31")),
+    ("from feb through apr 1996", _between("invoice_date", "1996-02-01", "1996-04-30")),
+    ("from nov to jan", None),
+    ("second quarter of 1997", _between("invoice_date", "1997-04-01", "1997-06-30")),
+    ("q5 1997", None),
+    ("yesterday", "invoice_date = DATE '1997-12-31'"),
+    ("last week", _between("invoice_date", "1997-12-22", "1997-12-28")),
+    ("this month", _between("invoice_date", "1998-01-01", "1998-01-31")),
+    ("last year", _between("invoice_date", "1997-01-01", "1997-12-31")),
+    ("last 10 days", _between("invoice_date", "1997-12-23", "1998-01-01")),
+    ("between 1997-02-03 and 1997-02-09", _between("invoice_date", "1997-02-03", "1997-02-09")),
+    ("between 1997-02-09 and 1997-02-03", None),
+    ("without an invoice number", "invoice_number IS NULL"),
+    ("with plate no", f"NOT {_NO_PLATE}"),
+    ("without a sequel", None),
+    ("between usd 5 and 100k", "total_amount BETWEEN 5 AND 100000 AND currency = 'USD'"),
+    ("at least $150,000.50", "total_amount >= 150000.5 AND currency = 'USD'"),
+    ("under eur 99", "total_amount < 99 AND currency = 'EUR'"),
+    ("over 3 dollars and under 4 pesos", None),
+    ("needs-review food", "status = 'needs_review' AND category = 'Food'"),
+    ("unlocked", "NOT locked"),
+    ("Bayview bills", None),
+    ("unlocked furnitures of q3 1995 without plate number", f"NOT locked AND category = 'Furnitures' AND {_between('invoice_date', '1995-07-01', '1995-09-30')} AND {_NO_PLATE}"),
 )
 
 
-def _said(plan: dict | None) -> str | None:
-    if plan is None:
-        return None
-    show = lambda c: ":".join([",".join(v) if isinstance(v, list) else str(v) for k, v in c.items()])
-    return "|".join(f"{family}:{show(c)}" for family, conditions in plan.items() for c in conditions)
+def _selected(spark, d, plans: list[dict | None]) -> DataFrame:
+    """request, n, ids: how many invoices each plan selects and the sum of their ids, in one pass over the invoices."""
+    rows = model.heads(spark, d)
+    hit = [F.lit(False) if p is None else F.coalesce(search.condition(p, dict(rows.dtypes)), F.lit(True)) if any(p.values()) else F.lit(True) for p in plans]
+    sums = rows.agg(*[F.struct(F.count_if(h).alias("n"), F.coalesce(F.sum(F.when(h, F.col("id"))), F.lit(0)).alias("ids")).alias(f"r{k}") for k, h in enumerate(hit)])
+    return sums.select(F.posexplode(F.array(*[f"r{k}" for k in range(len(plans))])).alias("request", "s")).select("request", "s.*")
 
 
-@query("requests", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {'CAST(NULL AS varchar)' if want is None else repr(want)})" for i, (_, _, want) in enumerate(_REQUESTS)) + ") v(id, plan)")
+def _selected_sql(wheres) -> str:
+    return " UNION ALL ".join(f"SELECT {k} AS request, count(*) AS n, CAST(coalesce(sum(id), 0) AS bigint) AS ids FROM heads WHERE {w or 'false'}" for k, w in enumerate(wheres))
+
+
+@query("requests", _selected_sql([w for _, w in _REQUESTS]))
 def requests(spark, d):
-    """Dates, amounts, names, states and presence; a word that is not understood refuses the whole request."""
-    rows = [(i, _said(language.parse(q, page=page, context=_CONTEXT, today=date(2031, 3, 12)))) for i, (page, q, _) in enumerate(_REQUESTS)]
-    return spark.createDataFrame(rows, "id int, plan string")
+    """Dates, amounts, states and presence, from words to rows; a word that is not understood refuses the whole request."""
+    context = {"vendors": [], "categories": list(filter(None, model.NAMES)), "users": [], "actions": [], "types": []}
+    return _selected(spark, d, [language.parse(q, page="history", context=context, today=date(1998, 1, 1)) for q, _ in _REQUESTS])
 
 
 @query("request_search", "SELECT id, total_amount FROM heads WHERE invoice_date BETWEEN DATE '1996-04-01' AND DATE '1996-06-30' AND total_amount >= 150000 AND currency = 'USD' AND NOT locked AND (plate_number IS NULL OR plate_number IN ('-', '0', 'N/A'))")
@@ -501,17 +508,20 @@ def request_search(spark, d):
     return search.search(model.heads(spark, d), plan).select("id", "total_amount")
 
 
-@query("presence_said", "SELECT * FROM (VALUES (0, 'text:vendor_name:contains:x|presence:plate_number:missing'), (1, 'presence:vendor_tax_id:present'), (2, 'numbers:total_amount:>:5'), (3, 'presence:line_items:missing|presence:due_date:present'), (4, 'text:vendor_name:contains:x')) v(id, plan)")
+#: Request, a model's plan for it, and what both ask of the invoices.
+_PRESENCE = (
+    ("odd ones without any plate number", {"text": [{"field": "customer_name", "operator": "contains", "value": "7"}]}, f"contains(coalesce(customer_name, ''), '7') AND {_NO_PLATE}"),
+    ("having an invoice number", {"text": [{"field": "invoice_number", "operator": "equals", "value": "9"}]}, "invoice_number IS NOT NULL"),
+    ("with total amount over 5", {"numbers": [{"field": "total_amount", "operator": ">", "value": 150000}]}, "total_amount > 150000"),
+    ("no due date", {}, "due_date IS NULL"),
+    ("customer names of interest", {"text": [{"field": "customer_name", "operator": "contains", "value": "7"}]}, "contains(coalesce(customer_name, ''), '7')"),
+)
+
+
+@query("presence_said", _selected_sql([w for *_, w in _PRESENCE]))
 def presence_said(spark, d):
     """What a request says about fields being there is added to a model's plan, and outranks its other conditions on them."""
-    cases = (
-        ("odd ones without any plate number", {"text": [{"field": "vendor_name", "operator": "contains", "value": "x"}], "numbers": []}),
-        ("having a vendor tin", {"text": [{"field": "vendor_tax_id", "operator": "equals", "value": "9"}]}),
-        ("with total amount over 5", {"numbers": [{"field": "total_amount", "operator": ">", "value": 5}]}),
-        ("no line items, has due date", {}),
-        ("vendor names of interest", {"text": [{"field": "vendor_name", "operator": "contains", "value": "x"}]}),
-    )
-    return spark.createDataFrame([(i, _said(language.with_presence(q, search.empty() | plan))) for i, (q, plan) in enumerate(cases)], "id int, plan string")
+    return _selected(spark, d, [language.with_presence(q, search.empty() | plan) for q, plan, _ in _PRESENCE])
 
 
 @query("wide_letters", "SELECT id, CASE id % 4 WHEN 0 THEN 'acme trading' WHEN 1 THEN 'strasse 9' WHEN 2 THEN 'office' ELSE 'ünder' END AS identity, id % 4 = 0 AS hit FROM heads")
