@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from functools import reduce
 
 import pandas as pd
@@ -262,3 +263,15 @@ def lookalike_digits(c: Column) -> Column:
     """Letters that are read for digits, in the part after the first digit."""
     head, tail = F.regexp_extract(c, "^([^0-9]*)", 1), F.regexp_replace(c, "^[^0-9]*", "")
     return F.concat(head, F.translate(tail, "OoIlS", "00115"))
+
+
+def spaced(c: Column) -> Column:
+    """Words of letters and digits in lower case, a space before and behind each."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(blank(c)), "[^a-z0-9%]+", " "), F.lit(" "))
+
+
+def says(c: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether a text says one of some phrases, word for word; one that ends in * goes on as it likes."""
+    words = spaced(c)
+    one = lambda p: F.contains(words, F.lit(f" {p[:-1]}" if p.endswith("*") else f" {p} "))
+    return functools.reduce(lambda a, b: a | b, map(one, phrases))

@@ -154,11 +154,11 @@ def second_pass(df: DataFrame) -> Column:
     c = Cells(df)
     charges, bill = consistency(df)
     engine = F.lower(blank(c("engine")))
-    reasons = [(F.contains(engine, F.lit("trocr")) | F.contains(engine, F.lit("handwrit")), "handwriting detected"), (c.number("ocr_confidence") < 0.75, "low OCR confidence")]
+    reasons = [(F.contains(engine, F.lit("trocr")) | F.contains(engine, F.lit("handwrit")), "written by hand"), (c.number("ocr_confidence") < 0.75, "the reading is uncertain")]
     reasons += [(c.missing(f), f"missing {f}") for f in ("invoice_number", "invoice_date", "vendor_name", "total_amount")]
-    reasons.append((~F.coalesce(charges, F.lit(True)) | ~F.coalesce(bill, F.lit(True)), "financial amounts do not reconcile"))
+    reasons.append((~F.coalesce(charges, F.lit(True)) | ~F.coalesce(bill, F.lit(True)), "amounts do not add up"))
     if "line_items" in c.types:
-        reasons += [(~F.coalesce(items_consistent(F.col("line_items")), F.lit(True)), "line-item arithmetic mismatch"), (F.coalesce(F.size("line_items"), F.lit(0)) <= 0, "no line items extracted")]
+        reasons += [(~F.coalesce(items_consistent(F.col("line_items")), F.lit(True)), "an item does not multiply out"), (F.coalesce(F.size("line_items"), F.lit(0)) <= 0, "no items were read")]
     return F.array_compact(F.array(*[F.when(rule, why) for rule, why in reasons]))
 
 

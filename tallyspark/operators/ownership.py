@@ -6,10 +6,12 @@ addresses of the head of a page are the seller's; what stands beside staff, prin
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.scalars import blank, normalize_tin, parse_date
+from tallyspark.functions.scalars import blank, normalize_tin, parse_date, says
 from tallyspark.operators.documents import TIN, business_line
 from tallyspark.operators.quality import cents
 from tallyspark.operators.reconcile import _lines
@@ -33,10 +35,10 @@ FORM_LABEL = {
 CHARGES = "(?i)^(?:generation|transmission|system\\s+loss|distribution|subsidies|government\\s+taxes|universal\\s+charges|fit[\\s-]*all|other\\s+charges)\\b"
 FEWEST_CHARGES = 4
 PLAN = "(?i)(?:\\bg?fib(?:er|re)|\\bbusiness\\s+plan|\\bbroadband)\\b"
-VAT_PRINTED = "(?i)vat\\s*(?:sales|amount|zero)|vatable|value[\\s-]*added"
+VAT_PRINTED = ("vat sale", "vat sales", "vat amount", "vat zero*", "vatable*", "value added")
 MONTH_DATE = "(?i)\\b((?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\\.?\\s+[0-9]{1,2},?\\s+[0-9]{4})\\b"
-PERMIT_DATE = "(?i)date\\s+issued|acknowledg|\\batp\\b|accredit|permit|valid\\s+until|expir"
-BALANCE = "(?i)\\b(?:remaining|previous|carried)\\s+balance\\b|\\bbalance forward\\b"
+NOT_ISSUE = ("date issued", "acknowledg*", "atp", "accredit*", "permit*", "valid until", "expir*")
+PAYMENTS_FROM, PAYMENTS_MADE, BILL_SUMMARY = ("balance from previous bill", "balance from previous bil"), ("less payments received",), ("bill summary", "statement summary")
 # -----------------------------------------------------------------------------------------------
 
 
@@ -53,9 +55,9 @@ def _places(lines: Column, hit) -> Column:
     return F.filter(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), lambda i: F.coalesce(hit(F.get(lines, i - 1)), F.lit(False)))
 
 
-def _below(lines: Column, label: str, ahead: int, stop: str = "^$") -> Column:
-    """The amount on the first line with the label, or on one of the next lines before a stop."""
-    at = F.get(_places(lines, lambda x: x.rlike(label)), F.lit(0))
+def _below(lines: Column, label: str | tuple[str, ...], ahead: int, stop: str = "^$") -> Column:
+    """The amount on the first line with the label (a pattern, or phrases), or on one of the next lines before a stop."""
+    at = F.get(_places(lines, lambda x: says(x, label) if isinstance(label, tuple) else x.rlike(label)), F.lit(0))
     window = F.slice(lines, at, ahead + 1)
     upto = F.coalesce(F.get(F.filter(F.sequence(F.lit(2), F.greatest(F.size(window), F.lit(2))), lambda i: F.get(window, i - 1).rlike(stop)), F.lit(0)), F.lit(ahead + 2))
     return F.when(at.isNotNull(), F.get(F.flatten(F.transform(F.slice(window, 1, upto - 1), lambda x: amounts_on(x))), F.lit(0)))
@@ -127,7 +129,7 @@ def seller_tin(vendor: Column, customer: Column, text: Column) -> Column:
 def issue_date(current: Column, text: Column) -> Column:
     """The date by an Issue Date label; the earlier of two where a due date is printed too; not those of permits."""
     page = blank(text)
-    found = F.array_compact(F.flatten(F.transform(F.filter(_lines(text), lambda x: ~x.rlike(PERMIT_DATE)), lambda x: F.transform(F.regexp_extract_all(x, F.lit(MONTH_DATE), F.lit(1)), parse_date))))
+    found = F.array_compact(F.flatten(F.transform(F.filter(_lines(text), lambda x: ~says(x, NOT_ISSUE)), lambda x: F.transform(F.regexp_extract_all(x, F.lit(MONTH_DATE), F.lit(1)), parse_date))))
     first = F.when(page.rlike("(?i)\\bdue\\s+date\\b"), F.array_min(F.slice(found, 1, 2))).otherwise(F.get(found, F.lit(0)))
     return F.when(page.rlike("(?i)\\bissue\\s+date\\b") & ~page.rlike("(?i)\\binvoice\\s+date\\b"), F.coalesce(first, current)).otherwise(current)
 
@@ -180,7 +182,7 @@ def parking_tax(tax: Column, total: Column, text: Column) -> Column:
 
 def stated_subtotal(subtotal: Column, tax: Column, total: Column, text: Column) -> Column:
     """Nothing, where a page prints no VAT line and the subtotal only repeats the total."""
-    repeats = (F.abs(subtotal - total) <= 0.05) & (F.coalesce(tax, F.lit(0.0)) == 0) & ~blank(text).rlike(VAT_PRINTED)
+    repeats = (F.abs(subtotal - total) <= 0.05) & (F.coalesce(tax, F.lit(0.0)) == 0) & ~says(text, VAT_PRINTED)
     return F.when(F.coalesce(repeats, F.lit(False)), F.lit(None)).otherwise(subtotal)
 
 
@@ -217,8 +219,8 @@ def credit_balance(balance: Column, current: Column, total: Column, text: Column
     near = lambda x, y: F.abs(x - y) <= F.lit("0.05").cast("decimal(18,4)")
     sums = near(d["c"] - d["b"], d["t"]) & ~near(d["c"] + d["b"], d["t"])
     lines = F.filter(F.transform(_lines(text), _tidy), lambda x: x != "")
-    before, paid = _below(lines, "(?i)balance\\s+from\\s+previous\\s+bill?", 1), _below(lines, "(?i)less\\s*:\\s*payments\\s+received", 1)
-    printed = blank(text).rlike("(?i)\\b(?:bill|statement)\\s+summary\\b") & (paid > before) & near(cents(paid) - cents(before), d["b"])
+    before, paid = _below(lines, PAYMENTS_FROM, 1), _below(lines, PAYMENTS_MADE, 1)
+    printed = says(text, BILL_SUMMARY) & (paid > before) & near(cents(paid) - cents(before), d["b"])
     return F.when((balance > 0.005) & F.coalesce(sums | F.coalesce(printed, F.lit(False)), F.lit(False)), -balance).otherwise(balance)
 
 
@@ -287,7 +289,10 @@ def buyer_name(name: Column, text: Column) -> Column:
 
 def unused_form(text: Column) -> Column:
     """Whether a receipt is only printed, not filled in: its labels are there, no digit between them and no amount."""
-    page = F.upper(blank(text))
-    labels = F.contains(page, F.lit("RECEIVED FROM")) & F.contains(page, F.lit("ADDRESS OF BUYER")) & F.contains(page, F.lit("TOTAL RECEIPTS"))
-    body = F.substring_index(F.when(F.contains(page, F.lit("IN PAYMENT FOR THE FOLLOWING")), F.regexp_extract(page, "(?s)IN PAYMENT FOR THE FOLLOWING(.*)$", 1)).otherwise(page), "SELLER", 1)
-    return labels & ~body.rlike("[0-9]") & ~page.rlike("[0-9][0-9,]*\\.[0-9]{2}")
+    lines = _lines(text)
+    labels = reduce(lambda a, b: a & b, [says(text, (x,)) for x in ("received from", "address of buyer", "total receipts")])
+    begin = F.get(_places(lines, lambda x: says(x, ("in payment for the following",))), F.lit(0))
+    rest = F.slice(lines, F.coalesce(begin, F.lit(1)), F.greatest(F.size(lines), F.lit(1)))
+    end = F.get(_places(rest, lambda x: says(x, ("seller*",))), F.lit(0))
+    filled = F.exists(F.slice(rest, 1, F.coalesce(end - 1, F.size(rest))), lambda x: x.rlike("[0-9]"))
+    return labels & ~filled & (F.size(amounts_on(text)) == 0)

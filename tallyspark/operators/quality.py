@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.scalars import CURRENCIES, amount_in_text, blank, clamp, consonant_run, finite_number, is_missing
+from tallyspark.functions.scalars import CURRENCIES, amount_in_text, blank, clamp, consonant_run, finite_number, is_missing, says
 
 # ---- fixed values -----------------------------------------------------------------------------
 REQUIRED = ("invoice_number", "invoice_date", "vendor_name", "total_amount", "currency")
@@ -122,7 +122,7 @@ def issues(df: DataFrame, today: date, text: Column | None = None, template: str
         if f in c.types:
             day = F.col(f) if c.types[f] == "date" else F.when(F.col(f).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_timestamp(F.col(f), F.lit("yyyy-MM-dd")).cast("date"))
             if f == "invoice_date":
-                out.append((day > F.lit(today), "invoice_date is in the future"))
+                out.append((day > F.lit(today), "the invoice date lies after today"))
             if c.types[f] == "string":
                 out.append((~c.missing(f) & day.isNull(), f"{f} is not a date"))
     for f in MONEY:
@@ -131,7 +131,7 @@ def issues(df: DataFrame, today: date, text: Column | None = None, template: str
             if f != "previous_balance":
                 out.append((n(f) < 0, f"{f} is negative"))
     total, sub, current, before = n("total_amount"), n("subtotal"), n("current_charges_total"), n("previous_balance")
-    out.append((n("tax_amount") > total, "tax_amount exceeds total_amount"))
+    out.append((n("tax_amount") > total, "there is more tax than total"))
     out.append(((total < 0) & (sub >= 0) & (current.isNull() | before.isNull() | off(current + before, total, 0.05)), "negative total does not reconcile"))
     out.append((total <= 0, "total_amount is not above 0"))
     if text is not None:
@@ -156,7 +156,7 @@ def issues(df: DataFrame, today: date, text: Column | None = None, template: str
         items = F.coalesce("line_items", F.array().cast(c.types["line_items"]))
         sales = _sales(items)
         other = F.filter(sales, lambda x: (x["amount"] > 0) & (_sum(sales) - cents(x["amount"]) > 0) & (F.abs(_sum(sales) - cents(x["amount"]) - cents(x["amount"])) < F.lit(0.01).cast("decimal(18,4)")))
-        bridge = F.exists(sales, lambda x: blank(x["description"]).rlike("(?i)adjustments?\\s*[-–]?\\s*current\\s*bill")) & ~off(_sum(sales) + cents(n("tax_amount")), current, 0.02)
+        bridge = F.exists(sales, lambda x: says(x["description"], ("adjustment current bill", "adjustments current bill"))) & ~off(_sum(sales) + cents(n("tax_amount")), current, 0.02)
         unequal = (F.size(items) > 0) & (F.abs(_sum(sales) - cents(sub)) > F.lit(0.02).cast("decimal(18,4)")) & ~F.coalesce(bridge, F.lit(False))
         late = [F.when((F.size(items) >= 2) & (F.size(other) > 0), "an item equals the sum of the others")]
         if template != "retail":

@@ -432,8 +432,8 @@ def item_equals_sum_of_others(spark, d):
 
 
 @query("validation_issues", """SELECT id, list_filter([CASE WHEN invoice_number IS NULL THEN 'missing invoice_number' END, CASE WHEN vendor_name = 'UNKNOWN VENDOR' THEN 'missing vendor_name' END, CASE WHEN currency IS NULL THEN 'missing currency' END,
-    CASE WHEN invoice_date > DATE '1998-01-01' THEN 'invoice_date is in the future' END,
-    CASE WHEN tax_amount > total_amount THEN 'tax_amount exceeds total_amount' END,
+    CASE WHEN invoice_date > DATE '1998-01-01' THEN 'the invoice date lies after today' END,
+    CASE WHEN tax_amount > total_amount THEN 'there is more tax than total' END,
     CASE WHEN abs(CAST(subtotal AS decimal(18,4)) + CAST(tax_amount AS decimal(18,4)) - CAST(discount AS decimal(18,4)) - CAST(coalesce(current_charges_total, total_amount) AS decimal(18,4))) > 0.02 THEN 'amounts do not add up to the charges' END,
     CASE WHEN subtotal IS NULL AND total_amount > 0 THEN 'subtotal is missing' END, CASE WHEN currency IN ('₱', 'P') THEN 'currency is not a code' END,
     CASE WHEN due_date - invoice_date <> CAST(substr(payment_terms, 5) AS integer) THEN 'due date does not fit the terms' END], lambda x: x IS NOT NULL) AS issues FROM invoices""")
@@ -571,7 +571,7 @@ def text_evidence(spark, d):
 _gap = "abs(CAST(subtotal AS decimal(18,4)) + CAST(tax_amount AS decimal(18,4)) - CAST(discount AS decimal(18,4)) - CAST(coalesce(current_charges_total, total_amount) AS decimal(18,4)))"
 
 
-@query("second_pass_reasons", f"SELECT id, list_filter([CASE WHEN invoice_number IS NULL THEN 'missing invoice_number' END, CASE WHEN vendor_name = 'UNKNOWN VENDOR' THEN 'missing vendor_name' END, CASE WHEN {_gap} > greatest(0.05, abs(coalesce(current_charges_total, total_amount)) * 0.002) THEN 'financial amounts do not reconcile' END], lambda x: x IS NOT NULL) AS reasons FROM invoices")
+@query("second_pass_reasons", f"SELECT id, list_filter([CASE WHEN invoice_number IS NULL THEN 'missing invoice_number' END, CASE WHEN vendor_name = 'UNKNOWN VENDOR' THEN 'missing vendor_name' END, CASE WHEN {_gap} > greatest(0.05, abs(coalesce(current_charges_total, total_amount)) * 0.002) THEN 'amounts do not add up' END], lambda x: x IS NOT NULL) AS reasons FROM invoices")
 def second_pass_reasons(spark, d):
     rows = model.invoices(spark, d)
     return rows.select("id", documents.second_pass(rows).alias("reasons"))

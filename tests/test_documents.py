@@ -48,7 +48,7 @@ def test_items(spark):
 
 def test_reasons_hints_and_edits(spark):
     df = row(spark, invoice_number=None, line_items=[]).withColumns({"engine": F.lit("paddle+trocr"), "ocr_confidence": F.lit(0.5)})
-    assert df.select(d.second_pass(df).alias("r")).first()["r"] == ["handwriting detected", "low OCR confidence", "missing invoice_number", "missing invoice_date", "missing vendor_name", "financial amounts do not reconcile", "no line items extracted"]
+    assert df.select(d.second_pass(df).alias("r")).first()["r"] == ["written by hand", "the reading is uncertain", "missing invoice_number", "missing invoice_date", "missing vendor_name", "amounts do not add up", "no items were read"]
     h = row(spark).select(d.hints(F.col("text")).alias("h")).first()["h"]
     assert h == {"vendor_name": "Alpha Trading Corp.", "vendor_tax_id": "123-456-789-000"}
     maps = spark.createDataFrame([({"a": (0.9, "ok", "x"), "b": (0.8, "ok", "x")}, {"a": "1", "b": "2"}, {"a": "1", "b": "3", "category": "Food"})], f"e {d.EVIDENCE}, o map<string,string>, n map<string,string>")
