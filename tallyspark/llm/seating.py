@@ -33,13 +33,20 @@ def seatings(c: np.ndarray, restaurant: np.ndarray, base: np.ndarray, elsewhere:
     size = np.minimum(PARTY, c[dish] - nth * PARTY)
     by = np.argsort(-size, kind="stable")
     dish, size = dish[by], size[by]
-    state = _Seats(size, discount)
+    # one customer has a table; two share one or not, which is drawn at once; more are seated one by one
+    many, some = np.searchsorted(-size, [-2, -1], side="left")
+    state = _Seats(size[:many], discount)
     room, chance = restaurant[dish], base[dish]
+    sat = np.ones(len(dish), np.int64)
     tables = lanes.astype(np.int64)
     for sweep in range(1 + burn + samples):
         held = elsewhere + np.bincount(restaurant, tables, len(elsewhere))
-        state.sweep((strength + discount * held[room]) * chance, sweep == 0, rng)
-        tables = np.bincount(dish, state.tables, len(c)).astype(np.int64)
+        weight = (strength + discount * held[room]) * chance
+        state.sweep(weight[:many], sweep == 0, rng)
+        sat[:many] = state.tables
+        two = weight[many:some]
+        sat[many:some] = 1 + (rng.random(len(two)) * (two + 1 - discount) < two)
+        tables = np.bincount(dish, sat, len(c)).astype(np.int64)
         if sweep > burn:
             yield tables
 

@@ -137,9 +137,10 @@ def test_pack_and_stretches():
     assert list(stretches(b"", 5)) == [b""]
 
 
-def test_seating_is_exact_for_a_dish():
+@pytest.mark.parametrize("c", [2, 3, 6])
+def test_seating_is_exact_for_a_dish(c):
     """Tables of a dish by the generalised Stirling numbers, with a restaurant so large that it holds still."""
-    d, theta, others, base, c = 0.6, 1.0, 10**6, 1e-6, 6
+    d, theta, others, base = 0.6, 1.0, 10**6, 1e-6
     ways = [[1.0] + [0.0] * c]
     for n in range(c):
         ways.append([(ways[n][t - 1] if t else 0) + ways[n][t] * (n - t * d) for t in range(c + 1)])
