@@ -194,7 +194,7 @@ def nearest_tin(rows: DataFrame, master: DataFrame, bits: int = 3, share: float
 def isolate_address(vendor: Column, customer: Column) -> Column:
     """A seller's address without the comma-separated parts that are the buyer's."""
     norm = lambda x: F.trim(F.regexp_replace(F.lower(blank(x)), "[^\\p{L}\\p{N}]+", " "))
-    parts = F.transform(F.split(blank(vendor), ","), F.trim)
+    parts = F.transform(F.split(blank(vendor), ","), lambda x: F.trim(x))  # a bare F.trim would take the index for the characters to trim
     kept = F.filter(parts, lambda p: ~F.contains(norm(customer), norm(p)) | (F.length(norm(p)) < 4))
     return F.when(vendor.isNotNull(), F.when(F.size(kept) > 0, F.array_join(kept, ", ")).otherwise(vendor))
 
