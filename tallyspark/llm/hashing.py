@@ -44,15 +44,18 @@ def word_hashes(text: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
     return mix(out)
 
 
-def hash_longs(a: np.ndarray, seed: int = 42) -> np.ndarray:
-    """Spark's xxhash64 of longs, so that Python and the JVM deal rows alike (fixed values: the primes of XXH64)."""
+def hash_longs(a: np.ndarray, seed: int | np.ndarray = 42) -> np.ndarray:
+    """Spark's xxhash64 of longs, so that Python and the JVM deal rows alike (fixed values: the primes of XXH64).
+
+    Of two columns it is that of the second with the first's as its seed.
+    """
     p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
     def turn(h: np.ndarray, n: int) -> np.ndarray:
         return h << np.uint64(n) | h >> np.uint64(64 - n)
 
     with np.errstate(over="ignore"):
-        h = np.uint64(seed) + p5 + np.uint64(8) ^ turn(a.astype(np.int64).view(np.uint64) * p2, 31) * p1
+        h = np.asarray(seed).astype(np.int64).view(np.uint64) + p5 + np.uint64(8) ^ turn(a.astype(np.int64).view(np.uint64) * p2, 31) * p1
         h = turn(h, 27) * p1 + p4
         h = (h ^ h >> np.uint64(33)) * p2
         h = (h ^ h >> np.uint64(29)) * p3

@@ -7,8 +7,10 @@ by scanning the buckets of first bytes from low to high, each scan placing the p
 what it meets. Adjacent common prefixes of 50 bytes or more then form the groups of equal
 strings, and every member whose document is not the group's smallest is to go.
 
-Before the sort a bucket drops what cannot hold a repeat: a string whose minimiser no other
-string shares, one that equals a smaller document's whole string (it goes entirely), and one that
+A string that several documents have enters the sort once, with all of them: the sort tells for
+each of its windows the smallest document that has it anywhere, and each of the string's documents
+that is not the smallest loses the window. Before the sort a bucket drops only what cannot hold a repeat: a string
+whose minimiser no other shares, and one that one document has and that
 shares neither the 31 bytes up to its minimiser's end nor the 31 from its start (equal 50-byte
 strings share at least one of them).
 
@@ -120,8 +122,8 @@ def suffix_order(t: np.ndarray, words: np.ndarray, depth: int = WINDOW) -> np.nd
     return np.concatenate(out)
 
 
-def later_copies(t: np.ndarray, starts: np.ndarray, windows: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """For each byte of t, whether the window from there is one of a string's and equals one of smaller order."""
+def least_owners(t: np.ndarray, starts: np.ndarray, windows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each byte of t from which a window of a string starts, the smallest order of a string that has an equal window; elsewhere the largest number."""
     words = _words(np.concatenate((t, np.zeros(WINDOW + 16, np.uint8))))
     edge = np.zeros(len(t) + 1, np.int64)
     np.add.at(edge, starts, 1)
@@ -137,9 +139,9 @@ def later_copies(t: np.ndarray, starts: np.ndarray, windows: np.ndarray, order:
     same[equal] = True
     owner = order[np.searchsorted(starts, at, side="right") - 1]
     heads = np.flatnonzero(~same)
-    least = np.repeat(np.minimum.reduceat(owner, heads), np.diff(np.concatenate((heads, [len(at)])))) if len(at) else owner
-    out = np.zeros(len(t), bool)
-    out[at[owner > least]] = True
+    out = np.full(len(t), np.iinfo(np.int64).max)
+    if len(at):
+        out[at] = np.repeat(np.minimum.reduceat(owner, heads), np.diff(np.concatenate((heads, [len(at)]))))
     return out
 
 
@@ -157,34 +159,54 @@ def _shared(text: np.ndarray, at: np.ndarray, ok: np.ndarray) -> np.ndarray:
 
 def judge(b: Bucket) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of a bucket whose bytes a document of smaller order holds."""
-    seen: dict[bytes, int] = {}
-    whole, rest = [], []
-    for i, (s, o) in enumerate(zip(b.strings, b.order.tolist(), strict=True)):
-        (rest if seen.setdefault(s, o) == o else whole).append(i)
-    out = [(np.array(whole, np.int64), np.zeros(len(whole), np.int64), b.windows[whole] if whole else np.empty(0, np.int64))]
-    i = np.array(rest, np.int64)
-    i = i[np.argsort(b.tag[i], kind="stable")]
-    sizes = np.array([len(b.strings[k]) + 1 for k in i.tolist()], np.int64)
+    number: dict[bytes, int] = {}
+    string_of = np.fromiter((number.setdefault(s, len(number)) for s in b.strings), np.int64, len(b.strings))
+    # runs by string, then by document: the first run of each string stands for it in the sort
+    by = np.lexsort((b.order, string_of))
+    first = np.flatnonzero(np.diff(string_of[by], prepend=-1))
+    each = np.diff(np.concatenate((first, [len(by)])))
+    head = by[first]
+    i = np.argsort(b.tag[head], kind="stable")
+    sizes = np.array([len(b.strings[k]) + 1 for k in head[i].tolist()], np.int64)
     if len(i):
-        text = np.frombuffer(bytes([END]).join([*(b.strings[k] for k in i.tolist()), b""]), np.uint8)
+        text = np.frombuffer(bytes([END]).join([*(b.strings[k] for k in head[i].tolist()), b""]), np.uint8)
         begin = np.cumsum(sizes) - sizes
-        left = _shared(text, begin + b.piece[i] - SIDE, b.piece[i] >= SIDE)
-        right = _shared(text, begin + b.piece[i], b.piece[i] + PIECE + SIDE < sizes)
-        i, sizes = i[left | right], sizes[left | right]
+        piece = b.piece[head[i]]
+        left = _shared(text, begin + piece - SIDE, piece >= SIDE)
+        right = _shared(text, begin + piece, piece + PIECE + SIDE < sizes)
+        kept = left | right | (each[i] > 1)
+        i, sizes = i[kept], sizes[kept]
+    none = np.empty(0, np.int64)
+    out = [(none, none, none)]
     lo = 0
     ends = np.cumsum(sizes)
     while lo < len(i):
         hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SORT_BYTES)) + 1
-        while hi < len(i) and b.tag[i[hi]] == b.tag[i[hi - 1]]:
+        while hi < len(i) and b.tag[head[i[hi]]] == b.tag[head[i[hi - 1]]]:
             hi += 1
         part = i[lo:hi]
-        t = np.frombuffer(bytes([END]).join([*(b.strings[k] for k in part.tolist()), b""]), np.uint8)
+        t = np.frombuffer(bytes([END]).join([*(b.strings[k] for k in head[part].tolist()), b""]), np.uint8)
         starts = np.cumsum(sizes[lo:hi]) - sizes[lo:hi]
-        gone = later_copies(t, starts, b.windows[part], b.order[part]).astype(np.int8)
-        edge = np.diff(np.concatenate(([0], gone, [0])))
-        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        run = np.searchsorted(starts, first, side="right") - 1
-        out.append((part[run], first - starts[run], last - first))
+        least = least_owners(t, starts, b.windows[head[part]], b.order[head[part]])
+        # the string's smallest document loses what a smaller one has elsewhere
+        owner = np.repeat(b.order[head[part]], sizes[lo:hi])
+        edge = np.diff(np.concatenate(([0], (least < owner).astype(np.int8), [0])))
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        run = np.searchsorted(starts, begin, side="right") - 1
+        out.append((head[part[run]], begin - starts[run], end - begin))
+        # a further document with the string has that smallest one before it in every window
+        further = each[part] - 1
+        string = np.repeat(np.arange(len(part)), further)
+        other = by[np.repeat(first[part] + 1, further) + np.arange(len(string)) - np.repeat(np.cumsum(further) - further, further)]
+        most = np.maximum.reduceat(np.where(least < np.iinfo(np.int64).max, least, -1), starts)
+        whole = most[string] < b.order[other]
+        out.append((other[whole], np.zeros(int(whole.sum()), np.int64), b.windows[other[whole]]))
+        # a further run of the smallest document itself loses what its first run does
+        other, string = other[~whole], string[~whole]
+        marks = np.bincount(run, minlength=len(part))
+        n = marks[string]
+        at = np.repeat((np.cumsum(marks) - marks)[string], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out.append((np.repeat(other, n), begin[at] - starts[run[at]], (end - begin)[at]))
         lo = hi
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 

@@ -6,7 +6,7 @@ share that piece, so they travel as one packed string. Nothing here decides equa
 choose the bucket and tell minimisers apart, and the buckets compare the strings themselves.
 
 The plan has two exchanges of packed rows. ``deal`` cuts documents and sends each batch's strings
-to buckets, after merging strings that the batch holds more than once; a bucket's judge returns
+to buckets, each string once with the runs that have it; a bucket's judge returns
 the runs of windows that are to go; ``apply_marks`` sends those back to the documents.
 Hot strings are merged before they travel, so a bucket gets at most one copy from each batch. The
 number of buckets follows the bytes of the texts, so a bucket stays about as large at any size.
@@ -110,8 +110,8 @@ def _ids(ids: np.ndarray) -> bytes:
         return _planes(np.diff(np.concatenate((np.zeros(1, np.int64), ids))), 8)
 
 
-#: extra: bytes of a string beyond one for each window.
-FIELDS = (("tag", 3), ("start", 4), ("windows", 4), ("piece", 4), ("extra", 4))
+#: extra: bytes of a string beyond one for each window; again: whether the string is that of the run before, and not sent once more.
+FIELDS = (("tag", 3), ("start", 4), ("windows", 4), ("piece", 4), ("extra", 4), ("again", 1))
 #: Bytes of a row key, which tells rows of one doc_id apart.
 KEY = 7
 
@@ -185,23 +185,17 @@ def deal(rows: DataFrame, prepare: Callable[[bytes], list[tuple[int, bytes]]], l
         by_bucket = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
         for group in np.split(by_bucket, cuts):
-            seen: dict[bytes, int] = {}
-            go: list[int] = []
-            strings: list[bytes] = []
-            for i, a, b, o in zip(group.tolist(), lo[group].tolist(), hi[group].tolist(), order[runs.doc[group]].tolist(), strict=True):
-                s = text[a:b]
-                if repeats:
-                    if (j := seen.setdefault(s, i)) != i:
-                        own += (i, j)
-                        continue
-                elif seen.setdefault(s, o) != o:
-                    own.append(i)
-                    continue
-                go.append(i)
-                strings.append(s)
-            g = np.array(go)
-            fields = {"tag": tag[g], "start": start[g], "windows": runs.windows[g], "piece": runs.piece[g], "extra": hi[g] - lo[g] - runs.windows[g]}
-            yield int(bucket[group[0]]), 0, pack(order[runs.doc[g]], key[runs.doc[g]], fields, b"".join(strings))
+            alike: dict[bytes, list[int]] = {}
+            for i, a, b in zip(group.tolist(), lo[group].tolist(), hi[group].tolist(), strict=True):
+                alike.setdefault(text[a:b], []).append(i)
+            if repeats:  # both copies go, whatever else there is
+                own += [i for same in alike.values() if len(same) > 1 for i in same]
+                alike = {s: same[:1] for s, same in alike.items()}
+            # a string goes with the first of its runs; the others follow it and name it
+            g = np.array([i for same in alike.values() for i in same])
+            again = np.array([k > 0 for same in alike.values() for k in range(len(same))])
+            fields = {"tag": tag[g], "start": start[g], "windows": runs.windows[g], "piece": runs.piece[g], "extra": hi[g] - lo[g] - runs.windows[g], "again": again}
+            yield int(bucket[group[0]]), 0, pack(order[runs.doc[g]], key[runs.doc[g]], fields, b"".join(alike))
         if own:
             g = np.unique(np.array(own))
             yield int(bucket[0]), 1, pack(order[runs.doc[g]], key[runs.doc[g]], {"start": start[g], "windows": runs.windows[g]})
@@ -247,7 +241,7 @@ Judge = Callable[[Bucket], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _load(blobs: list[bytes]) -> Bucket:
-    """The runs whose minimiser another run of the bucket shares; the others cannot hold a repeat."""
+    """The runs whose minimiser another run of the bucket shares; the others cannot hold a repeat. Equal strings of a batch are one object."""
     loaded = [unpack(b) for b in blobs]
     order, key = (np.concatenate([x[i] for x in loaded]) for i in range(2))
     f = {k: np.concatenate([x[2][k] for x in loaded]) for k, _ in FIELDS}
@@ -256,10 +250,16 @@ def _load(blobs: list[bytes]) -> Bucket:
     strings: list[bytes] = []
     at = 0
     for _, _, g, text in loaded:
-        size = g["windows"] + g["extra"]
+        own = g["again"] == 0
+        size = np.where(own, g["windows"] + g["extra"], 0)
         n, ends = len(size), np.cumsum(size)
+        at_string = np.maximum.accumulate(np.where(own, np.arange(n), 0))  # the run whose string it is
         keep = np.flatnonzero(held[at : at + n])
-        strings += [text[a:b] for a, b in zip((ends - size)[keep].tolist(), ends[keep].tolist(), strict=True)]
+        last = None
+        for k, a, b in zip(at_string[keep].tolist(), (ends - size)[at_string[keep]].tolist(), ends[at_string[keep]].tolist(), strict=True):
+            if k != last:
+                last, string = k, text[a:b]
+            strings.append(string)
         at += n
     k = np.flatnonzero(held)
     k = k[(by := np.argsort(order[k], kind="stable"))]
@@ -276,7 +276,7 @@ def judge_buckets(dealt: DataFrame, judge: Judge, parts: int, targets: int) -> D
 
         def out() -> Iterator[pa.RecordBatch]:
             order, key, start, windows = (np.concatenate(x) for x in zip(*marks, strict=True))
-            target = np.mod(hash_longs(order), targets)
+            target = np.mod(hash_longs(key, hash_longs(order)), targets)
             by = np.lexsort((start, key, order, target))
             for g in np.split(by, np.flatnonzero(np.diff(target[by])) + 1):
                 blob = pack(order[g], key[g], {"start": start[g], "windows": windows[g]})
@@ -330,7 +330,7 @@ def apply_marks(rows: DataFrame, marks: DataFrame, finish: Callable[[bytes, np.n
             yield pa.RecordBatch.from_arrays([*b.columns[:3], text], ["doc_id", "order", "key", "blob"])
 
     texts = rows.select("doc_id", "order", "key", "text").mapInArrow(squeeze, "doc_id long, order long, key long, blob binary")
-    texts = texts.select(F.pmod(F.xxhash64("order"), F.lit(targets)).cast("int").alias("target"), F.lit(1).alias("kind"), "doc_id", "order", "key", "blob")
+    texts = texts.select(F.pmod(F.xxhash64("order", "key"), F.lit(targets)).cast("int").alias("target"), F.lit(1).alias("kind"), "doc_id", "order", "key", "blob")
     notes = marks.select("target", F.lit(0).alias("kind"), *[F.lit(None).cast("long").alias(c) for c in ("doc_id", "order", "key")], "blob")
     both = notes.unionByName(texts).repartition(parts, "target").sortWithinPartitions("target", "kind")
 

@@ -71,3 +71,14 @@ def test_suffix_order(values):
     assert sorted(order.tolist()) == list(range(len(raw)))
     padded = [g + bytes(50 - len(g)) for g in got]
     assert padded == sorted(padded)
+
+
+def test_strings_with_many_documents_and_runs(spark):
+    """The sort decides for strings that many documents, or one document many times, have, in one batch and over several."""
+    line = "a line that is longer than fifty bytes, and that stands in many documents at once.\n"
+    other = "another line of more than fifty bytes, of which one document has nearly all first.\n"
+    texts = [(None, line * 3), (9, line * 4 + other), (3, other[:60]), (4, line[5:] * 2), (5, line * 30), (5, line + other * 2), (2, "x" * 200), (8, "x" * 120), (2, other[20:])]
+    df = spark.createDataFrame([(*t, "x") for t in texts], "doc_id long, text string, key string")
+    for parts in (1, 6):
+        got = sorted((tuple(r) for r in remove_copies(df.repartition(parts)).collect()), key=repr)
+        assert got == sorted(brute(texts), key=repr)
