@@ -172,16 +172,26 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 
 
-def identity_text(c: Column) -> Column:
-    """Compatibility form, single spaces, folded. Only text beyond ASCII leaves the JVM."""
+def folded_text(c: Column) -> Column:
+    """Compatibility form, folded. Only text beyond ASCII leaves the JVM."""
     raw = blank(c)
     wide = F.when(raw.rlike("[^\\x00-\\x7F]"), raw)
-    return fold(F.trim(F.regexp_replace(F.coalesce(_nfkc(wide), raw), "\\s+", " ")))
+    return fold(F.coalesce(_nfkc(wide), raw))
+
+
+def identity_text(c: Column) -> Column:
+    """Compatibility form, single spaces, folded."""
+    return F.trim(F.regexp_replace(folded_text(c), "\\s+", " "))
+
+
+def ascii_folded(c: Column) -> Column:
+    """folded_text for columns known to be ASCII."""
+    return F.lower(blank(c))
 
 
 def ascii_identity(c: Column) -> Column:
     """identity_text for columns known to be ASCII."""
-    return F.trim(F.regexp_replace(F.lower(blank(c)), "\\s+", " "))
+    return F.trim(F.regexp_replace(ascii_folded(c), "\\s+", " "))
 
 
 def duplicate_key(vendor: Column, number: Column, identity=identity_text) -> Column:
@@ -191,9 +201,9 @@ def duplicate_key(vendor: Column, number: Column, identity=identity_text) -> Col
     return F.when(usable, F.sha2(F.to_json(F.array(tight(vendor), tight(number))), 256))
 
 
-def content_key(text: Column, identity=identity_text) -> Column:
-    """Key of what a document says; null below 120 characters or without a digit."""
-    kept = F.regexp_replace(identity(text), "[^a-z0-9.+-]", "")
+def content_key(text: Column, folded=folded_text) -> Column:
+    """Key of what a document says, white space and marks aside; null below 120 characters or without a digit."""
+    kept = F.regexp_replace(folded(text), "[^a-z0-9.+-]+", "")
     return F.when((F.length(kept) >= 120) & kept.rlike("[0-9]"), F.sha2(kept, 256))
 
 

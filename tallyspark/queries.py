@@ -335,7 +335,7 @@ _content = "regexp_replace(lower(text), '[^a-z0-9.+-]', '', 'g')"
 
 @query("content_key_groups", f"SELECT min(doc_id) AS first_id, count(*) AS n FROM documents WHERE length({_content}) >= 120 AND regexp_matches({_content}, '[0-9]') GROUP BY {_content} HAVING count(*) > 1")
 def content_key_groups(spark, d):
-    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), s.content_key(F.col("text"), s.ascii_identity).alias("content_key"))
+    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), s.content_key(F.col("text"), s.ascii_folded).alias("content_key"))
     return identity.key_groups(docs, "content_key").select("first_id", "n")
 
 
