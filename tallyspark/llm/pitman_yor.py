@@ -44,7 +44,7 @@ from tallyspark.llm.seating import seatings
 from tallyspark.session import materialize, release, scratch_path, scratch_scope, shuffle_partitions
 
 #: Bytes of text of a batch, and for each bucket; a longer text comes in stretches.
-BATCH_BYTES, BUCKET_BYTES = 6 << 20, 16 << 20
+BATCH_BYTES, BUCKET_BYTES = 15 << 19, 16 << 20
 #: Dishes of the shared restaurant that a task seats at once.
 DISHES = 1 << 18
 EPOCHS, BURN, SAMPLES, STRENGTH = 2, 1, 2, 1.0  # burn: sweeps of the contexts that are not kept, in the last epoch
