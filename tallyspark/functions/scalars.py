@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import re
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -55,6 +57,14 @@ DATE_PATTERNS = (
 # -----------------------------------------------------------------------------------------------
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """What body makes of a value that is worked out once for a row.
+
+    A plain expression is worked out again wherever it is named, in a lambda function for each element; the variable of one is not.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -128,13 +138,22 @@ def _century(d: Column) -> Column:
     return F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
 
 
+def _shape(pattern: str) -> str:
+    """What every text has that a date pattern can read."""
+    return "^" + re.sub("MMM+|[yMd]+|[^A-Za-z]", lambda m: "[^0-9]+" if m[0].startswith("MMM") else "[+-]?[0-9]+" if m[0][0].isalpha() else re.escape(m[0]), pattern) + "$"
+
+
 def _try_date(s: Column, pattern: str) -> Column:
-    d = F.try_to_timestamp(s, F.lit(pattern)).cast("date")
+    """A text of another shape is not tried: a failing parse costs a thousand times as much as the look at it."""
+    d = F.when(s.rlike(_shape(pattern)), F.try_to_timestamp(s, F.lit(pattern)).cast("date"))
     return _century(d) if pattern.endswith("yy") and not pattern.endswith("yyyy") else d
 
 
 def parse_date(c: Column) -> Column:
-    s = F.trim(c)
+    return let(F.trim(c), _parsed)
+
+
+def _parsed(s: Column) -> Column:
     short = "^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2})$"
     first, second = (F.regexp_extract(s, short, i).try_cast("int") for i in (1, 2))
     listed = F.coalesce(*[_try_date(s, p) for p in DATE_PATTERNS], F.try_to_timestamp(F.regexp_extract(s, "[0-9]{4}-[0-9]{2}-[0-9]{2}", 0), F.lit("yyyy-MM-dd")).cast("date"))
@@ -282,6 +301,10 @@ def spaced(c: Column) -> Column:
 
 def says(c: Column, phrases: tuple[str, ...]) -> Column:
     """Whether a text says one of some phrases, word for word; one that ends in * goes on as it likes."""
-    words = spaced(c)
+    return let(spaced(c), lambda words: says_in(words, phrases))
+
+
+def says_in(words: Column, phrases: tuple[str, ...]) -> Column:
+    """The same for words that are spaced already."""
     one = lambda p: F.contains(words, F.lit(f" {p[:-1]}" if p.endswith("*") else f" {p} "))
     return functools.reduce(lambda a, b: a | b, map(one, phrases))

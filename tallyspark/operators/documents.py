@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.scalars import blank, is_missing, normalize_tin, parse_date
+from tallyspark.functions.scalars import blank, is_missing, let, normalize_tin, parse_date
 from tallyspark.operators.quality import CARRIED, Cells, cents, consistency, items_consistent
-from tallyspark.operators.reconcile import NOT_TOTAL, SUBTOTAL_LABELS, TOTAL_LABELS, _lines, _settle, labelled
+from tallyspark.operators.reconcile import NOT_TOTAL, SUBTOTAL_LABELS, TOTAL_LABELS, _lines, _settle, labelled, labelled_in
 from tallyspark.operators.text import amounts_on, only_one
 
 # ---- fixed values -----------------------------------------------------------------------------
@@ -60,20 +60,30 @@ def invoice_number(df: DataFrame) -> DataFrame:
 
 
 def dates_in(text: Column, label: str | None = None) -> Column:
-    """Dates of the lines with a label, or of all lines; those beside permit words are none."""
-    lines = F.filter(_lines(text), lambda x: ~x.rlike(PERMIT) & (x.rlike(label) if label else F.lit(True)))
-    return F.array_compact(F.flatten(F.transform(lines, lambda x: F.transform(F.regexp_extract_all(x, F.lit(DATE), F.lit(1)), parse_date))))
+def dated_lines(text: Column) -> Column:
+    """Lines with a date, and their dates; those beside permit words are none."""
+    dates = lambda x: F.array_compact(F.transform(F.regexp_extract_all(x, F.lit(DATE), F.lit(1)), parse_date))
+    lines = F.filter(_lines(text), lambda x: ~x.rlike(PERMIT))
+    return F.filter(F.transform(lines, lambda x: F.struct(x.alias("line"), dates(x).alias("dates"))), lambda r: F.size(r["dates"]) > 0)
+
+
+def dates_of(rows: Column, label: str | None = None) -> Column:
+    """Dates of the dated lines with a label, or of all."""
+    return F.flatten(F.transform(F.filter(rows, lambda r: r["line"].rlike(label)) if label else rows, lambda r: r["dates"]))
+
+
+    """Dates of a text's lines with a label, or of all lines; those beside permit words are none."""
+    return dates_of(dated_lines(text), label)
 
 
 def invoice_date(df: DataFrame) -> DataFrame:
     """A date from its label, else the only date of the page."""
-    text = F.col("text")
-    own = only_one(dates_in(text, "(?i)^\\s*date\\b"))
-    named = only_one(dates_in(text, "(?i)(?:invoice|bill|billing|statement)\\s*date"))
-    found = F.coalesce(own, named, only_one(dates_in(text)))
+    labels = ("(?i)^\\s*date\\b", "(?i)(?:invoice|bill|billing|statement)\\s*date", None)
+    found = let(dated_lines(F.col("text")), lambda rows: F.coalesce(*[only_one(dates_of(rows, label)) for label in labels]))
     if dict(df.dtypes)["invoice_date"] == "string":
         found = F.date_format(found, "yyyy-MM-dd")
-    return _settle(df, "invoice_date", found, is_missing(F.col("invoice_date").cast("string")) & found.isNotNull(), "taken from print")
+    df, found = df.withColumn("__found", found), F.col("__found")
+    return _settle(df, "invoice_date", found, is_missing(F.col("invoice_date").cast("string")) & found.isNotNull(), "taken from print").drop("__found")
 
 
 def customer_name(df: DataFrame) -> DataFrame:
@@ -144,7 +154,11 @@ def amount_to_pay(text: Column, expected: Column) -> Column:
 
 def hints(text: Column) -> Column:
     """What a text says outright, before any reading of it: a map of field to value."""
-    first = lambda label, exclude=None: F.get(labelled(text, label, exclude), F.lit(0)).cast("string")
+    return let(_lines(text), lambda lines: _hints(text, lines))
+
+
+def _hints(text: Column, lines: Column) -> Column:
+    first = lambda label, exclude=None: F.get(labelled_in(lines, label, exclude), F.lit(0)).cast("string")
     pairs = {"total_amount": first(TOTAL_LABELS, NOT_TOTAL), "subtotal": first(SUBTOTAL_LABELS), "tax_amount": first("(?i)\\b(?:vat|tax)\\b", "(?i)vatable|exempt|zero|reg|tin|net of|excl"), "vendor_name": business_line(text), "vendor_tax_id": F.get(F.regexp_extract_all(blank(text), F.lit(TIN), F.lit(1)), F.lit(0))}
     return F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k in pairs]), F.array(*pairs.values())), lambda k, v: v.isNotNull())
 

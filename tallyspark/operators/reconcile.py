@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.scalars import amount_in_text, blank, normalize_tin
+from tallyspark.functions.scalars import amount_in_text, blank, let, normalize_tin
 from tallyspark.operators.quality import cents, off
 from tallyspark.operators.text import amounts_on, only_one
 
@@ -34,12 +34,16 @@ def _lines(text: Column) -> Column:
 
 def labelled(text: Column, label: str, exclude: str | None = None) -> Column:
     """Last amounts of the lines with a label; of the line below where a label stands alone."""
-    lines = _lines(text)
-    at = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).rlike(label) & (~F.element_at(lines, i).rlike(exclude) if exclude else F.lit(True)))
+    return let(_lines(text), lambda lines: labelled_in(lines, label, exclude))
+
+
+def labelled_in(lines: Column, label: str, exclude: str | None = None) -> Column:
+    """The same over lines that are cut already."""
+    at = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: let(F.element_at(lines, i), lambda x: x.rlike(label) & (~x.rlike(exclude) if exclude else F.lit(True))))
 
     def value(i: Column) -> Column:
-        here, below = amounts_on(F.element_at(lines, i)), amounts_on(F.get(lines, i))
-        return F.when(F.size(here) > 0, F.element_at(here, -1)).otherwise(F.when(F.size(below) > 0, below[0]))
+        below = F.get(amounts_on(F.get(lines, i)), F.lit(0))
+        return let(amounts_on(F.element_at(lines, i)), lambda here: F.when(F.size(here) > 0, F.element_at(here, -1)).otherwise(below))
 
     return F.array_compact(F.transform(at, value))
 

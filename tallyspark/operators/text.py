@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import PandasUDFType
 
-from tallyspark.functions.scalars import blank
+from tallyspark.functions.scalars import blank, let
 from tallyspark.session import materialize
 
 AMOUNT = "(?<![0-9.,])[0-9]{1,3}(?:,[0-9]{3})+\\.[0-9]{2}(?![0-9%])|(?<![0-9.,])[0-9]+\\.[0-9]{2}(?![0-9%])"
@@ -80,8 +80,7 @@ def repeated_values(lines: DataFrame, times: int = 2) -> DataFrame:
 
 def only_one(values: Column) -> Column:
     """The value that all candidates agree on, else null."""
-    kept = F.array_distinct(F.array_compact(values))
-    return F.when(F.size(kept) == 1, kept[0])
+    return let(F.array_distinct(F.array_compact(values)), lambda kept: F.when(F.size(kept) == 1, kept[0]))
 
 
 def boxes(words: DataFrame) -> DataFrame:

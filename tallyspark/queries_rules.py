@@ -185,7 +185,8 @@ cases(
         (X(f"{_GROSS} + 1"), f"TAX CODE\nVAT SALE\nTOTAL\n{money(_NET)}\n0.00\n0.00\n{money(_NET)}\n{money(_VAT)}\n0.00\n0.00\n{money(_VAT)}", None, None),
         (X(_GROSS), f"no table {money(_NET)} {money(_VAT)}", None, None),
     ),
-    lambda df: [ownership.retail_table(_c("text"), _c("total"))[k] for k in ("net", "vat")],
+    None,
+    lambda df: df.withColumn("t", ownership.retail_table(_c("text"), _c("total"))).select("id", "t.net", "t.vat"),
 )
 
 _PARK, _PARK_VAT = "(id % 97 + 3) * 28", "(id % 97 + 3) * 3"
@@ -216,7 +217,8 @@ cases(
         (X("n + 15"), _BREAKDOWN % ("Distribution\nsee over\n", money("n + 15")), None, None),
         (X("n + 40"), f"Generation\n{money('n')}\nTransmission\n20.00\nSystem Loss\n10.00\nDistribution\n10.00", None, None),
     ),
-    lambda df: [F.when((rows := ownership.charge_rows(_c("text"))).isNotNull(), F.size(rows).cast("double")), F.when((kept := ownership.checked_charges(rows, _c("current"))).isNotNull(), F.size(kept).cast("double"))],
+    None,
+    lambda df: df.withColumn("rows", ownership.charge_rows(_c("text"))).withColumn("kept", ownership.checked_charges(_c("rows"), _c("current"))).select("id", *[F.when(_c(k).isNotNull(), F.size(k).cast("double")).alias(c) for c, k in (("n", "rows"), ("checked", "kept"))]),
 )
 
 _PLAN = "(id % 900 + 100)"
@@ -230,7 +232,8 @@ cases(
         (f"Statement Summary\nGFiber Plan ‹{_PLAN}›\nMonthly Plan\n{money(_PLAN)}", None, None),
         (f"GFiber Plan ‹{_PLAN}›\nMonthly Plan\n{money(_PLAN)}", None, None),
     ),
-    lambda df: [ownership.plan_row(_c("text"))[k] for k in ("description", "amount")],
+    None,
+    lambda df: df.withColumn("p", ownership.plan_row(_c("text"))).select("id", "p.description", "p.amount"),
 )
 
 cases(
