@@ -240,8 +240,10 @@ def consonant_run(c: Column) -> Column:
 
 
 def amount_in_text(text: Column, amount: Column) -> Column:
+    """Whether a text prints an amount, with or without commas, as a whole number and not as a part of a longer one."""
     shown = F.format_number(amount, 2)
-    return F.contains(blank(text), shown) | F.contains(blank(text), F.replace(shown, F.lit(","), F.lit("")))
+    either = lambda x: F.concat(F.lit("(?<![0-9])(?<![0-9][.,])(?:\\Q"), x, F.lit("\\E|\\Q"), F.replace(x, F.lit(","), F.lit("")), F.lit("\\E)(?![0-9])"))
+    return F.rlike(blank(text), either(shown))
 
 
 def auto_category(vendor: Column, descriptions: Column) -> Column:
