@@ -10,6 +10,7 @@ from tallyspark.functions.scalars import blank, is_missing, let, normalize_tin,
 from tallyspark.operators.quality import CARRIED, Cells, cents, consistency, items_consistent
 from tallyspark.operators.reconcile import NOT_TOTAL, SUBTOTAL_LABELS, TOTAL_LABELS, _lines, _settle, labelled, labelled_in
 from tallyspark.operators.text import amounts_on, only_one
+from tallyspark.session import materialize
 
 # ---- fixed values -----------------------------------------------------------------------------
 BUSINESS = "(?i)\\b(?:inc|corp|corporation|company|co|ltd|llc|enterprises?|trading|services|association|bank)\\b\\.?"
@@ -59,7 +60,6 @@ def invoice_number(df: DataFrame) -> DataFrame:
     return _settle(df, "invoice_number", found, (is_missing(current) | suspect) & found.isNotNull() & ~F.coalesce(F.ltrim(current, F.lit("0")) == F.ltrim(found, F.lit("0")), F.lit(False)), "explicit document number")
 
 
-def dates_in(text: Column, label: str | None = None) -> Column:
 def dated_lines(text: Column) -> Column:
     """Lines with a date, and their dates; those beside permit words are none."""
     dates = lambda x: F.array_compact(F.transform(F.regexp_extract_all(x, F.lit(DATE), F.lit(1)), parse_date))
@@ -72,6 +72,7 @@ def dates_of(rows: Column, label: str | None = None) -> Column:
     return F.flatten(F.transform(F.filter(rows, lambda r: r["line"].rlike(label)) if label else rows, lambda r: r["dates"]))
 
 
+def dates_in(text: Column, label: str | None = None) -> Column:
     """Dates of a text's lines with a label, or of all lines; those beside permit words are none."""
     return dates_of(dated_lines(text), label)
 
@@ -188,17 +189,27 @@ def after_edit(evidence: Column, old: Column, new: Column) -> Column:
 def nearest_tin(rows: DataFrame, master: DataFrame, bits: int = 3, share: float = 0.8) -> DataFrame:
     """Repair (id, vendor_tax_id, vendor_address) from a master (tin, address): at most three wrong digits and most words of the address.
 
-    Address words are joined first, so a row meets only masters that it shares words with.
+    A row that has so many of an address's words has at least one of any few that are more than may be missing: the rarest
+    of the master file are taken. Digits that differ in so many places are the same in one of one piece more. Rows meet
+    masters where both agree, and only then words and digits are counted.
     """
     base = lambda c: F.substring(F.regexp_replace(blank(F.col(c)), "[^0-9]", ""), 1, 9)
     words = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(blank(F.col(c))), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 4))
     known = master.select(F.col("tin").alias("m_tin"), base("tin").alias("m_base"), words("address").alias("m_words")).filter((F.length("m_base") == 9) & (F.size("m_words") > 0))
     asked = rows.select("id", base("vendor_tax_id").alias("base"), words("vendor_address").alias("words")).filter(F.length("base") == 9)
     asked = asked.join(known.select(F.col("m_base").alias("base")), "base", "left_anti")
-    shared = asked.select("id", "base", F.explode("words").alias("w")).join(known.select("m_tin", "m_base", F.size("m_words").alias("n"), F.explode("m_words").alias("w")), "w")
-    score = shared.groupBy("id", "base", "m_tin", "m_base", "n").agg((F.count(F.lit(1)) / F.col("n")).alias("hit")).filter(F.col("hit") >= share)
+    each = known.select("m_tin", "m_base", "m_words", F.explode("m_words").alias("w"))
+    often = each.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    missing = F.size("m_words") - F.greatest(F.ceil(F.size("m_words") * F.lit(share) - 1e-9), F.lit(1))
+    kept = each.join(often, "w").groupBy("m_tin", "m_base", "m_words").agg(F.sort_array(F.collect_list(F.struct("n", "w"))).alias("by"))
+    kept = materialize(kept.select("m_tin", "m_base", "m_words", F.explode(F.transform(F.slice("by", F.lit(1), (missing + 1).cast("int")), lambda x: x["w"])).alias("w")), "master_words")
+    start = lambda i: F.lit(9 * i // (bits + 1) + 1)
+    pieces = lambda c: F.explode(F.array(*[F.concat(F.lit(f"{i}:"), F.substring(F.col(c), start(i), start(i + 1) - start(i))) for i in range(bits + 1)])).alias("piece")
+    some = asked.select("id", "base", "words", F.explode("words").alias("w")).join(kept.select("w").distinct(), "w", "left_semi")
+    met = some.select("id", "base", "words", "w", pieces("base")).join(kept.select("*", pieces("m_base")), ["w", "piece"])
+    score = met.withColumn("hit", F.size(F.array_intersect("m_words", "words")) / F.size("m_words")).filter(F.col("hit") >= share)
     wrong = F.size(F.filter(F.sequence(F.lit(1), F.lit(9)), lambda i: F.substring(F.col("base"), i, F.lit(1)) != F.substring(F.col("m_base"), i, F.lit(1))))
-    near = score.withColumn("wrong", wrong).filter(F.col("wrong") <= bits)
+    near = score.withColumn("wrong", wrong).filter(F.col("wrong") <= bits).select("id", "m_tin", "hit", "wrong").distinct()
     rank = F.struct(F.col("wrong"), (-F.col("hit")).alias("h"))
     best = near.groupBy("id").agg(F.min(rank).alias("best"))
     one = near.withColumn("rank", rank).join(best, "id").filter("rank = best").groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min("m_tin").alias("m_tin")).filter("k = 1")
