@@ -24,6 +24,8 @@ AFTER_ITEMS = ("subtotal", "invoice total", "to pay by", "total amount", "vatabl
 CHARGES_HEAD, CHARGES_FOOT = "charges for this billing period", "total amount due"
 # -----------------------------------------------------------------------------------------------
 GRAM = 5
+#: Keys that are sent to all tasks at most.
+MOST_BROADCAST = 1_000_000
 
 
 def compact(c: Column) -> Column:
@@ -40,24 +42,33 @@ def page_identities(pages: DataFrame, entries: DataFrame) -> DataFrame:
 
     pages: (page, text); entries: (entry, keys, exclusions), arrays of texts, compared by letters and digits. A
     containment join: each distinct key waits at its rarest piece of ``GRAM`` characters for the pages that have that
-    piece, and only there the whole key is looked for; an entry applies where as many keys were found as it has.
+    piece, and only there the whole key is looked for. Of an entry's keys the one that the fewest pages hold brings it to those
+    pages, and there all of its keys and exclusions are compared: a key that every page holds makes no pairs.
     Keys without letters and digits are none, and an entry without keys applies nowhere.
     """
     key = lambda c, out: F.explode(F.transform(c, lambda k: F.struct(F.lit(out).alias("out"), compact(k).alias("key"))))
     wanted = entries.select("entry", key("keys", False).alias("k")).unionByName(entries.select("entry", key("exclusions", True).alias("k")))
     wanted = materialize(wanted.select("entry", "k.*").filter("key <> ''").distinct(), "identity_keys")
+    # equal keys of several entries are looked for once
     keys = wanted.select("key").distinct().withColumn("size", F.least(F.length("key"), F.lit(GRAM)))
     pieces = keys.select("key", "size", F.explode(_grams("key", F.col("size"))).alias("gram"))
     sizes = [r[0] for r in keys.select("size").distinct().collect()]  # GRAM numbers at most
     texts = pages.select("page", compact(F.col("text")).alias("text"))
     cut = texts.select("page", F.explode(F.array_distinct(F.flatten(F.array(*[_grams("text", F.lit(s)) for s in sizes])))).alias("gram")) if sizes else texts.select("page", F.col("text").alias("gram")).limit(0)
-    met = materialize(cut.join(pieces.select("gram").distinct(), "gram", "left_semi"), "identity_grams")
-    often = met.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = pieces.join(often, "gram", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
-    found = met.join(rarest, "gram").join(texts, "page").filter(F.contains("text", F.col("key"))).select("page", "key")
-    needed = wanted.filter("not out").groupBy("entry").agg(F.count(F.lit(1)).alias("needed"))
-    hits = found.join(wanted, "key").groupBy("page", "entry").agg(F.count_if(~F.col("out")).alias("hits"), F.count_if("out").alias("against"))
-    return hits.join(needed, "entry").filter("hits = needed and against = 0").select("page", "entry")
+    often = cut.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = pieces.join(often, "gram").groupBy("key").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    rarest = materialize(rarest, "identity_grams")
+    met = cut.join(F.broadcast(rarest) if rarest.count() <= MOST_BROADCAST else rarest, "gram")
+    found = materialize(met.join(texts, "page").filter(F.contains("text", F.col("key"))).select("page", "key"), "identity_found")
+    times = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    least = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key"))
+    rules = wanted.filter("not out").join(times, "key", "left").groupBy("entry").agg(least.alias("least"), F.collect_set("key").alias("keys")).filter("least.n > 0")
+    against = wanted.filter("out").groupBy("entry").agg(F.collect_set("key").alias("exclusions"))
+    rules = rules.join(against, "entry", "left").select("entry", F.col("least.key").alias("key"), "keys", "exclusions")
+    held = found.groupBy("page").agg(F.collect_set("key").alias("held"))
+    likely = found.join(rules, "key").join(held, "page")
+    fits = (F.size(F.array_except("keys", "held")) == 0) & ~F.coalesce(F.arrays_overlap("exclusions", "held"), F.lit(False))
+    return likely.filter(fits).select("page", "entry")
 
 
 def settle_identities(rows: DataFrame, pages: DataFrame, entries: DataFrame) -> DataFrame:
