@@ -140,7 +140,7 @@ def _century(d: Column) -> Column:
 
 def _shape(pattern: str) -> str:
     """What every text has that a date pattern can read."""
-    return "^" + re.sub("MMM+|[yMd]+|[^A-Za-z]", lambda m: "[^0-9]+" if m[0].startswith("MMM") else "[+-]?[0-9]+" if m[0][0].isalpha() else re.escape(m[0]), pattern) + "$"
+    return "^" + re.sub("MMM+|y+|M+|d+|[^A-Za-z]", lambda m: "[^0-9]+" if m[0].startswith("MMM") else "[+-]?[0-9]+" if m[0][0].isalpha() else re.escape(m[0]), pattern) + "$"
 
 
 def _try_date(s: Column, pattern: str) -> Column:
