@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.scalars import blank
+from tallyspark.functions.scalars import blank, let
 from tallyspark.operators.layout import printed_amount, tidy
 from tallyspark.operators.quality import cents
-from tallyspark.operators.text import nearest_pairs
+from tallyspark.operators.text import nearest_of
 from tallyspark.session import materialize
 
 # ---- fixed values -----------------------------------------------------------------------------
@@ -120,24 +120,40 @@ def billing_rows(lines: DataFrame) -> DataFrame:
 
     Labels stand left of the middle one of the amounts' columns and meet amounts to their right on about their own
     height, one to one, the nearest first. target: the amount in the heading's row. rows: (label, value, decimals,
-    confidence); an amount of two digits and more without its point is one that may have lost it.
+    confidence); an amount of two digits and more without its point is one that may have lost it. One exchange: a page's
+    amounts and labels come together as a row, and are paired in it.
     """
-    rows = lines.withColumns({"word": tidy(F.col("text")), "y": (F.col("y1") + F.col("y2")) / 2, "value": printed_amount(F.col("text"))})
-    rows = rows.withColumn("decimals", F.trim("text").rlike("\\.[0-9]{2}$")).withColumn("value", F.when(F.col("decimals") | F.trim("text").rlike("[0-9]{2}|[0-9],[0-9]"), F.col("value")))
-    place = lambda word, name: rows.filter(F.col("word") == word).groupBy("page").agg(F.min_by(F.struct("n", "x2", "y1", "y2", "y"), "n").alias(name))
-    band = rows.join(place(CHARGES_HEAD, "head"), "page").join(place(CHARGES_FOOT, "foot"), "page")
-    target = band.filter("decimals and value is not null and x1 > head.x2").filter(F.abs(F.col("y") - F.col("head.y")) <= 8).groupBy("page").agg(F.max_by("value", "n").alias("target"))
-    band = band.filter((F.col("y") > F.col("head.y2") - 2) & (F.col("y") < F.col("foot.y1") + 2) & (F.col("n") != F.col("head.n")))
-    cells = band.filter("value is not null").select("page", F.col("n").alias("cell"), F.col("x1").alias("cell_x"), F.col("y").alias("cell_y"), "value", "decimals", "confidence")
-    middle = cells.groupBy("page").agg(F.sort_array(F.collect_list("cell_x")).alias("xs")).select("page", F.get("xs", F.floor(F.size("xs") / 2).cast("int")).alias("middle"))
-    letters = F.length(F.regexp_replace("text", "[^A-Za-z]+", ""))
-    labels = band.filter("value is null").filter(letters >= 3).join(middle, "page").filter(F.col("x2") <= F.col("middle") + 2)
-    labels = labels.select("page", F.col("n").alias("label_n"), F.trim("text").alias("label"), "y", "y1", "x2", F.greatest(F.col("y2") - F.col("y1"), F.lit(8.0)).alias("h"))
-    pairs = labels.join(cells, "page").filter(F.col("cell_x") >= F.col("x2")).withColumn("far", F.abs(F.col("cell_y") - F.col("y"))).filter(F.col("far") <= 0.9 * F.col("h") + 4)
-    chosen = nearest_pairs(pairs.select("page", "label_n", "cell", "far"), "page", "label_n", "cell", "far")
-    each = chosen.join(labels.select("page", "label_n", "label", "y1"), ["page", "label_n"]).join(cells, ["page", "cell"])
-    listed = F.sort_array(F.collect_list(F.struct("y1", "label_n", F.struct("label", "value", "decimals", "confidence").alias("row"))))
-    return each.groupBy("page").agg(F.transform(listed, lambda x: x["row"]).alias("rows")).join(target, "page", "left").select("page", "target", "rows")
+    text = F.trim("text")
+    shown = {"word": tidy(F.col("text")), "y": (F.col("y1") + F.col("y2")) / 2, "value": printed_amount(F.col("text")), "decimals": text.rlike("\\.[0-9]{2}$"), "named": F.length(F.regexp_replace("text", "[^A-Za-z]+", "")) >= 3}
+    rows = lines.withColumns(shown).withColumn("value", F.when(F.col("decimals") | text.rlike("[0-9]{2}|[0-9],[0-9]"), F.col("value")))
+    place = lambda word: F.min_by(F.struct("n", "x2", "y1", "y2", "y"), F.when(F.col("word") == word, F.col("n")))
+    # what is neither an amount nor a label stays behind
+    cell = F.when(F.col("value").isNotNull() | F.col("named"), F.struct("n", "x1", "x2", "y1", "y2", "y", F.when(F.col("value").isNull(), text).alias("label"), "value", "decimals", "confidence"))
+    valued = lambda cells: F.filter(cells, lambda x: x["value"].isNotNull())
+
+    def meeting(label: Column, amounts: Column) -> Column:
+        high = F.greatest(label["y2"] - label["y1"], F.lit(8.0))
+        near = F.filter(amounts, lambda v: (v["x1"] >= label["x2"]) & (F.abs(v["y"] - label["y"]) <= 0.9 * high + 4))
+        row = lambda v: F.struct(label["label"].alias("label"), v["value"].alias("value"), v["decimals"].alias("decimals"), v["confidence"].alias("confidence"))
+        return F.transform(near, lambda v: F.struct(F.abs(v["y"] - label["y"]).alias("far"), label["n"].alias("label_n"), v["n"].alias("cell"), label["y1"].alias("y1"), row(v).alias("row")))
+
+    def paired(cells: Column, amounts: Column) -> Column:
+        middle = F.get(F.sort_array(F.transform(amounts, lambda v: v["x1"])), F.floor(F.size(amounts) / 2).cast("int"))
+        labels = let(middle, lambda m: F.filter(cells, lambda x: x["value"].isNull() & (x["x2"] <= m + 2)))
+        return F.sort_array(F.flatten(F.transform(labels, lambda x: meeting(x, amounts))))
+
+    def of(page: Column) -> Column:
+        head, foot = page["head"], page["foot"]
+        beside = F.filter(valued(page["cells"]), lambda x: x["decimals"] & (x["x1"] > head["x2"]) & (F.abs(x["y"] - head["y"]) <= 8))
+        target = F.array_max(F.transform(beside, lambda x: F.struct(x["n"].alias("n"), x["value"].alias("value"))))["value"]
+        band = F.filter(page["cells"], lambda x: (x["y"] > head["y2"] - 2) & (x["y"] < foot["y1"] + 2) & (x["n"] != head["n"]))
+        pairs = let(band, lambda cells: let(valued(cells), lambda amounts: paired(cells, amounts)))
+        listed = F.sort_array(F.transform(nearest_of(pairs, "label_n", "cell"), lambda x: F.struct(x["y1"].alias("y1"), x["label_n"].alias("label_n"), x["row"].alias("row"))))
+        return F.when(head.isNotNull() & foot.isNotNull(), F.struct(target.alias("target"), F.transform(listed, lambda x: x["row"]).alias("rows")))
+
+    # within the aggregate, so that no condition on the outcome works it out again
+    page = F.struct(place(CHARGES_HEAD).alias("head"), place(CHARGES_FOOT).alias("foot"), F.collect_list(cell).alias("cells"))
+    return rows.groupBy("page").agg(let(page, of).alias("bill")).filter(F.size("bill.rows") > 0).select("page", "bill.target", "bill.rows")
 
 
 # ---- a page read against itself ---------------------------------------------------------------

@@ -145,6 +145,13 @@ def nearest_pairs(pairs: DataFrame, within: str, left: str, right: str, distance
     return out
 
 
+def nearest_of(pairs: Column, left: str, right: str) -> Column:
+    """The same walk within a row: of pairs that are sorted by distance, left and right those whose sides are both still free."""
+    free = lambda taken, x: ~F.exists(taken, lambda t: (t[left] == x[left]) | (t[right] == x[right]))
+    first = F.slice(pairs, 1, 0)
+    return F.aggregate(pairs, first, lambda taken, x: F.when(free(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
+
+
 def match_cells(words: DataFrame) -> DataFrame:
     """One-to-one pairs of labels and cells of a page, nearest in height first."""
     side = lambda is_label, name: words.filter(F.col("is_label") == is_label).select("page", F.col("word").alias(name), F.col("y").alias(f"{name}_y"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import documents, layout, ownership
+from tallyspark.operators import documents, evidence, layout, ownership
 
 RULES = {
     "retail_table": lambda df, t, n: df.select(ownership.retail_table(t, n)),
@@ -37,3 +37,16 @@ def test_a_ledger_is_looked_for_once(spark):
     rows = spark.range(1).selectExpr("CAST(id AS string) AS text", "1D AS previous_balance")
     plan = layout.points_are_no_balance(rows, F.col("text"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[^a-z0-9%]+") == 1
+
+
+def read_once(df, most_exchanges):
+    """A plan that scans its lines once, and deals them so many times at most."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Range (") == 1 and plan.count("Exchange ") <= most_exchanges
+
+
+LINE = "id AS page, id AS n, CAST(id AS string) AS text, 0D AS x1, 0D AS y1, 9D AS x2, 9D AS y2, 0.9D AS confidence"
+
+
+def test_a_bill_is_read_once(spark):
+    assert read_once(evidence.billing_rows(spark.sql(f"SELECT {LINE} FROM range(9)")), 1)
