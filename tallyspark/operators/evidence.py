@@ -233,18 +233,25 @@ def closed_charges(lines: DataFrame, labels: tuple[str, ...], total: str) -> Dat
     The amount is on the label's own line or alone on the next one. A label that is missing, stands twice or has two amounts, or a
     sum that is off by more than a cent, leaves the page out.
     """
-    over = Window.partitionBy("page").orderBy("n")
-    rows = lines.withColumns({"word": tidy(F.col("text")), "after": printed_amount(F.lead("text").over(over))})
     own = F.regexp_extract("text", "(-?[0-9][0-9,]*\\.[0-9]{2})\\s*$", 1)
-    rows = rows.withColumn("amount", F.coalesce(F.replace(F.nullif(own, F.lit("")), F.lit(","), F.lit("")).try_cast("double"), "after"))
-    name = F.trim(F.regexp_replace("word", "[:\\s]*-?[0-9][0-9,]*\\.[0-9]{2}\\s*$", ""))
-    hits = rows.withColumn("label", name).filter(F.col("label").isin(*labels, total))
-    each = hits.groupBy("page", "label").agg(F.count(F.lit(1)).alias("k"), F.count("amount").alias("amounts"), F.max("amount").alias("amount"))
-    page = Window.partitionBy("page")
-    fine = (F.count(F.lit(1)).over(page) == len(labels) + 1) & (F.max("k").over(page) == 1) & (F.min("amounts").over(page) == 1)
-    whole = F.col("label") == total
-    off = F.sum(F.when(whole, -cents(F.col("amount"))).otherwise(cents(F.col("amount")))).over(page)
-    return each.withColumn("ok", fine & (F.abs(off) <= F.lit("0.01").cast("decimal(18,4)"))).filter("ok").filter(~whole).select("page", "label", "amount")
+    own = F.replace(F.nullif(own, F.lit("")), F.lit(","), F.lit("")).try_cast("double")
+    name = F.trim(F.regexp_replace(tidy(F.col("text")), "[:\\s]*-?[0-9][0-9,]*\\.[0-9]{2}\\s*$", ""))
+    rows = lines.select("page", "n", name.alias("name"), own.alias("own"), printed_amount(F.col("text")).alias("alone"))
+    rows = rows.select("page", "n", F.when(F.col("name").isin(*labels, total), F.col("name")).alias("label"), "own", "alone")
+
+    def of(ls: Column) -> Column:
+        amount = lambda x, i: F.when(x["label"].isNotNull(), F.struct(x["label"].alias("label"), F.coalesce(x["own"], F.get(ls, i + 1)["alone"]).alias("amount")))
+        return let(F.array_compact(F.transform(ls, amount)), closed)
+
+    def closed(hits: Column) -> Column:
+        signed = lambda x: F.when(x["label"] == total, -cents(x["amount"])).otherwise(cents(x["amount"]))
+        off = F.aggregate(hits, F.lit(0).cast("decimal(18,4)"), lambda s, x: (s + signed(x)).cast("decimal(18,4)"))
+        fine = (F.size(hits) == len(labels) + 1) & (F.size(F.array_distinct(F.transform(hits, lambda x: x["label"]))) == len(labels) + 1)
+        return F.when(fine & (F.abs(off) <= F.lit("0.01").cast("decimal(18,4)")), F.filter(hits, lambda x: x["label"] != total))
+
+    # within the aggregate, so that no condition on the outcome works it out again
+    pages = rows.groupBy("page").agg(let(F.sort_array(F.collect_list(F.struct("n", "label", "own", "alone"))), of).alias("rows"))
+    return pages.select("page", F.explode("rows").alias("r")).select("page", "r.label", "r.amount")
 
 
 def lost_adjustment(previous: Column, current: Column, due: Column, share: float = 0.5) -> Column:
