@@ -90,29 +90,48 @@ def table_items(lines: DataFrame) -> DataFrame:
     taken out of all heights. A cell belongs to the column that its centre lies in and to the item whose height it
     shares. The table counts only if every item has exactly one number in each column; else the page has no row.
     """
-    rows = lines.withColumns({"word": F.lower(F.trim("text")), "c": (F.col("x1") + F.col("x2")) / 2, "y": (F.col("y1") + F.col("y2")) / 2, "h": F.col("y2") - F.col("y1")})
-    kind = F.coalesce(*[F.when(F.col("word").isin(*words), k) for k, words in ITEM_HEADINGS.items()])
-    first = rows.withColumn("kind", kind).filter("kind is not null").groupBy("page", "kind").agg(F.min_by(F.struct("n", "x1", "c", "y", "h"), "n").alias("s"))
-    heads = first.groupBy("page").pivot("kind", list(ITEM_HEADINGS)).agg(F.first("s"))
-    d, q, p, a = (F.col(k) for k in ITEM_HEADINGS)
-    heads = heads.filter((d["x1"] < q["x1"]) & (q["x1"] < p["x1"]) & (p["x1"] < a["x1"]))
-    slope = (a["y"] - d["y"]) / F.greatest(F.lit(1.0), a["c"] - d["c"])
-    flat_head = F.greatest(*[h["y"] - slope * (h["c"] - d["c"]) for h in (d, q, p, a)]) + F.greatest(*[h["h"] for h in (d, q, p, a)]) * 0.6
-    borders = [((x["c"] + z["c"]) / 2).alias(f"b{i}") for i, (x, z) in enumerate([(d, q), (q, p), (p, a)])]
-    heads = heads.select("page", slope.alias("slope"), d["c"].alias("c0"), (d["x1"] - d["h"]).alias("left"), flat_head.alias("top"), *borders)
-    rows = rows.join(heads, "page").withColumn("flat", F.col("y") - F.col("slope") * (F.col("c") - F.col("c0"))).filter(F.col("flat") > F.col("top"))
-    ends = F.coalesce(*[F.when(F.startswith("word", F.lit(w)), True) for w in AFTER_ITEMS], F.lit(False))
-    rows = rows.withColumn("end", F.min(F.when(ends, F.col("flat"))).over(Window.partitionBy("page"))).filter("end is null or flat < end")
-    amount = printed_amount(F.col("text"))
-    item = (F.col("x1") > F.col("left")) & (F.col("x1") < F.col("b0")) & F.col("text").rlike("[A-Za-z]") & ~F.trim("text").rlike("^[A-Z]+-[0-9]+$")
-    column = F.when(F.col("c") < F.col("b0"), 0).when(F.col("c") < F.col("b1"), 1).when(F.col("c") < F.col("b2"), 2).otherwise(3)
-    items = rows.filter(item).select("page", "n", F.trim("text").alias("description"), "flat", "h")
-    cells = rows.select("page", column.alias("column"), amount.alias("value"), F.col("flat").alias("at"), F.col("h").alias("high")).filter("value is not null and column > 0")
-    pairs = items.join(cells, "page").filter(F.abs(F.col("at") - F.col("flat")) < F.greatest("h", "high") * 0.85)
-    one = lambda k: F.when(F.count_if(F.col("column") == k) == 1, F.max(F.when(F.col("column") == k, F.col("value"))))
-    whole = items.join(pairs.groupBy("page", "n").agg(*[one(k).alias(c) for k, c in ((1, "quantity"), (2, "unit_price"), (3, "amount"))]), ["page", "n"], "left")
-    lacking = F.max((F.col("quantity").isNull() | F.col("unit_price").isNull() | F.col("amount").isNull()).cast("int")).over(Window.partitionBy("page"))
-    return whole.withColumn("lacking", lacking).filter("lacking = 0").select("page", "n", "description", "quantity", "unit_price", "amount")
+    word, text = F.lower(F.trim("text")), F.trim("text")
+    kind = F.coalesce(*[F.when(word.isin(*words), k) for k, words in ITEM_HEADINGS.items()])
+    ends = F.coalesce(*[F.when(F.startswith(word, F.lit(w)), True) for w in AFTER_ITEMS], F.lit(False))
+    places = {"c": (F.col("x1") + F.col("x2")) / 2, "y": (F.col("y1") + F.col("y2")) / 2, "h": F.col("y2") - F.col("y1")}
+    rows = lines.withColumns(places | {"kind": kind, "end": ends, "value": printed_amount(F.col("text")), "description": F.when(F.col("text").rlike("[A-Za-z]") & ~text.rlike("^[A-Z]+-[0-9]+$"), text)})
+    head = lambda k: F.min_by(F.struct("n", "x1", "c", "y", "h"), F.when(F.col("kind") == k, F.col("n"))).alias(k)
+    line = F.when(F.col("end") | F.col("value").isNotNull() | F.col("description").isNotNull(), F.struct("n", "x1", "c", "y", "h", "end", "value", "description"))
+
+    def borders(page: Column) -> Column:
+        d, q, p, a = heads = [page[k] for k in ITEM_HEADINGS]
+        slope = (a["y"] - d["y"]) / F.greatest(F.lit(1.0), a["c"] - d["c"])
+        top = let(slope, lambda s: F.greatest(*[h["y"] - s * (h["c"] - d["c"]) for h in heads]) + F.greatest(*[h["h"] for h in heads]) * 0.6)
+        between = [((x["c"] + z["c"]) / 2).alias(f"b{i}") for i, (x, z) in enumerate([(d, q), (q, p), (p, a)])]
+        return F.when((d["x1"] < q["x1"]) & (q["x1"] < p["x1"]) & (p["x1"] < a["x1"]), F.struct(slope.alias("slope"), d["c"].alias("c0"), (d["x1"] - d["h"]).alias("left"), top.alias("top"), *between))
+
+    def of(page: Column) -> Column:
+        return let(borders(page), lambda m: F.when(m.isNotNull(), let(flattened(page["ls"], m), lambda ls: let(body(ls), lambda rows: whole(rows, m)))))
+
+    def flattened(ls: Column, m: Column) -> Column:
+        flat = F.transform(ls, lambda x: F.struct(*[x[k].alias(k) for k in ("n", "x1", "c", "h", "end", "value", "description")], (x["y"] - m["slope"] * (x["c"] - m["c0"])).alias("flat")))
+        return F.filter(flat, lambda x: x["flat"] > m["top"])
+
+    def body(ls: Column) -> Column:
+        return let(F.array_min(F.transform(F.filter(ls, lambda x: x["end"]), lambda x: x["flat"])), lambda end: F.filter(ls, lambda x: end.isNull() | (x["flat"] < end)))
+
+    def whole(rows: Column, m: Column) -> Column:
+        items = F.filter(rows, lambda x: (x["x1"] > m["left"]) & (x["x1"] < m["b0"]) & x["description"].isNotNull())
+        column = lambda x: F.when(x["c"] < m["b0"], 0).when(x["c"] < m["b1"], 1).when(x["c"] < m["b2"], 2).otherwise(3)
+        cells = F.filter(F.transform(F.filter(rows, lambda x: x["value"].isNotNull()), lambda x: F.struct(column(x).alias("column"), x["value"].alias("value"), x["flat"].alias("at"), x["h"].alias("high"))), lambda x: x["column"] > 0)
+
+        def filled(x: Column, near: Column) -> Column:
+            one = lambda k: let(F.filter(near, lambda v: v["column"] == k), lambda vs: F.when(F.size(vs) == 1, F.get(vs, F.lit(0))["value"]))
+            return F.struct(x["n"].alias("n"), x["description"].alias("description"), one(1).alias("quantity"), one(2).alias("unit_price"), one(3).alias("amount"))
+
+        near = lambda x, cells: F.filter(cells, lambda v: F.abs(v["at"] - x["flat"]) < F.greatest(x["h"], v["high"]) * 0.85)
+        all_ = let(cells, lambda cells: F.transform(items, lambda x: let(near(x, cells), lambda vs: filled(x, vs))))
+        lacking = lambda made: F.exists(made, lambda x: x["quantity"].isNull() | x["unit_price"].isNull() | x["amount"].isNull())
+        return let(all_, lambda made: F.when(~lacking(made), made))
+
+    # within the aggregate, so that no condition on the outcome works it out again
+    page = F.struct(*[head(k) for k in ITEM_HEADINGS], F.collect_list(line).alias("ls"))
+    return rows.groupBy("page").agg(let(page, of).alias("rows")).select("page", F.explode("rows").alias("r")).select("page", "r.*")
 
 
 def billing_rows(lines: DataFrame) -> DataFrame:
@@ -205,26 +224,29 @@ def labelled_cells(lines: DataFrame, labels: DataFrame, reach: float = 450.0, dr
     the label's value. A field's value counts if all its labels on the page, of one family, agree on one.
     """
     words = lines.withColumns({"word": tidy(F.col("text")), "own": F.trim(F.regexp_extract("text", "^[^:]*:\\s*(.+)$", 1))}).withColumn("word", F.trim(F.regexp_replace("word", "\\s*:.*$", "")))
-    kinds = labels.select("family", "field", tidy(F.col("label")).alias("word"))
-    named = words.join(F.broadcast(kinds), "word") if kinds.limit(10_001).count() <= 10_000 else words.join(kinds, "word")
-    marks = named.select("page", "n").distinct().withColumn("is_label", F.lit(True))
-    plain = words.join(marks, ["page", "n"], "left").select("page", "n", "text", "x1", "y1", "x2", "y2", F.coalesce("is_label", F.lit(False)).alias("is_label"))
-    own = named.select("page", "n", "family", "field", "own", "x1", "x2", "y1", "y2")
-    both = own.alias("l").join(plain.alias("v"), (F.col("l.page") == F.col("v.page")) & (F.col("l.n") != F.col("v.n")))
-    shared = F.least("l.y2", "v.y2") - F.greatest("l.y1", "v.y1")
-    right = (shared >= 0.5 * (F.col("l.y2") - F.col("l.y1"))) & (F.col("v.x1") >= F.col("l.x2") - 3) & (F.col("v.x1") - F.col("l.x2") <= reach)
-    below = (F.abs(F.col("v.x1") - F.col("l.x1")) <= 12) & (F.col("v.y1") >= F.col("l.y2") - 2) & (F.col("v.y1") - F.col("l.y2") <= drop)
-    value = F.struct(F.col("v.text").alias("text"), F.col("v.is_label").alias("is_label"))
-    lattice = both.filter(right | below | (F.col("v.n") == F.col("l.n") + 1)).groupBy(*[F.col(f"l.{c}").alias(c) for c in ("page", "n", "family", "field")]).agg(
-        F.min_by(F.when(right, value), F.when(right, F.struct("v.x1", "v.n"))).alias("right"),
-        F.when(F.count_if(below & ~F.col("v.is_label")) == 1, F.max(F.when(below & ~F.col("v.is_label"), F.col("v.text")))).alias("below"),
-        F.max(F.when((F.col("v.n") == F.col("l.n") + 1) & ~F.col("v.is_label"), F.col("v.text"))).alias("next"),
-    )
-    each = own.select("page", "n", "family", "field", "own").join(lattice, ["page", "n", "family", "field"], "left")
-    first = F.coalesce(F.nullif("own", F.lit("")), F.when(~F.col("right.is_label"), F.col("right.text")), F.col("below"), F.col("next"))
-    per_family = each.select("page", "family", "field", F.trim(first).alias("value")).filter("value is not null").groupBy("page", "family", "field").agg(F.min("value").alias("least"), F.max("value").alias("most"))
-    agreed = per_family.groupBy("page", "field").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    return agreed.filter("least = most").select("page", "field", F.col("least").alias("value"))
+    kinds = labels.select(tidy(F.col("label")).alias("word"), "field").groupBy("word").agg(F.collect_set("field").alias("fields"))
+    named = words.join(F.broadcast(kinds), "word", "left") if labels.limit(10_001).count() <= 10_000 else words.join(kinds, "word", "left")
+    line = F.struct("n", "x1", "y1", "x2", "y2", "text", "fields", F.when(F.col("fields").isNotNull(), F.nullif("own", F.lit(""))).alias("own"))
+
+    def read(x: Column, ls: Column) -> Column:
+        first = lambda vs: F.get(vs, F.lit(0))
+        plain = lambda v: v["fields"].isNull()
+        shared = lambda v: F.least(x["y2"], v["y2"]) - F.greatest(x["y1"], v["y1"])
+        right = F.filter(ls, lambda v: (v["n"] != x["n"]) & (v["x1"] >= x["x2"] - 3) & (v["x1"] - x["x2"] <= reach) & (shared(v) >= 0.5 * (x["y2"] - x["y1"])))
+        nearest = F.array_min(F.transform(right, lambda v: F.struct(v["x1"].alias("x1"), v["n"].alias("n"), v["text"].alias("text"), plain(v).alias("plain"))))
+        right = let(nearest, lambda v: F.when(v["plain"], v["text"]))
+        below = F.filter(ls, lambda v: (v["n"] != x["n"]) & plain(v) & (F.abs(v["x1"] - x["x1"]) <= 12) & (v["y1"] >= x["y2"] - 2) & (v["y1"] - x["y2"] <= drop))
+        below = let(below, lambda vs: F.when(F.size(vs) == 1, first(vs)["text"]))
+        after = F.array_max(F.transform(F.filter(ls, lambda v: (v["n"] == x["n"] + 1) & plain(v)), lambda v: v["text"]))
+        value = F.trim(F.coalesce(x["own"], right, below, after))
+        return let(value, lambda v: F.transform(x["fields"], lambda f: F.struct(f.alias("field"), v.alias("value"))))
+
+    of = lambda ls: F.flatten(F.transform(F.filter(ls, lambda x: x["fields"].isNotNull()), lambda x: read(x, ls)))
+    # within the aggregate, so that no condition on the outcome works it out again
+    pages = named.groupBy("page").agg(let(F.collect_list(line), of).alias("read"))
+    # labels of one family or of several: one value for the field
+    each = pages.select("page", F.explode("read").alias("r")).filter("r.value is not null").groupBy("page", "r.field").agg(F.min("r.value").alias("least"), F.max("r.value").alias("most"))
+    return each.filter("least = most").select("page", "field", F.col("least").alias("value"))
 
 
 def closed_charges(lines: DataFrame, labels: tuple[str, ...], total: str) -> DataFrame:

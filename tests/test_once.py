@@ -62,3 +62,13 @@ def test_a_statement_is_read_once(spark):
 def test_a_closed_set_is_sorted_for_no_window(spark):
     plan = evidence.closed_charges(spark.sql(f"SELECT {LINE} FROM range(9)"), ("a", "b"), "c")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("Exchange ") <= 1
+
+
+def test_a_table_is_read_once(spark):
+    assert read_once(evidence.table_items(spark.sql(f"SELECT {LINE} FROM range(9)")), 1)
+
+
+def test_labels_are_looked_for_once(spark):
+    labels = spark.createDataFrame([("a", "b", "c")], "family string, field string, label string")
+    df = evidence.labelled_cells(spark.sql(f"SELECT {LINE} FROM range(9)"), labels)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
