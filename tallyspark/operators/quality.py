@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.scalars import CURRENCIES, amount_in_text, blank, clamp, consonant_run, finite_number, is_missing, says
+from tallyspark.functions.scalars import CURRENCIES, amount_in_text, blank, clamp, finite_number, is_missing, let, says
 
 # ---- fixed values -----------------------------------------------------------------------------
 REQUIRED = ("invoice_number", "invoice_date", "vendor_name", "total_amount", "currency")
@@ -87,6 +87,10 @@ def _is_form_label(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(blank(c))), "\\s*:+\\s*$", "").isin(*FORM_LABELS)
 
 
+def _garbled(c: Column) -> Column:
+    return blank(c).rlike(f"[B-DF-HJ-NP-TV-Zb-df-hj-np-tv-z]{{{GARBLED},}}")
+
+
 def _sales(items: Column) -> Column:
     return F.filter(items, lambda x: ~F.trim(F.lower(blank(x["description"]))).isin(*CARRIED))
 
@@ -97,17 +101,19 @@ def _sum(items: Column) -> Column:
 
 def _item_notes(items: Column) -> Column:
     def notes(x: Column, i: Column) -> Column:
+        read = F.struct(*[finite_number(x[f]).alias(f) for f in ("quantity", "unit_price", "amount")], F.trim(blank(x["description"])).alias("desc"))
+        return let(read, lambda n: noted(x, i, n, n["desc"]))
+
+    def noted(x: Column, i: Column, n: Column, desc: Column) -> Column:
         at = F.concat(F.lit("item "), (i + 1).cast("string"), F.lit(": "))
-        n = {f: finite_number(x[f]) for f in ("quantity", "unit_price", "amount")}
-        desc = F.trim(blank(x["description"]))
         credit = desc.rlike(CREDIT)
-        rules = [(n[f].isNull(), f"{f} is not a number") for f in n]
+        rules = [(n[f].isNull(), f"{f} is not a number") for f in ("quantity", "unit_price", "amount")]
         rules += [((n["quantity"] < 0), "quantity is negative"), ((n["unit_price"] < 0) & ~credit, "unit_price is negative"), ((n["amount"] < 0) & ~credit, "amount is negative")]
         product = (F.round(n["quantity"] * n["unit_price"], 2)).cast("decimal(18,4)")
         rules.append((F.abs(product - cents(n["amount"])) > F.lit(0.02).cast("decimal(18,4)"), "quantity * unit_price is not amount"))
         rules.append((is_missing(x["description"]), "description is missing"))
         kind = F.when(desc == "", None).when(desc.rlike("^[0-9][0-9.,\\-/ ]*$"), "description is a bare number").when(desc.rlike("(?i)nothing\\s*follows"), "description is the end-of-table mark")
-        kind = kind.when(F.lower(desc).isin(*CHECKBOXES), "description is a form option").when(consonant_run(desc) >= GARBLED, "description is garbled")
+        kind = kind.when(F.lower(desc).isin(*CHECKBOXES), "description is a form option").when(_garbled(desc), "description is garbled")
         return F.transform(F.array_compact(F.array(*[F.when(c, m) for c, m in rules], kind)), lambda m: F.concat(at, m))
 
     return F.flatten(F.transform(items, notes))
@@ -150,18 +156,26 @@ def issues(df: DataFrame, today: date, text: Column | None = None, template: str
     as_amount = F.regexp_replace(number, "[$₱P,]", "").try_cast("double")
     same = reduce(lambda a, b: a | b, [F.coalesce(~off(as_amount, n(f), 0.0099), F.lit(False)) for f in ("total_amount", "subtotal", "tax_amount")])
     out += [(boiler, "invoice_number is a printer's permit"), (money_like & same, "invoice_number is one of the amounts"), (money_like & ~same, "invoice_number looks like an amount")]
-    out += [(_is_form_label(c("vendor_name")), "vendor_name is a form label"), (~_is_form_label(c("vendor_name")) & (consonant_run(c("vendor_name")) >= GARBLED), "vendor_name is garbled"), (_is_form_label(c("customer_name")), "customer_name is a form label")]
+    out += [(_is_form_label(c("vendor_name")), "vendor_name is a form label"), (~_is_form_label(c("vendor_name")) & _garbled(c("vendor_name")), "vendor_name is garbled"), (_is_form_label(c("customer_name")), "customer_name is a form label")]
     notes = F.array_compact(F.array(*[F.when(rule, note) for rule, note in out]))
     if "line_items" in c.types:
         items = F.coalesce("line_items", F.array().cast(c.types["line_items"]))
-        sales = _sales(items)
-        other = F.filter(sales, lambda x: (x["amount"] > 0) & (_sum(sales) - cents(x["amount"]) > 0) & (F.abs(_sum(sales) - cents(x["amount"]) - cents(x["amount"])) < F.lit(0.01).cast("decimal(18,4)")))
-        bridge = F.exists(sales, lambda x: says(x["description"], ("adjustment current bill", "adjustments current bill"))) & ~off(_sum(sales) + cents(n("tax_amount")), current, 0.02)
-        unequal = (F.size(items) > 0) & (F.abs(_sum(sales) - cents(sub)) > F.lit(0.02).cast("decimal(18,4)")) & ~F.coalesce(bridge, F.lit(False))
-        late = [F.when((F.size(items) >= 2) & (F.size(other) > 0), "an item equals the sum of the others")]
-        if template != "retail":
-            late.append(F.when(unequal, "items do not add up to subtotal"))
-        notes = F.concat(notes, _item_notes(items), F.array_compact(F.array(*late)))
+        # the items that are sales, and their sum, are worked out once for a row
+        added = let(_sales(items), lambda sales: F.struct(sales.alias("items"), _sum(sales).alias("sum")))
+        adjusts = lambda x: says(x["description"], ("adjustment current bill", "adjustments current bill"))
+
+        def weighed(sales: Column) -> Column:
+            sum_ = sales["sum"]
+            other = F.exists(sales["items"], lambda x: (x["amount"] > 0) & (sum_ - cents(x["amount"]) > 0) & (F.abs(sum_ - cents(x["amount"]) - cents(x["amount"])) < F.lit(0.01).cast("decimal(18,4)")))
+            unequal = F.abs(sum_ - cents(sub)) > F.lit(0.02).cast("decimal(18,4)")
+            # words are read only where sums differ, and an adjustment would explain it
+            bridge = unequal & ~off(sum_ + cents(n("tax_amount")), current, 0.02) & F.exists(sales["items"], adjusts)
+            marks = [F.when((F.size(items) >= 2) & other, "an item equals the sum of the others")]
+            if template != "retail":
+                marks.append(F.when((F.size(items) > 0) & unequal & ~F.coalesce(bridge, F.lit(False)), "items do not add up to subtotal"))
+            return F.array_compact(F.array(*marks))
+
+        notes = F.concat(notes, _item_notes(items), let(added, weighed))
     days = F.regexp_extract(blank(c("payment_terms")), "(?i)net\\s*([0-9]{1,3})", 1).try_cast("int")
     terms = F.when(F.datediff(c("due_date").try_cast("date"), c("invoice_date").try_cast("date")) != days, "due date does not fit the terms")
     if template == "retail":
@@ -200,34 +214,39 @@ def about(issues: Column, field: str, charged: Column | None = None) -> Column:
 def scored(df: DataFrame, issues_col: str = "issues", ocr_col: str = "ocr_confidence", engine_col: str = "engine") -> DataFrame:
     """Add confidence, needs_review and field_confidences; cells of items follow the fields where the table has evidence of them."""
     c = Cells(df)
-    ocr = clamp(F.coalesce(F.col(ocr_col), F.lit(0.0)))
-    flags = dict(zip(("charges", "bill"), consistency(df), strict=True))
-    flags["items"] = items_consistent(F.col("line_items")) if "line_items" in c.types else F.lit(None).cast("boolean")
-    present = reduce(lambda a, b: a + b, [F.when(c.missing(f), 0).otherwise(1) for f in REQUIRED])
+    # columns of their own, which many fields read: an expression would be worked out again for each
+    charges, bill = consistency(df)
+    seen = {"__ocr": clamp(F.coalesce(F.col(ocr_col), F.lit(0.0))), "__charges": charges, "__bill": bill, "__items": items_consistent(F.col("line_items")) if "line_items" in c.types else F.lit(None).cast("boolean")}
     engines = F.split(blank(c(engine_col)), "\\+")
-    hand = F.array_contains(engines, "trocr")
+    seen |= {"__hand": F.array_contains(engines, "trocr"), "__alone": F.size(F.array_distinct(engines)) == 1}
+    charged = {"current_charges_total": c("current_charges_total").isNotNull(), "total_amount": c("current_charges_total").isNull()}
+    seen |= {f"__no_{f}": c.missing(f) for f in SCORED} | {f"__hit_{f}": about(F.col(issues_col), f, charged.get(f)) for f in SCORED}
+    kept, df = df.columns, df.withColumns(seen)
+    ocr, hand, flags = F.col("__ocr"), F.col("__hand"), {k: F.col(f"__{k}") for k in ("charges", "bill", "items")}
+    present = reduce(lambda a, b: a + b, [F.when(F.col(f"__no_{f}"), 0).otherwise(1) for f in REQUIRED])
     score = F.lit(BASE_SCORE) + BY_OCR * ocr + BY_COMPLETENESS * present / len(REQUIRED)
     for name, flag in flags.items():
         score = score + F.when(flag, SUMS_HOLD[name]).when(~flag, -SUMS_FAIL[name]).otherwise(0.0)
-    score = score - F.least(F.lit(MOST_BY_NOTES), BY_NOTE * F.size(issues_col)) - F.when(hand & (F.size(F.array_distinct(engines)) == 1), HAND_ONLY).when(hand, HAND_TOO).otherwise(0.0)
+    score = score - F.least(F.lit(MOST_BY_NOTES), BY_NOTE * F.size(issues_col)) - F.when(hand & F.col("__alone"), HAND_ONLY).when(hand, HAND_TOO).otherwise(0.0)
 
     def of(field: str) -> Column:
-        target = {"current_charges_total": c("current_charges_total").isNotNull(), "total_amount": c("current_charges_total").isNull()}.get(field)
-        hit = about(F.col(issues_col), field, target)
+        hit, missing = F.col(f"__hit_{field}"), F.col(f"__no_{field}")
         conf = F.lit(FIELD_BASE) + BY_OCR * ocr + F.when(hit, 0.0).otherwise(UNNAMED + (KEY_FIELD if field in KEY_FIELDS else 0.0))
         if field in MONEY:
             conf = conf + F.when(flags["charges"], SUMS_HOLD["charges"]).when(~flags["charges"], -FIELD_SUMS_FAIL).otherwise(0.0)
         if field in ("current_charges_total", "previous_balance", "total_amount"):
             conf = conf + F.when(flags["bill"], BILL_HOLDS).otherwise(0.0)
-        conf = F.when(c.missing(field), 0.0).otherwise(F.round(clamp(F.when(hit, conf * NAMED_SHARE).otherwise(conf)), 3))
-        return F.struct(F.lit(field).alias("field"), c(field).cast("string").alias("value"), conf.alias("confidence"), F.when(c.missing(field), "missing").otherwise("final_evidence").alias("source"))
+        held = let(conf, lambda x: F.round(clamp(F.when(hit, x * NAMED_SHARE).otherwise(x)), 3))
+        return F.struct(F.lit(field).alias("field"), c(field).cast("string").alias("value"), F.when(missing, 0.0).otherwise(held).alias("confidence"), F.when(missing, "missing").otherwise("final_evidence").alias("source"))
 
     fields = F.array(*[of(f) for f in SCORED])
     if c.types.get("item_evidence", "").startswith("map<string,struct<score:double"):
         cells = F.map_entries(F.coalesce("item_evidence", F.create_map().cast(c.types["item_evidence"])))
         fields = F.concat(fields, F.transform(cells, lambda e: F.struct(e["key"].alias("field"), F.lit(None).cast("string").alias("value"), F.coalesce(e["value"]["score"], F.lit(0.0)).alias("confidence"), F.lit("unverified").alias("source"))))
-    total = F.round(clamp(score), 3)
-    return df.withColumns({"confidence": total, "needs_review": (total < CONFIDENT) | (F.size(issues_col) > 0) | hand, "field_confidences": fields})
+    out = df.withColumns({"confidence": F.round(clamp(score), 3), "field_confidences": fields})
+    review = (F.col("confidence") < CONFIDENT) | (F.size(issues_col) > 0) | hand
+    new = {"confidence": F.col("confidence"), "needs_review": review, "field_confidences": F.col("field_confidences")}
+    return out.select(*[F.col(k) for k in kept if k not in new], *[x.alias(k) for k, x in new.items()])
 
 
 def low_confidence(c: Column, least: float = CONFIDENT) -> Column:

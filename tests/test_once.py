@@ -1,9 +1,11 @@
 """A rule cuts a text into lines once for a row, however often it looks at them."""
 
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import documents, evidence, layout, ownership
+from tallyspark.operators import documents, evidence, layout, ownership, quality
 
 RULES = {
     "retail_table": lambda df, t, n: df.select(ownership.retail_table(t, n)),
@@ -72,3 +74,21 @@ def test_labels_are_looked_for_once(spark):
     labels = spark.createDataFrame([("a", "b", "c")], "family string, field string, label string")
     df = evidence.labelled_cells(spark.sql(f"SELECT {LINE} FROM range(9)"), labels)
     assert df._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
+
+
+def test_parties_are_read_once(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1L, 'a name', 'b name') AS t(page, vendor_name, customer_name)")
+    assert read_once(layout.settle_parties(rows, spark.sql(f"SELECT {LINE} FROM range(9)")), 2)
+
+
+def test_flags_are_worked_out_once_for_all_fields(spark):
+    rows = spark.sql("SELECT id, 'n' AS invoice_number, 1D + id AS subtotal, 2D + id AS tax_amount, 3D + id AS total_amount, array('x') AS issues, 0.5D AS ocr_confidence, 'e' AS engine FROM range(1)")
+    plan = quality.scored(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("0.002") <= 4, plan.count("0.002")
+
+
+def test_sales_are_summed_once(spark):
+    items = "array<struct<description:string,quantity:double,unit_price:double,amount:double>>"
+    rows = spark.range(1).select(F.lit(None).cast(items).alias("line_items"), "id").withColumn("line_items", F.from_json(F.col("id").cast("string"), items))
+    plan = rows.select(quality.issues(rows, date(1998, 1, 1)).alias("notes"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
