@@ -5,7 +5,7 @@
     spark.read.format("sheets").schema("ID string, Total double").load("/exports/july.xlsx")
 
 Each task writes its rows as parts, at most ``PART_ROWS`` rows a part, next to the target under a name of the write's own; the
-commit strings the parts together in the order of the partitions, block by block, under a temporary name, and renames
+commit strings the parts together in the order of the partitions, block by block, under a temporary name (a sheet's are deflated where they are written), and renames
 the file: a reader sees all of it or nothing, and a part that a lost task left is not named by anyone.
 
 A sheet holds 1,048,576 rows at most; further rows go to further sheets. Rows whose first cell is ``TOTAL`` are set in bold
@@ -22,6 +22,7 @@ import re
 import uuid
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
@@ -67,10 +68,69 @@ def row_xml(values: tuple, style: int | None = None) -> bytes:
     return f"<row>{''.join(cell(v, style) for v in values)}</row>".encode()
 
 
+@dataclass
+class Part:
+    """A part's file and what is in it: rows; for packed ones the bytes before and after, and their checksum."""
+
+    name: str
+    rows: int = 0
+    plain: int = 0
+    packed: int = 0
+    crc: int = 0
+
+
+class Packer:
+    """A piece of a deflate stream that others may follow: it ends on a whole byte and refers to nothing before it."""
+
+    def __init__(self, out: BinaryIO, part: Part):
+        self.out, self.part, self.z = out, part, zlib.compressobj(wbits=-15)
+
+    def _put(self, packed: bytes) -> None:
+        self.part.packed += len(packed)
+        self.out.write(packed)
+
+    def write(self, plain: bytes) -> None:
+        self.part.plain += len(plain)
+        self.part.crc = zlib.crc32(plain, self.part.crc)
+        self._put(self.z.compress(plain))
+
+    def close(self, last: bool = False) -> None:
+        self._put(self.z.flush(zlib.Z_FINISH if last else zlib.Z_FULL_FLUSH))
+        self.out.close()
+
+
+def _packed(plain: bytes, last: bool = False) -> tuple[Part, bytes]:
+    part, z = Part("", 0, len(plain), 0, zlib.crc32(plain)), zlib.compressobj(wbits=-15)
+    packed = z.compress(plain) + z.flush(zlib.Z_FINISH if last else zlib.Z_FULL_FLUSH)
+    part.packed = len(packed)
+    return part, packed
+
+
+def crc_of_both(first: int, second: int, size: int) -> int:
+    """The checksum of two texts in a row by theirs and the second's size: size zero bytes shift the first, by squares of a matrix of bits."""
+
+    def times(m: list[int], v: int) -> int:
+        out = 0
+        for row in m:
+            if v & 1:
+                out ^= row
+            v >>= 1
+        return out
+
+    shift = [0xEDB88320, *(1 << k for k in range(31))]  # a bit
+    for _ in range(3):
+        shift = [times(shift, row) for row in shift]
+    while size:
+        if size & 1:
+            first = times(shift, first)
+        shift, size = [times(shift, row) for row in shift], size >> 1
+    return first ^ second
+
+
 @dataclass
 class Written(WriterCommitMessage):
     partition: int
-    parts: list[tuple[str, int]]
+    parts: list[Part]
 
 
 def _styles() -> str:
@@ -95,23 +155,25 @@ class PartWriter(DataSourceWriter):
     def row(self, values: tuple) -> bytes:
         raise NotImplementedError
 
+    def opened(self, out: BinaryIO, part: Part) -> BinaryIO | Packer:
+        return out
+
     def assemble(self, files: fs.FileSystem, whole: str, messages: list[Written]) -> None:
         raise NotImplementedError
 
     def write(self, iterator: Iterator) -> Written:
         files, path = open_fs(self.path)
         partition = TaskContext.get().partitionId()
-        parts: list[tuple[str, int]] = []
-        out, n = None, 0
+        parts: list[Part] = []
+        out = None
         for row in iterator:
             if out is None:
                 # a task that is tried again writes under another name
-                parts.append((f"{path}.{self.write_id}.{partition}.{len(parts)}.{uuid.uuid4().hex}", 0))
-                out, n = files.open_output_stream(parts[-1][0]), 0
+                parts.append(Part(f"{path}.{self.write_id}.{partition}.{len(parts)}.{uuid.uuid4().hex}"))
+                out = self.opened(files.open_output_stream(parts[-1].name), parts[-1])
             out.write(self.row(tuple(row)))
-            n += 1
-            parts[-1] = parts[-1][0], n
-            if n == self.part_rows:
+            parts[-1].rows += 1
+            if parts[-1].rows == self.part_rows:
                 out.close()
                 out = None
         if out is not None:
@@ -129,8 +191,8 @@ class PartWriter(DataSourceWriter):
     def abort(self, messages: list[Written | None]) -> None:
         files, _ = open_fs(self.path)
         for m in messages:
-            for part, _ in m.parts if m else ():
-                files.delete_file(part)
+            for part in m.parts if m else ():
+                files.delete_file(part.name)
 
 
 def copy(files: fs.FileSystem, part: str, out: BinaryIO) -> None:
@@ -151,8 +213,8 @@ class CsvWriter(PartWriter):
         with files.open_output_stream(whole) as out:
             out.write((b"\xef\xbb\xbf" if self.options.get("bom") == "true" else b"") + self.row(tuple(self.names)))
             for m in messages:
-                for part, _ in m.parts:
-                    copy(files, part, out)
+                for part in m.parts:
+                    copy(files, part.name, out)
 
 
 class CsvFile(DataSource):
@@ -168,16 +230,19 @@ class SheetWriter(PartWriter):
     def row(self, values: tuple) -> bytes:
         return row_xml(values)
 
-    def _sheets(self, messages: list[Written]) -> list[list[str]]:
-        sheets: list[list[str]] = [[]]
+    def opened(self, out: BinaryIO, part: Part) -> Packer:
+        return Packer(out, part)
+
+    def _sheets(self, messages: list[Written]) -> list[list[Part]]:
+        sheets: list[list[Part]] = [[]]
         room = self.sheet_rows - 1
         for m in messages:
-            for part, n in m.parts:
-                if n > room:
+            for part in m.parts:
+                if part.rows > room:
                     sheets.append([])
                     room = self.sheet_rows - 1
                 sheets[-1].append(part)
-                room -= n
+                room -= part.rows
         return sheets
 
     def assemble(self, files: fs.FileSystem, whole: str, messages: list[Written]) -> None:
@@ -195,11 +260,23 @@ class SheetWriter(PartWriter):
             for member, text in texts.items():
                 z.writestr(member, text)
             for i, parts in zip(ids, sheets, strict=True):
-                with z.open(f"xl/worksheets/sheet{i}.xml", "w", force_zip64=True) as sheet:
-                    sheet.write(f'{HEAD}<worksheet xmlns="{MAIN}"><sheetData>'.encode() + row_xml(tuple(self.names), HEADING))
-                    for part in parts:
-                        copy(files, part, sheet)
-                    sheet.write(b"</sheetData></worksheet>")
+                head, begin = _packed(f'{HEAD}<worksheet xmlns="{MAIN}"><sheetData>'.encode() + row_xml(tuple(self.names), HEADING))
+                foot, end = _packed(b"</sheetData></worksheet>", last=True)
+                # sizes and checksum are known from the parts, so packed bytes go in as they are
+                info = zipfile.ZipInfo(f"xl/worksheets/sheet{i}.xml")
+                info.compress_type, info.header_offset = zipfile.ZIP_DEFLATED, z.fp.tell()
+                for p in (head, *parts, foot):
+                    info.CRC = crc_of_both(info.CRC, p.crc, p.plain) if p is not head else p.crc
+                    info.file_size += p.plain
+                    info.compress_size += p.packed
+                z.fp.write(info.FileHeader())
+                z.fp.write(begin)
+                for part in parts:
+                    copy(files, part.name, z.fp)
+                z.fp.write(end)
+                z.filelist.append(info)
+                z.NameToInfo[info.filename] = info
+                z.start_dir = z.fp.tell()
 
 
 class SheetPart(InputPartition):

@@ -1,8 +1,10 @@
 import csv
+import io
 import random
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from datetime import date
 
 import pytest
@@ -137,3 +139,16 @@ def test_a_failed_write_leaves_the_old_file(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017, PT011
         exports.write(spark.range(10).select(F.when(F.col("id") == 9, F.raise_error(F.lit("no"))).otherwise(F.col("id")).alias("id")), str(tmp_path / "x.csv"), "csv")
     assert (tmp_path / "x.csv").read_bytes() == before
+
+
+def test_sheets_are_packed_where_they_are_written(spark, tmp_path):
+    a, b = b"some text " * 999, bytes(range(256)) * 77
+    assert one_file.crc_of_both(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+    path = str(tmp_path / "a.xlsx")
+    exports.write(spark.range(0, 5000, 1, 3).selectExpr("CAST(id AS string) AS ID", "repeat('x', 200) AS t"), path, "xlsx")
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None and z.read("xl/worksheets/sheet1.xml").count(b"<row>") == 5001
+    writer = one_file.SheetWriter({"path": path}, one_file.StructType.fromDDL("ID string"))
+    out, part = io.BytesIO(), one_file.Part("p")
+    writer.opened(out, part).write(writer.row(("x" * 100_000,)))
+    assert part.plain > 100_000 and len(out.getvalue()) < 5000
