@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import string
 from collections.abc import Callable
 from functools import reduce
 
@@ -48,6 +49,8 @@ CATEGORIES = {
         "makati med", "medical", "med depot", "medical depot", "medical center", "vitamins", "supplement", "softgel",
     ),
 }
+#: ASCII that a content key leaves out: all but a to z, digits and . + -
+NOT_CONTENT = "".join(c for c in map(chr, range(128)) if c not in string.ascii_lowercase + string.digits + ".+-")
 VENDOR_ENDINGS = (" inc", " llc", " ltd", " corp", " co")
 #: Date patterns in order of preference; day before month where both would do.
 DATE_PATTERNS = (
@@ -222,8 +225,10 @@ def duplicate_key(vendor: Column, number: Column, identity=identity_text) -> Col
 
 def content_key(text: Column, folded=folded_text) -> Column:
     """Key of what a document says, white space and marks aside; null below 120 characters or without a digit."""
-    kept = F.regexp_replace(folded(text), "[^a-z0-9.+-]+", "")
-    return F.when((F.length(kept) >= 120) & kept.rlike("[0-9]"), F.sha2(kept, 256))
+    # nearly all that goes is ASCII, and a pattern takes several times as long to remove it as translate
+    plain = F.translate(folded(text), NOT_CONTENT, "")
+    kept = let(plain, lambda c: F.when(c.rlike("[^\\x00-\\x7F]"), F.regexp_replace(c, "[^\\x00-\\x7F]+", "")).otherwise(c))
+    return let(kept, lambda c: F.when((F.length(c) >= 120) & c.rlike("[0-9]"), F.sha2(c, 256)))
 
 
 def vendor_key(c: Column) -> Column:

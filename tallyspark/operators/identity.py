@@ -14,8 +14,8 @@ def _rank(key: str, *order: Column | str) -> Column:
 
 
 def key_groups(rows: DataFrame, key: str) -> DataFrame:
-    """Keys that more than one row has. Counts combine before the shuffle."""
-    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).filter("n > 1")
+    """Keys that more than one row has. Counts combine before the shuffle; rows without a key count none, so no filter works the key out a second time."""
+    return rows.groupBy(key).agg(F.count(key).alias("n"), F.min("id").alias("first_id")).filter("n > 1")
 
 
 def first_seen(rows: DataFrame, key: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """A rule cuts a text into lines once for a row, however often it looks at them."""
 
+import hashlib
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import documents, evidence, layout, ownership, quality
+from tallyspark.functions import scalars
+from tallyspark.operators import documents, evidence, identity, layout, ownership, quality
 
 RULES = {
     "retail_table": lambda df, t, n: df.select(ownership.retail_table(t, n)),
@@ -92,3 +94,16 @@ def test_sales_are_summed_once(spark):
     rows = spark.range(1).select(F.lit(None).cast(items).alias("line_items"), "id").withColumn("line_items", F.from_json(F.col("id").cast("string"), items))
     plan = rows.select(quality.issues(rows, date(1998, 1, 1)).alias("notes"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") == 1
+
+
+def test_a_key_is_worked_out_once(spark):
+    rows = spark.sql("SELECT id, CAST(id AS string) AS text FROM range(1)").select("id", scalars.content_key(F.col("text"), scalars.ascii_folded).alias("content_key"))
+    plan = identity.key_groups(rows, "content_key")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and plan.count("sha2(") == 1, plan
+
+
+def test_rows_without_a_key_are_no_group(spark):
+    texts = ["x1 " * 80, ("X1, " * 80).upper(), "short 1", "short 1", None, None, "é\u2212\x00😀x1" * 80, "y " * 200, "y " * 200]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", scalars.content_key(F.col("text"), scalars.ascii_folded).alias("content_key"))
+    groups = identity.key_groups(rows, "content_key").collect()
+    assert [(g["content_key"], g["first_id"], g["n"]) for g in groups] == [(hashlib.sha256(b"x1" * 80).hexdigest(), 0, 3)]
